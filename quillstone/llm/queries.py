@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mpegts, secrets, sharding, urltree
+from . import jaccard, mpegts, secrets, sharding, urltree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_mpeg_ts": op2_mpeg_ts,
     "op3_sharding": op3_sharding,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_url_filters": op10_url_filters,
 }
 ORACLE_SQL: dict[str, str] = {}
