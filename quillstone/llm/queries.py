@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mpegts, secrets, sharding, suffixes, urltree
+from . import jaccard, mpegts, secrets, sharding, suffixes, toxicity, urltree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~fold)
+    scored = docs.select("doc_id", fold.alias("held_out"), toxicity.toxicity(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -73,6 +81,7 @@ QUERIES = {
     "op2_mpeg_ts": op2_mpeg_ts,
     "op3_sharding": op3_sharding,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_url_filters": op10_url_filters,
 }
