@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mpegts, secrets, sharding, suffixes, toxicity, urltree
+from . import jaccard, mpegts, packing, secrets, sharding, suffixes, toxicity, urltree, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.drop("text")
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select(
@@ -80,6 +89,8 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_mpeg_ts": op2_mpeg_ts,
     "op3_sharding": op3_sharding,
+    "op4_packing": op4_packing,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
