@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mpegts, packing, secrets, sharding, suffixes, toxicity, urltree, vectors
+from . import jaccard, mpegts, packing, pieces, secrets, sharding, suffixes, toxicity, urltree, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_file() -> str:
+    """The model file: QUILLSTONE_PIECES, or the public one of this machine."""
+    return os.environ.get("QUILLSTONE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = docs.select("doc_id", secrets.secret_spans(F.col("text")).alias("s"))
@@ -81,6 +88,14 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = piece_file()
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", pieces.encode_ids(F.col("text"), path).alias("ids"))
+    back = docs.select("doc_id", "text", "ids", pieces.decode_ids(F.col("ids"), path).alias("decoded"))
+    in_bytes = F.size(F.filter("ids", lambda i: (i >= 3) & (i < 259)))  # the file's byte pieces
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), in_bytes.cast("long").alias("n_bytes_tokens"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -94,6 +109,7 @@ QUERIES = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
 }
 ORACLE_SQL: dict[str, str] = {}
