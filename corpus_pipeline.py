@@ -35,8 +35,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return kept.map(lambda b: b.decode("utf-8", "ignore"))
 
     cut = suffixes.remove_repeats(docs.select("doc_id", "text")).select("doc_id", text_of(F.col("kept")).alias("text"))
-    rest = docs.select(*[c for c in docs.columns if c not in ("text", "n_chars")])
-    joined = cut.join(rest, cut["doc_id"].eqNullSafe(rest["doc_id"])).drop(rest["doc_id"])
+    rest = docs.select(F.col("doc_id").alias("_id"), *[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    joined = cut.join(rest, F.col("doc_id").eqNullSafe(F.col("_id")))
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
