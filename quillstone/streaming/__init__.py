@@ -1,0 +1 @@
+"""Row-local operators take streaming DataFrames as they are: see ``tests/test_streaming.py``. None keeps state."""
