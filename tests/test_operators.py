@@ -152,3 +152,39 @@ def test_embed_missing(spark):
     t = spark.createDataFrame([("k1", "a b"), ("k1", "a b"), ("k2", "c")], "key string, text string")
     store = spark.createDataFrame([("k2",)], "key string")
     assert [(r.key, sum(r.vector)) for r in embedding.embed_missing(t, store, embedding.hashing_embedder(8)).collect()] == [("k1", 2.0)]
+
+
+def test_gazette(spark):
+    from quillstone.operators import gazette
+
+    text = ["Preface", "1. Short title.—(1) These may be called the Goa Rules, 2020.", "2. Definitions.—In these", "3. rupees five", "3. In the case", "5. Late.—x", "1. संक्षिप्त नाम", "2. दो", "THE GAZETTE OF INDIA"]
+    lines = spark.createDataFrame([("s", k, t) for k, t in enumerate(text)] + [("t", 0, "nothing")], "source string, line_no int, line string")
+    got = sorted(tuple(r) for r in gazette.gazette_rules(gazette.without_noise(lines)).collect())
+    assert got == [("s", 1, 1, 1, 1), ("s", 1, 2, 2, 3), ("s", 1, 3, 4, 5)]
+    title = spark.createDataFrame([(text,)], "x array<string>").select(gazette.instrument_title(F.col("x"), "Rules")).first()[0]
+    assert title == "Goa Rules"
+
+
+def test_chunk_files(spark, tmp_path):
+    from quillstone.sources import corpus
+
+    rows = spark.createDataFrame([("a:1", "a", "x"), ("a:1", "a", "y"), ("b:1", "b", "z"), ("b:2", "b", " ")], "chunk_id string, source_id string, text string")
+    corpus.write_chunks(rows, str(tmp_path / "c"))
+    corpus.write_chunks(rows.where("source_id = 'b'"), str(tmp_path / "c"))
+    back = corpus.read_chunks(spark, str(tmp_path / "c"), schema="chunk_id string, text string, source_id string")
+    assert sorted((r.chunk_id, r.text) for r in back.collect()) == [("a:1", "x"), ("a:1", "y"), ("b:1", "z")]
+    assert sorted(tuple(r) for r in corpus.corpus_violations(back, ["a", "q"]).collect()) == [("duplicate_chunk", "a:1"), ("unknown_source", "q")]
+    corpus.remove_sources(spark, str(tmp_path / "c"), ["a"])
+    assert corpus.read_chunks(spark, str(tmp_path / "c"), schema="chunk_id string, text string, source_id string").count() == 1
+    (tmp_path / "q.json").write_text('{"queries": [{"id": "1"}]}')
+    (tmp_path / "e.json").write_text("{}")
+    assert [r.id for r in corpus.read_nested(spark, str(tmp_path / "q.json"), "queries", "id: string").collect()] == ["1"]
+    assert corpus.read_nested(spark, str(tmp_path / "e.json"), "queries", "id: string").count() == 0
+
+
+def test_guards(spark):
+    texts = spark.createDataFrame([(1, "see section 5 and section 6")], "case_id int, text string")
+    ev = spark.createDataFrame([(1, "s1", "5", "", "in_force", "https://a.gov.in/x", "ab"), (1, "s1", "5", "", "repealed", "https://a.com", "000")], "case_id int, source_id string, section string, excerpt string, status string, official_url string, sha256 string")
+    assert [r.ref for r in rules.stage_text_violations(texts, ev).collect()] == ["section 6"]
+    used = spark.createDataFrame([(1, "s1"), (1, "s2")], "case_id int, source_id string")
+    assert sorted((r.rule, r.source_id) for r in rules.evidence_problems(ev, used, []).collect()) == [("digest", "s1"), ("duplicate", "s1"), ("host", "s1"), ("missing", "s2"), ("not_in_force", "s1")]
