@@ -163,7 +163,7 @@ def parse_stream(stream: bytes | None) -> dict | None:
         at = np.flatnonzero(pid == p)
         body, begins = _gather(packets[at], offset[at])
         first = np.flatnonzero(start[at])
-        for k, b, e in zip(at[first], begins[first], [*begins[first][1:], len(body)], strict=True):
+        for k, b, e in zip(at[first], begins[first], [*begins[first][1:], len(body)][: len(first)], strict=True):
             pes = body[b:e]
             if pes[:3] != b"\x00\x00\x01" or len(pes) < 9:
                 bad += 1

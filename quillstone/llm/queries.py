@@ -112,4 +112,56 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
 }
-ORACLE_SQL: dict[str, str] = {}
+def _url_sql(levels: int = urltree.LEVELS) -> str:
+    """The rules and the template tree, a few common table expressions for each level."""
+    name = "case " + " ".join(f"when {{fits[{k}]}} then {{out[{k}]}}" for k in range(4)) + " end"
+    rules = sorted(urltree.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for _, h, p in rules]
+    rule, said = (name.format(fits=fits, out=[f"'{x}'" for x in out]) for out in ([h + p for _, h, p in rules], [v for v, _, _ in rules]))
+    text = f"""with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
+ v as (select page_id, rest, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{urltree.UPPER}', '{urltree.LOWER}'), '') as host, coalesce(regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*'), '') as path from u),
+ g as (select *, {rule} as rule, {said} as said, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(regexp_replace(s, '[0-9a-f]{{16,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g')) as full_ from v),
+ rows_ as (select *, case when len(full_) > {levels} then list_append(full_[1:{levels - 1}], array_to_string(full_[{levels}:], '/')) else full_ end as seg from g),
+ t0 as (select host, seg, count(*) as n, count(said) as lab, count(*) filter (said = 'block') as bad, '' as template from rows_ group by host, seg)"""
+    for k in range(levels):
+        text += f""",
+ k{k} as (select host, template, seg[{k + 1}] as child, sum(n) as n, sum(lab)::double as lab, sum(bad)::double as bad from t{k} where len(seg) > {k} group by all),
+ a{k} as (select *, count(*) over w as kids, sum(n) over w as all_n, sum(lab) over w as all_lab, sum(bad) over w as all_bad from k{k} window w as (partition by host, template)),
+ b{k} as (select *, all_bad / nullif(all_lab, 0) as p, abs(bad / nullif(lab, 0) - (all_bad - bad) / nullif(all_lab - lab, 0)) as gap from a{k}),
+ c{k} as (select host, template, child, case when kids >= 9 and kids > 0.2::double * all_n then '*' when coalesce(gap <= 1.96::double * sqrt(p * (1 - p) * (1 / nullif(lab, 0) + 1 / nullif(all_lab - lab, 0))), false) then '~' else child end as node from b{k}),
+ t{k + 1} as (select t.host, seg, n, lab, bad, case when node is null then t.template else t.template || '/' || node end as template from t{k} t left join c{k} c on c.host = t.host and c.template = t.template and c.child = t.seg[{k + 1}])"""
+    return text + f""",
+ j as (select host, template, (sum(bad) + 2)::double / (sum(lab) + 4)::double as purity from t{levels} group by all)
+ select page_id, r.host, path, rule, coalesce(said, case when purity >= 0.8::double then 'block' else 'allow' end) as verdict, r.host || t.template as template, purity
+ from rows_ r join t{levels} t on t.host = r.host and t.seg = r.seg join j on j.host = t.host and j.template = t.template"""
+
+
+_REACH = """
+ twoway as (select a, b from e union all select b, a from e),
+ reach(a, b) as (select a, b from twoway union select reach.a, twoway.b from reach join twoway on reach.b = twoway.a),
+ root as (select a, min(b) as b from reach group by a)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_url_filters": _url_sql(),
+    "op5_embedding_dedup": f"""with recursive x as (select vec_id, [c::double for c in embedding] as v from embeddings
+  where embedding is not null and len(embedding) > 0 and not list_has_any([c is not null and isfinite(c) for c in embedding], [false]) and list_has_any([c <> 0 for c in embedding], [true])),
+ e as (select x.vec_id as a, y.vec_id as b from x join x y on x.vec_id < y.vec_id and len(x.v) = len(y.v) where list_cosine_similarity(x.v, y.v) >= 0.9::double),{_REACH}
+ select vec_id, (select count(*) from twoway where twoway.a = vec_id) as n_links, least(vec_id, coalesce(root.b, vec_id)) as component_id, vec_id <= coalesce(root.b, vec_id) as kept
+ from embeddings left join root on root.a = vec_id""",
+    "op6_suffix_dedup": """with t as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+ w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from t, lateral (select unnest(generate_series(0, n - 50)) as i)),
+ f as (select s, min(doc_id) as m from w group by s),
+ c as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) as gap from w join f using (s) where m < doc_id),
+ r as (select doc_id, i, sum(case when gap is null or gap > 50 then 1 else 0 end) over (partition by doc_id order by i) as run from c),
+ p as (select doc_id, run, min(i) as lo, max(i) + 50 as hi from r group by all),
+ q as (select *, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as back from p),
+ k as (select q.doc_id, sum(hi - lo) as removed, count(*) as spans, string_agg(substr(h, 2 * back + 1, 2 * (lo - back)), '' order by lo) as head, max(hi) as last from q join t using (doc_id) group by q.doc_id)
+ select doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256 from t left join k using (doc_id)""",
+    "op8_jaccard_join": f"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+ d as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from w),
+ n as (select doc_id, count(*) as n from d group by doc_id),
+ p as (select x.doc_id as a, y.doc_id as b, count(*) as c from d x join d y on x.g = y.g and x.doc_id < y.doc_id group by all),
+ e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),{_REACH}
+ select documents.doc_id, coalesce(n.n, 0) as n_shingles, least(documents.doc_id, coalesce(root.b, documents.doc_id)) as component_id
+ from documents left join n using (doc_id) left join root on root.a = documents.doc_id""",
+}
