@@ -24,6 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/quillstone-scratch"
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in slices, so that Python holds the objects of a few hundred rows at a time."""
+    for batch in batches:
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
+
+
+def runs(texts, chars: int = 2_000_000):
+    """[begin, end) runs of texts of about ``chars`` characters (one text at least)."""
+    begin = held = 0
+    for k, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= chars:
+            yield begin, k + 1
+            begin, held = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 class Scratch:
     """Intermediate tables of one job, written as Parquet to the shared folder.
 
@@ -39,7 +58,7 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

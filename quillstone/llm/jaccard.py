@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, small
+from .common import Scratch, slices, small
 from .components import components
 
 WORDS = 5
 CELL_BITS, CHUNK = 19, 1024  # the frequency sketch has 2**19 cells, moved in rows of 1,024
 KNOWN_WORDS = 500_000  # word hashes that a task remembers
+BITS = 1024  # of the parity sketch of a set
+SKETCH = [f"s{k}" for k in range(BITS // 64)]
+TURNS, PIVOTS = 3, 8  # turns of pairing with pivots, and random orders that give the pivots of a turn
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -49,7 +52,7 @@ def shingle_hashes(text: bytes | None, known: dict) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells, known = np.zeros(1 << CELL_BITS, np.int64), _WordHash()
-    for batch in batches:
+    for batch in slices(batches):
         found = [shingle_hashes(t, known) for t in batch.column(0).to_pylist()]
         if found:
             cells += np.bincount((np.concatenate(found) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
@@ -84,15 +87,20 @@ def prefix_length(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
+def parity_sketch(h: np.ndarray) -> np.ndarray:
+    """Bit k tells if an odd number of hashes fall to k: where two sketches differ, the sets differ in one element at least."""
+    return np.packbits((np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(texts: DataFrame, cells: np.ndarray) -> DataFrame:
-    """(id, n, key, grp, prefix): set size, hash of the set, hash of prefix and size, and the prefix for the first of a group in a task."""
+    """(id, n, key, grp, prefix, sketch): set size, hash of the set, hash of prefix and size, the prefix for the first of a group in a task, and the sketch."""
     shared = texts.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = _WordHash(), set()
         freq = shared.value
-        for batch in batches:
-            out = ([], [], [], [])
+        for batch in slices(batches):
+            out = ([], [], [], [], [])
             for t in batch.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t, known))
                 n = len(h)
@@ -106,18 +114,18 @@ def _prefixes(texts: DataFrame, cells: np.ndarray) -> DataFrame:
                             seen.clear()
                         seen.add(grp)
                         prefix = first.view(np.int64)
-                for to, x in zip(out, (n, key, grp, prefix), strict=True):
+                for to, x in zip(out, (n, key, grp, prefix, parity_sketch(h) if n else None), strict=True):
                     to.append(x)
             as_long = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), as_long(out[1]), as_long(out[2]), pa.array(out[3], pa.list_(pa.int64()))], ["id", "n", "key", "grp", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), as_long(out[1]), as_long(out[2]), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64()))], ["id", "n", "key", "grp", "prefix", "sketch"])
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, n bigint, key bigint, grp bigint, prefix array<bigint>")
+    return texts.select("id", "text").mapInArrow(run, "id bigint, n bigint, key bigint, grp bigint, prefix array<bigint>, sketch array<bigint>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.unique(shingle_hashes(t, known)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "items"])
 
@@ -129,6 +137,14 @@ def _linked(na: Column, nb: Column, common: Column) -> Column:
     return 7 * common >= 3 * (na + nb)
 
 
+def _may_link() -> Column:
+    """Linked sets of n1 and n2 differ in (n1 + n2) / 7 elements at most, and their sketches in no more bits: what has more can't link."""
+    differ = F.lit(0)
+    for c in SKETCH:
+        differ = differ + F.bit_count(F.col(c + "1").bitwiseXOR(F.col(c + "2")))
+    return 7 * differ <= F.col("n1") + F.col("n2")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (a, b: ids) whose whole shingle sets reach the similarity."""
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -143,10 +159,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(key, n_shingles, component_id) for each document; documents with Jaccard >= 0.75 on 5-word shingles are linked.
 
     Documents are collapsed to classes (equal sets), classes to groups (equal prefix and size). Groups that share a
-    prefix shingle are candidates. First each group is paired with the least group of each of its shingles only
-    (and each class with the least class of its group), verified on whole sets, and joined into components. Only pairs
-    across components are left then: those that pass the size and position filters are expanded to classes and
-    verified too. Pairs inside a component change nothing, so thousands of near copies cost about one pair each,
+    prefix shingle are candidates, and so are the classes of one group. In three turns the classes that meet under a shingle
+    are paired with one pivot, the least by one of eight random orders, where their components differ; pairs that pass the parity sketch
+    (an exact filter) are verified on whole sets and join components. Only pairs across components are left then: those that
+    pass the size, position and sketch filters (all of them exact) are verified too. Pairs inside a component change nothing, so thousands of near copies cost about one pair each,
     and no link between components is lost.
 
     Sets are compared by 64-bit hashes of shingles, and equal sets found by a 64-bit hash of the set. Null and empty
@@ -156,38 +172,48 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
-    rows = scratch.save(_prefixes(texts, shingle_frequencies(texts.select("text"))))
+    wide = scratch.save(_prefixes(texts, shingle_frequencies(texts.select("text"))))
+    rows = scratch.save(wide.select("id", "n", "key", "grp"))
     classes = scratch.save(rows.where("n > 0 and id is not null").groupBy("n", "key", "grp").agg(F.min("id").alias("rep")))
 
-    tokens = rows.where("prefix is not null").select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = wide.where("prefix is not null").select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     over = W.partitionBy("token")
     tokens = tokens.withColumns({"least": F.min("grp").over(over), "most": F.max("grp").over(over)}).where("least < most")
-    tokens = scratch.save(tokens.select("token", "grp", "n", F.col("pos").cast("bigint").alias("pos"), "least").distinct())
+    tokens = scratch.save(tokens.select("token", "grp", F.col("pos").cast("bigint").alias("pos"), "least").distinct())
     scratch.free_shuffles()
-
-    heads = classes.groupBy("grp").agg(F.min("rep").alias("head"), F.first("n").alias("n"), F.count(F.lit(1)).alias("members"))
-    star = tokens.where("grp <> least").select("grp", "least").distinct()
-    one = star.join(heads.select("grp", F.col("head").alias("b"), F.col("n").alias("nb")), "grp").join(heads.select(F.col("grp").alias("least"), F.col("head").alias("a"), F.col("n").alias("na")), "least")
-    one = one.where(_linked(F.col("na"), F.col("nb"), F.least("na", "nb"))).select("a", "b")
-    inner = classes.join(heads.where("members > 1").select("grp", "head"), "grp").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
-    pairs = scratch.save(one.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = scratch.save(verify(pairs, texts, scratch))
+    sketches = wide.select(F.col("id").alias("rep"), "key", *[F.get("sketch", F.lit(k)).alias(c) for k, c in enumerate(SKETCH)])
+    sketches = scratch.save(classes.select("rep", "key", "n").join(sketches, ["rep", "key"]).drop("key").dropDuplicates(["rep"]))
+    scratch.drop(wide)
     scratch.free_shuffles()
 
-    found = components(links, scratch)
-    named = scratch.save(classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("grp", "rep", "n", F.coalesce("root", "rep").alias("comp")))
-    several = lambda rows, by: rows.withColumns({"lo": F.min("comp").over(W.partitionBy(by)), "hi": F.max("comp").over(W.partitionBy(by))}).where("lo < hi").drop("lo", "hi")
-    at = scratch.save(several(tokens.select("token", "grp", "pos").join(named, "grp"), "token"))
-    end = lambda t: at.select("token", *[F.col(c).alias(f"{c}{t}") for c in ("rep", "n", "pos", "comp")])
+    alone = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).cast("bigint").alias("pos"))
+    tokens = tokens.select("token", "grp", "pos").unionByName(alone)  # classes of one group meet under the group itself
+    named, links, tried = classes.select("grp", "rep", F.col("rep").alias("comp")), None, None
+    side = lambda c, t: sketches.select(F.col("rep").alias(c), *[F.col(x).alias(x + t) for x in ("n", *SKETCH)])
+    several = lambda rows: rows.withColumns({"lo": F.min("comp").over(over), "hi": F.max("comp").over(over)}).where("lo < hi").drop("lo", "hi")
+    for turn in range(TURNS):
+        order = F.struct(F.xxhash64("rep", F.pmod("token", F.lit(PIVOTS)), F.lit(turn)).alias("h"), F.col("rep").alias("p"), F.col("comp").alias("c"))
+        star = several(tokens.join(named, "grp")).withColumn("x", F.min(order).over(over)).where("comp <> x.c")
+        star = star.select(F.least("rep", "x.p").alias("a"), F.greatest("rep", "x.p").alias("b")).distinct()
+        star = star if tried is None else star.join(tried, ["a", "b"], "left_anti")
+        star = scratch.save(star.join(side("a", "1"), "a").join(side("b", "2"), "b").where(_may_link()).select("a", "b"))
+        good = scratch.save(verify(star, texts, scratch))
+        links, tried = (good, star) if links is None else (links.union(good), tried.union(star))
+        found = components(links, scratch)
+        named = scratch.save(classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("grp", "rep", F.coalesce("root", "rep").alias("comp")))
+        scratch.free_shuffles()
+    at = scratch.save(several(tokens.join(named, "grp")).join(sketches, "rep"))
+    end = lambda rows, t, *by: rows.select(*by, *[F.col(c).alias(c + t) for c in rows.columns if c not in by])
     bound = 1 + F.least(F.col("n1") - F.col("pos1") - 1, F.col("n2") - F.col("pos2") - 1)
-    cross = end(1).join(end(2), "token").where((F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2")) & _linked(F.col("n1"), F.col("n2"), bound))
-    mixed = several(named, "grp")
-    same = mixed.select("grp", F.col("rep").alias("rep1"), F.col("comp").alias("c1")).join(mixed.select("grp", F.col("rep").alias("rep2"), F.col("comp").alias("c2")), "grp").where("rep1 < rep2 and c1 <> c2")
-    more = cross.select("rep1", "rep2").union(same.select("rep1", "rep2")).distinct().toDF("a", "b")
-    more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"))
+    apart = (F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2"))
+    cross = end(at, "1", "token").join(end(at, "2", "token"), "token").where(apart & _linked(F.col("n1"), F.col("n2"), bound) & _may_link())
+    more = cross.select("rep1", "rep2").distinct().toDF("a", "b")
+    more = scratch.save(more.join(tried, ["a", "b"], "left_anti"))
     links2 = scratch.save(verify(more, texts, scratch))
     found = components(links.union(links2), scratch)
     final = classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("n", "key", "grp", F.coalesce("root", "rep").alias("component_id"))
-    scratch.drop(tokens, pairs, at, more)
-    out = rows.select("id", "n", "key", "grp").join(final, ["n", "key", "grp"], "left")
+    final = scratch.save(final)
+    scratch.drop(at, more, sketches)
+    scratch.free_shuffles()
+    out = rows.join(final, ["n", "key", "grp"], "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
