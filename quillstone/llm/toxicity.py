@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, runs
 
 ALPHABET, START, DECAY, CUT = 64, 63, 0.5, 24
 #: Bounds of training: labelled rows, landmarks of either class, words of either class, rounds of hard words.
@@ -112,12 +112,14 @@ def kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
         for m, v in per.items():
             own[r, m] = v
     out = np.zeros((len(words), len(landmarks)))
-    for at, rows in _by_length(words, 1 << 18):
+    for at, rows in _by_length(words, 1 << 15):
         code, weight = _subsequences(rows)
         row, col = np.nonzero(table[code] >= 0)
-        phi = np.zeros((len(rows), len(units)))
-        np.add.at(phi, (row, table[code[row, col]]), weight[col])
-        out[at] = phi @ own / np.sqrt(np.maximum(self_kernel(rows), 1e-12))[:, None]
+        if len(row):
+            part = own[table[code[row, col]]] * weight[col][:, None]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            out[at[row[first]]] = np.add.reduceat(part, first)
+        out[at] /= np.sqrt(np.maximum(self_kernel(rows), 1e-12))[:, None]
     return out
 
 
@@ -136,6 +138,17 @@ def support_vectors(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float =
     return w
 
 
+def rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights of which none is negative (the bias apart): features with the lowest negative weight are left out in turn."""
+    use, out = list(range(x.shape[1])), np.zeros(x.shape[1] + 1)
+    while True:
+        w = logistic(x[:, use], y)
+        if not use or w[:-1].min() >= 0:
+            out[[*use, -1]] = w
+            return out
+        use.pop(int(np.argmin(w[:-1])))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, reg: float = 1e-2) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -181,7 +194,7 @@ class Margins(dict):
         super().__init__()
         self.model = model
 
-    def learn(self, texts: list[list[str]]) -> None:
+    def learn(self, texts: list) -> None:
         if len(self) > KNOWN_WORDS:
             self.clear()
         new = list(set().union(*texts).difference(self)) if texts else []
@@ -189,7 +202,7 @@ class Margins(dict):
 
 
 def _features(margins: np.ndarray) -> tuple[float, float, float]:
-    """Highest and second highest margin, and log(1 + words above 0)."""
+    """Highest and second highest margin of a text's words, and log(1 + words above 0)."""
     if not len(margins):
         return FLOOR, FLOOR, 0.0
     top = np.partition(margins, -2)[-2:] if len(margins) > 1 else np.array([FLOOR, margins[0]])
@@ -202,13 +215,12 @@ def _document_features(model: Model, texts: pd.Series) -> np.ndarray:
     if cache is None:
         known.clear()
         cache = known[id(model)] = Margins(model)
-    out = np.empty((len(texts), 3))
-    split = [t.split() if t else [] for t in texts]
-    for k in range(0, len(split), 500):
-        part = split[k : k + 500]
+    out, texts = np.empty((len(texts), 3)), texts.tolist()
+    for begin, end in runs(texts):
+        part = [t.split() if t else [] for t in texts[begin:end]]
         cache.learn(part)
         for j, words in enumerate(part):
-            out[k + j] = _features(np.fromiter(map(cache.__getitem__, words), np.float64, len(words)))
+            out[begin + j] = _features(np.fromiter(map(cache.__getitem__, words), np.float64, len(words)))
     return out
 
 
@@ -218,7 +230,7 @@ def _evidence(a, b, n1: int, n0: int):
     return 2 * (part(a, n1, b) + part(b, n0, a))
 
 
-def _train_words(counts: pd.DataFrame, hard: pd.DataFrame | None, n1: int, n0: int) -> tuple[np.ndarray, float]:
+def _train_words(counts: pd.DataFrame, hard: pd.DataFrame | None, n1: int, n0: int, c: float = 3.0) -> tuple[np.ndarray, float]:
     """The machine on words: those that mark toxic sentences beyond doubt against common ones and ``hard`` ones (highest of clean texts)."""
     odds = np.log((counts.n1 + 0.5) / (n1 + 1)) - np.log((counts.n0 + 0.5) / (n0 + 1))
     counts = counts.assign(odds=odds, evidence=_evidence(counts.n1, counts.n0, n1, n0))
@@ -239,7 +251,7 @@ def _train_words(counts: pd.DataFrame, hard: pd.DataFrame | None, n1: int, n0: i
     y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
     weight = np.concatenate([good.n1.to_numpy(float), bad.hits.to_numpy(float)])
     weight[: len(good)] *= weight[len(good) :].sum() / max(1.0, weight[: len(good)].sum()) / 2
-    w = support_vectors(kernel(coded, marks) @ whiten, y, weight, c=3.0)
+    w = support_vectors(kernel(coded, marks) @ whiten, y, weight, c=c)
     by_mark = whiten @ w[:-1]
     table = np.zeros(ALPHABET**3)
     for m, mark in enumerate(marks):
@@ -257,10 +269,12 @@ def _highest(model: Model):
         cache = Margins(model)
         for f in frames:
             out = []
-            for t in f.text:
-                words = sorted(set(t.lower().split())) if t else []
-                cache.learn([words])
-                out += [w for w in sorted(words, key=cache.__getitem__)[-2:] if cache[w] > -0.5]
+            texts = f.text.tolist()
+            for begin, end in runs(texts):
+                split = [sorted(set(t.lower().split())) if t else [] for t in texts[begin:end]]
+                cache.learn(split)
+                for words in split:
+                    out += [w for w in sorted(words, key=cache.__getitem__)[-2:] if cache[w] > -0.5]
             yield pd.DataFrame({"word": pd.Series(out, dtype=object)})
 
     return run
@@ -270,8 +284,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
     """Fits the model on at most ``sample`` labelled rows for which ``allowed`` holds (the bound; chosen by a hash of the key).
 
     Each sentence of a labelled text carries its label. Words that mark toxic sentences beyond doubt train the machine against
-    common words; then the highest words of clean texts join the latter, and it is trained again. A logistic curve turns a text's
-    features into a score. Spark counts words and scores the sample; the driver gets tables of bounded size. Labels that are null are
+    common words; then the highest words of clean texts join the latter, and it is trained again. A logistic curve that
+    rises with each feature turns a text's features into a score. Spark counts words and scores the sample; the driver gets tables of bounded size. Labels that are null are
     left out; without both classes every score is the share of label 1 (0.5 without labels).
     """
     scratch = Scratch(docs.sparkSession)
@@ -311,7 +325,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
             yield pd.DataFrame(_document_features(model, f.text), columns=["a", "b", "c"]).assign(y=f.y.to_numpy())
 
     got = rows.select("text", "y").mapInPandas(features, "a double, b double, c double, y int").toPandas().sort_values(["a", "b", "c", "y"])
-    model.final = logistic(got[["a", "b", "c"]].to_numpy(), (got.y > 0).to_numpy(float))
+    model.final = rising(got[["a", "b", "c"]].to_numpy(), (got.y > 0).to_numpy(float))
     scratch.drop(rows, counts)
     return model
 
