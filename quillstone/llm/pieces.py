@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import runs
+
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types of the file format
@@ -97,7 +99,7 @@ class PieceModel:
         for k, unit in enumerate(units):
             lengths.setdefault(len(unit), []).append(k)
         for n, at in lengths.items():
-            step = max(1, 4_000_000 // (n + 1))
+            step = max(1, 500_000 // (n + 1))
             for k in range(0, len(at), step):
                 part = at[k : k + step]
                 self._equal(n, part, [units[p] for p in part], out)
@@ -181,10 +183,9 @@ def encode_ids(text: Column, path: str) -> Column:
     def encode(texts: pa.Array) -> pa.Array:
         model = state.get("model") or state.setdefault("model", PieceModel.load(path))
         known = state.setdefault("known", {})
-        cut = [model.units(t) if t else [] for t in texts.to_pylist()]
-        data, sizes = [], []
-        for k in range(0, len(cut), 500):
-            part = cut[k : k + 500]
+        texts_, data, sizes = texts.to_pylist(), [], []
+        for begin, end in runs(texts_):
+            part = [model.units(t) if t else [] for t in texts_[begin:end]]
             if len(known) > KNOWN_UNITS:
                 known.clear()
             new = list(set().union(*part).difference(known))
