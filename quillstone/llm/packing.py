@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +13,13 @@ EXACT = 4096  # lengths up to here have a histogram cell of their own; longer on
 
 
 def words(text: Column) -> Column:
-    """Tokens by white space, from the whole text; null and empty texts have none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
+    """Tokens by ASCII white space, from the whole text; null and empty texts have none."""
+
+    @F.arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([len(t.as_py().split()) if t.is_valid else 0 for t in texts], pa.int64())
+
+    return count(text.cast("binary"))
 
 
 def optimal_buckets(length: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
@@ -65,13 +71,19 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int
     results are replaced. An empty table gives no rows.
     """
     added = ("n_tokens", "bucket", "bucket_tokens", "batch", "place")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    rows = docs.select(row.alias("row"), words(F.col(f"`{text}`")).alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(f"`{key}`")).alias("_h"), F.xxhash64(F.col(f"`{text}`"), F.col(f"`{key}`")).alias("_h2"))
-    length, count, held = length_histogram(docs.select(words(F.col(f"`{text}`")).alias("n_tokens")), "n_tokens")
+    kept = [c for c in docs.columns if c not in added]
+    inner = [f"_in{k}" for k in range(len(kept))]  # apart from the columns of the ranks; what a caller drops is never shuffled
+    count_words = words(F.col(f"`{text}`"))
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner, strict=True)], count_words.alias("n_tokens"),
+        F.xxhash64(F.lit(seed), F.col(f"`{key}`")).alias("_h"), F.xxhash64(F.col(f"`{text}`"), F.col(f"`{key}`")).alias("_h2"),
+    )
+    length, count, held = length_histogram(docs.select(count_words.alias("n_tokens")), "n_tokens")
     bounds = optimal_buckets(length, count, held, buckets) or [0]
     array = F.array(*[F.lit(b).cast("long") for b in bounds])
     rows = rows.withColumn("bucket", F.size(F.filter(array, lambda b: b < F.col("n_tokens"))))
     ranked = exact_rank(rows, ["bucket"], "_h", ["_h2"], max(1, -(-int(count.sum()) // rows_per_range)), "rank")
     top = F.get(array, F.col("bucket"))
     each = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(top, F.lit(1))).cast("long"))
-    return ranked.select("row.*", "n_tokens", "bucket", top.alias("bucket_tokens"), F.floor(F.col("rank") / each).cast("long").alias("batch"), (F.col("rank") % each).alias("place"))
+    back = [F.col(i).alias(c) for c, i in zip(kept, inner, strict=True)]
+    return ranked.select(*back, "n_tokens", "bucket", top.alias("bucket_tokens"), F.floor(F.col("rank") / each).cast("long").alias("batch"), (F.col("rank") % each).alias("place"))
