@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, small
+from .common import Scratch, slices, small
 
 LENGTH, GRAM = 50, 16  # bytes of a repeated string, and of the gram that anchors it
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -131,10 +131,25 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, text) to (h, k, p); a batch at a time, in pieces of bounded size."""
+    """(k, text) to (h, k, p, known), pieces of bounded size at a time.
 
-    def rows(hs, ks, ps):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ks)), pa.array(np.concatenate(ps))], ["h", "k", "p"])
+    What a piece already shows to be in several texts goes out as ``known`` = h under a key of its text; two of its rows only go to
+    meet the same anchor of other tasks. So an anchor that a third of all texts have sends few rows to one place.
+    """
+
+    def rows(h, k, p):
+        h, k, p = (np.concatenate(x) for x in (h, k, p))
+        order = np.lexsort((k, h))
+        hs, ks = h[order], k[order]
+        first = np.concatenate([[True], hs[1:] != hs[:-1]])
+        other = np.concatenate([[False], (hs[1:] == hs[:-1]) & (ks[1:] != ks[:-1])])
+        group = np.cumsum(first) - 1
+        shared = np.bincount(group, weights=other)[group] > 0
+        seen = np.cumsum(other) - (np.cumsum(other) - other)[np.flatnonzero(first)][group]  # other texts of the anchor so far
+        free = np.zeros(len(h), bool)
+        free[order] = shared & ~first & ~(other & (seen == 1))
+        spread = np.where(free, k.view(np.uint64) * MIX, h).view(np.int64)  # rows stay in order of text, which compresses
+        return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(k), pa.array(p), pa.array(h.view(np.int64), mask=~free)], ["h", "k", "p", "known"])
 
     for batch in batches:
         hs, ks, ps, held = [], [], [], 0
@@ -145,7 +160,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ks.append(np.full(len(h), k, np.int64))
                 ps.append(p)
                 held += len(h)
-            if held > 500_000:
+            if held > 2_000_000:
                 yield rows(hs, ks, ps)
                 hs, ks, ps, held = [], [], [], 0
         if hs:
@@ -154,7 +169,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, k, text, marks of (h, p)) to (id, k, h, start, passage): the bytes of all windows of an anchor."""
-    for batch in batches:
+    for batch in slices(batches, 128):
         out: tuple[list, ...] = ([], [], [], [], [])
         held = 0
         for i, k, t, marks in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
@@ -303,7 +318,7 @@ def _hot_groups(hot: DataFrame) -> DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, spans of (lo, hi)) to (id, n_bytes, spans as maximal runs, kept bytes)."""
     runs_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in batches:
+    for batch in slices(batches):
         kept, all_runs, sizes = [], [], []
         for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             runs: list[list[int]] = []
@@ -322,18 +337,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(all_runs, runs_type), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
 
-def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, text: binary) to (k, spans) by row hash k: the byte ranges to remove."""
-    k = F.xxhash64("id", "text")
-    whole = scratch.save(texts.select("id", k.alias("k"), F.xxhash64("text").alias("t1"), F.xxhash64(F.length("text"), "text").alias("t2"), F.length("text").alias("n")))
+def repeated_spans(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, Column]:
+    """(id, text: binary) to (k, spans), the byte ranges to remove, and the row key k.
+
+    The key is the id; if an id comes with several texts, it is the id mixed with a hash of the text, so these stay apart.
+    """
+    whole = scratch.save(texts.select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.length("text"), "text").alias("t2"), F.length("text").alias("n")))
+    several = whole.select("id", "t1", "t2").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    key = F.col("id") if several.isEmpty() else F.xxhash64("id", F.xxhash64("text"))
+    key_of_copy = F.col("id") if several.isEmpty() else F.xxhash64("id", "t1")
     firsts = whole.groupBy("t1", "t2").agg(F.min("id").alias("first"))
-    copies = scratch.save(whole.join(firsts, ["t1", "t2"]).where(F.col("id") > F.col("first")).select("k", "n").distinct())
-    n_copies = copies.count()
-    originals = texts.withColumn("k", k).join(small(copies.select("k"), n_copies), "k", "left_anti")
+    copies = whole.join(firsts, ["t1", "t2"]).where(F.col("id") > F.col("first"))
+    copies = scratch.save(copies.select(key_of_copy.alias("k"), "n").distinct())
+    originals = texts.withColumn("k", key).join(small(copies.select("k"), copies.count()), "k", "left_anti")
 
-    marks = originals.select("k", "text").mapInArrow(_anchor_rows, "h bigint, k bigint, p bigint")
+    marks = originals.select("k", "text").mapInArrow(_anchor_rows, "h bigint, k bigint, p bigint, known bigint")
     over = W.partitionBy("h")
-    marks = marks.withColumns({"lo": F.min("k").over(over), "hi": F.max("k").over(over)}).where("lo < hi").select("h", "k", "p")
+    marks = marks.withColumns({"lo": F.min("k").over(over), "hi": F.max("k").over(over)}).where("lo < hi or known is not null")
+    marks = marks.select(F.coalesce("known", "h").alias("h"), "k", "p")
     marks = scratch.save(marks)
     scratch.free_shuffles()
 
@@ -351,6 +372,9 @@ def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     earlier = usual.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_groups, FOUND)
     if n_hot:
         earlier = earlier.unionByName(_hot_groups(distinct.join(small(hot, n_hot), "h", "left_semi")))
+    earlier = scratch.save(earlier)
+    scratch.drop(distinct)
+    scratch.free_shuffles()
     place = found.select("id", "k", "start", "h", F.xxhash64("passage").alias("sid"), F.length("passage").alias("size"))
     placed = place.join(earlier, ["h", "sid"])
     whole_passage = F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi")))
@@ -359,9 +383,9 @@ def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     spans = placed.select("k", F.explode(spans).alias("s")).groupBy("k").agg(F.collect_list("s").alias("spans"))
     full = copies.where(F.col("n") >= LENGTH).select("k", F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("n").cast("bigint").alias("hi"))).alias("spans"))
     out = scratch.save(spans.unionByName(full))
-    scratch.drop(found, distinct)
+    scratch.drop(found, earlier)
     scratch.free_shuffles()
-    return out
+    return out, key
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -380,7 +404,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     not a text are judged apart, none as smaller than the other. Null keys are never smaller, and keep their text.
     """
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
-    spans = repeated_spans(texts.where("id is not null"), Scratch(docs.sparkSession))
-    rows = texts.withColumn("k", F.xxhash64("id", "text")).join(spans, "k", "left").select("id", "text", "spans")
+    spans, row_key = repeated_spans(texts.where("id is not null"), Scratch(docs.sparkSession))
+    rows = texts.withColumn("k", row_key).join(spans, "k", "left").select("id", "text", "spans")
     out = rows.mapInArrow(_cut, "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return out.withColumnRenamed("id", key)
