@@ -1,5 +1,6 @@
 """Queries over tokens, postings, vectors and ranks."""
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -167,30 +168,43 @@ def first_copies(spark, sf):
  x as (select query_id, doc_id, lang <> 'en' as out from c join documents using (doc_id) where rank <= 20)
  select query_id, count(*) as candidates, count(*) filter (out) as excluded, count(*) filter (not out) < 5 as underfilled from x group by query_id""")
 def trace_counts(spark, sf):
-    """Candidates of each query, those that a language filter excludes, and whether under five stay."""
+    """The 20 best candidates of each query, those that a language filter excludes, and whether under five stay."""
     c = R.top(R.bm25(_terms(spark, sf), _docs(spark, sf)), 20).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     out = F.count_if(F.col("lang") != "en")
     return c.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), out.alias("excluded"), (F.count_if(F.col("lang") == "en") < 5).alias("underfilled"))
 
 
-def _pool(spark, sf):
-    ranked = R.top(R.bm25(_terms(spark, sf), _docs(spark, sf)), 60)
+@query(f"""with {BM25_SQL}, x as (select query_id, lang <> 'en' as out from bm join documents using (doc_id) where score > 0)
+ select query_id, count(*) as scored, count(*) filter (out) as excluded, count(*) filter (not out) < 5 as underfilled, (select count(*) from documents where lang <> 'en') as excluded_all from x group by query_id""")
+def exclusion_counts(spark, sf):
+    """Of each query's scored documents, without a cap, those that a language filter excludes; and all documents that it excludes."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    c = R.bm25(_terms(spark, sf), _docs(spark, sf)).where("score > 0").join(d, "doc_id")
+    every = d.agg(F.count_if(F.col("lang") != "en").alias("excluded_all"))
+    out = c.groupBy("query_id").agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("lang") != "en").alias("excluded"), (F.count_if(F.col("lang") == "en") < 5).alias("underfilled"))
+    return out.crossJoin(F.broadcast(every))  # one row
+
+
+BLOCK = ["lang", "source"]
+
+
+def _pool(spark, sf, scored):
+    """The best 20 rows of each query with their classes, and the overlapping pairs of classes among them."""
+    ranked = R.top(scored, 20).persist()
     ids = ranked.select("doc_id").distinct()
-    h = table(spark, sf, "documents").join(R.checked_broadcast(ids), "doc_id", "left_semi")
-    h = h.select("doc_id", F.sha2(F.array_join(T.tokens(F.col("text")), " "), 256).alias("h"))
-    heads = h.groupBy("h").agg(F.min("doc_id").alias("a"))
-    return ranked, h.join(heads, "h").where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+    rows = _rows(spark, sf).join(R.checked_broadcast(ids), "doc_id", "left_semi").persist()
+    return ranked.join(R.text_classes(rows, BLOCK), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")), R.overlapping(rows, BLOCK, [])
 
 
 @query()
 def greedy_dedup(spark, sf):
-    """Rows dropped in favour of a better row of the pool with the same token text (pairs with the first copy)."""
-    ranked, pairs = _pool(spark, sf)
-    return R.greedy_dedup(ranked.where("rank <= 20"), pairs)
+    """U5 over U4: rows of the pool of 20 dropped in favour of a better row that they overlap (copies and near copies of a language and source)."""
+    return R.greedy_dedup(*_pool(spark, sf, R.bm25(_terms(spark, sf), _docs(spark, sf))))
 
 
 @query()
 def pool_refill(spark, sf):
-    """Five rows for each query after removal of copies; the pool grows where it leaves fewer."""
-    ranked, pairs = _pool(spark, sf)
-    return R.refill(ranked, pairs, 5)
+    """Five rows for each query after greedy removal in a pool of 20; queries left with fewer go on over all documents that score."""
+    scored = R.bm25(_terms(spark, sf), _docs(spark, sf), by_doc=True).persist(StorageLevel.DISK_ONLY)
+    ranked, pairs = _pool(spark, sf, scored)
+    return R.refill_uncapped(scored, R.greedy_dedup(ranked, pairs).where("kept_by is null"), _rows(spark, sf), BLOCK, 5)
