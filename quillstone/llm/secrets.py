@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
@@ -33,6 +35,12 @@ IDENTIFIERS = (
     "width window workspace wrapper 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ).encode()
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Alphabets of random strings, smallest first: hexadecimal, base32, one case, both cases, base64 and its url form.
+ALPHABETS = (
+    _DIGITS + "ABCDEF", _DIGITS + "abcdef", _UPPER + "234567=", _LOWER + "234567=", _DIGITS + _UPPER, _DIGITS + _LOWER, _DIGITS + _LOWER + _UPPER,
+    _DIGITS + _LOWER + _UPPER + "+/=", _DIGITS + _LOWER + _UPPER + "_-=", _DIGITS + _LOWER + _UPPER + "+/=_-",
+)
 _WORDS = ("password", "passwd", "secret", "token", "api")
 
 
@@ -48,15 +56,44 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+@lru_cache(1)
+def _primed() -> zstandard.ZstdCompressor:
+    return _compressor(b"")
+
+
+def _compressor(around: bytes) -> zstandard.ZstdCompressor:
+    prime = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=9, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+@lru_cache(1 << 14)
+def random_share(letters: str, length: int) -> float:
+    """Compressed bytes a byte of random strings of ``length`` of these letters (from 64 bytes on the compressor codes their entropy)."""
+    draw, press = random.Random(length), _primed()
+    empty = len(press.compress(b""))
+    cost = [len(press.compress("".join(draw.choices(letters, k=length)).encode())) - empty for _ in range(4)]
+    return min(1.0, sum(cost) / (4 * length))
+
+
+def random_bytes(candidate: str) -> float:
+    """What a random string of the candidate's length and alphabet costs; beyond 4,096 symbols in proportion."""
+    letters = next(a for a in ALPHABETS if not set(candidate) - set(a))
+    n = len(candidate)
+    step = 1 if n < 256 else 64  # the share changes slowly behind 256 symbols
+    return n * random_share(letters, min(4096, n // step * step))
+
+
 def marginal_bytes(candidate: str, around: str) -> int:
     """Compressed bytes that ``candidate`` adds once the compressor knows identifiers and the code around it."""
-    prime = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=9, dict_data=prime, write_content_size=False, write_checksum=False, write_dict_id=False)
+    press = _compressor(around.encode("utf-8", "replace"))
     return len(press.compress(candidate.encode())) - len(press.compress(b""))
 
 
 def novel_spans(text: str, taken: list[tuple[str, int, int]], ratio: float, window: int, near: int) -> list[tuple[str, int, int]]:
-    """Candidates in a sensitive context, apart from ``taken`` spans, that stay incompressible: marginal bytes >= ratio * length."""
+    """Candidates in a sensitive context, apart from ``taken`` spans, that cost at least ``ratio`` times what a random string of their kind costs.
+
+    Other places of the candidate are taken out of the text that primes the compressor, so a repeated secret stays one.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
@@ -66,7 +103,9 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], ratio: float, wind
             continue
         if any(a < e and s < b for _, a, b in taken):
             continue
-        if marginal_bytes(word, text[max(0, s - window) : s] + text[e : e + window]) >= ratio * len(word):
+        reach = window + len(word)  # holds each other place that meets the window whole
+        left, right = text[max(0, s - reach) : s].replace(word, "")[-window:], text[e : e + reach].replace(word, "")[:window]
+        if marginal_bytes(word, left + right) >= ratio * random_bytes(word):
             out.append(("novel", s, e))
     return out
 

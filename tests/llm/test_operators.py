@@ -93,6 +93,18 @@ def test_secrets_base_and_novel():
     assert secrets.find_spans("q9Zx7LmP2sVb4NcR8tKd1WfG alone") == []
 
 
+def test_long_and_repeated_secrets():
+    """Random strings of any usual alphabet and length are found, and a secret that stands twice is found twice; long names are not."""
+    draw = __import__("random").Random(5)
+    upper, b32, b64 = "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", secrets._DIGITS + secrets._LOWER + secrets._UPPER + "+/"
+    for letters, n in [(upper, 40), (upper, 64), (upper, 128), (b32, 128), (b64, 44), (b64, 400), (b64, 800)]:
+        hit = [len(secrets.find_spans("the session key is " + "".join(draw.choices(letters, k=n)))) for _ in range(20)]
+        assert sum(hit) >= 19, (letters, n, sum(hit))
+    key = "".join(draw.choices(b64[:62], k=40))
+    assert [x[0] for x in secrets.find_spans(f"session {key} and then access {key} again")] == ["novel"] * 2
+    assert secrets.find_spans("access key " + "getInstanceSetValueConfigurationParameterRepositoryApplication01" * 3) == []
+
+
 def test_secret_columns(spark):
     text = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" é'
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (3, "")], DOCS)
