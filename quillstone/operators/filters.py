@@ -73,3 +73,13 @@ def grounding_records(rows: DataFrame, case: str, key: str, text: str, limit: in
     item = F.struct(F.col(key).alias("id"), T.bounded(F.col(text), limit).alias("excerpt"), (F.length(text) > limit).alias("shortened"))
     got = rows.groupBy(F.col(case).alias("case_key")).agg(F.sort_array(F.collect_list(item)).alias("evidence"))
     return got.select("case_key", F.to_json(F.struct("case_key", "evidence")).alias("record"))
+
+
+def grounding_runs(rows: DataFrame, case: list[str], key: str, text: str, limit: int, width: int) -> DataFrame:
+    """(case columns, run, record) over all rows: the records of ``grounding_records``, one for each run of ``width`` keys of a case.
+
+    Unique integer keys bound a record to ``width`` pieces of evidence; their number grows with the table.
+    """
+    item = F.struct(F.col(key).alias("id"), T.bounded(F.col(text), limit).alias("excerpt"), (F.length(text) > limit).alias("shortened"))
+    got = rows.groupBy(*case, F.floor(F.col(key) / width).alias("run")).agg(F.sort_array(F.collect_list(item)).alias("evidence"))
+    return got.select(*case, "run", F.to_json(F.struct(F.concat_ws("/", *case, F.col("run").cast("string")).alias("case_key"), "evidence")).alias("record"))

@@ -51,13 +51,21 @@ def token_budget(spark, sf):
 
 @query("""select lang as case_key, count(*) as n_evidence, md5(string_agg(doc_id || ':' || (length(text) > 300), ',' order by doc_id)) as fields_md5 from documents where doc_id % 50 = 0 group by lang""")
 def grounding_export(spark, sf):
-    """P20: one ordered JSON record of a case with its evidence; here its fields."""
+    """P20 over a fiftieth of the ids (``grounding_export_all``: all): one ordered JSON record of a case with its evidence; here its fields."""
     rows = table(spark, sf, "documents").where("doc_id % 50 = 0")
     out = P.grounding_records(rows, "lang", "doc_id", "text", 300)
     got = F.from_json("record", "case_key string, evidence array<struct<id:bigint,excerpt:string,shortened:boolean>>").getField("evidence")
     return out.select("case_key", F.size(got).cast("long").alias("n_evidence"), F.md5(F.array_join(F.transform(got, lambda e: F.concat_ws(":", e["id"].cast("string"), e["shortened"].cast("string"))), ",")).alias("fields_md5"))
 
 
+@query("""select source, lang, cast(doc_id // 1000 as bigint) as run, count(*) as n_evidence, md5(string_agg(doc_id || ':' || (length(text) > 300), ',' order by doc_id)) as fields_md5 from documents group by all""")
+def grounding_export_all(spark, sf):
+    """P20: records of all documents, one for each source, language and run of 1,000 ids; here their fields."""
+    out = P.grounding_runs(table(spark, sf, "documents"), ["source", "lang"], "doc_id", "text", 300, 1000)
+    got = F.from_json("record", "case_key string, evidence array<struct<id:bigint,excerpt:string,shortened:boolean>>").getField("evidence")
+    return out.select("source", "lang", "run", F.size(got).cast("long").alias("n_evidence"), F.md5(F.array_join(F.transform(got, lambda e: F.concat_ws(":", e["id"].cast("string"), e["shortened"].cast("string"))), ",")).alias("fields_md5"))
+
+
 @query("""select doc_id, lower(lang) = lower('EN') as by_lang, list_contains(['src1','src2'], lower(source)) as by_source, doc_id % 3 <> 1 or list_contains(['p0','p2'], 'p' || (doc_id % 4)) as approved from documents""")
 def metadata_filter(spark, sf):
     """Metadata equality in any case, lists of values, and the profile gate."""

@@ -209,3 +209,19 @@ def test_guards(spark):
     assert [r.ref for r in rules.stage_text_violations(texts, ev).collect()] == ["section 6"]
     used = spark.createDataFrame([(1, "s1"), (1, "s2")], "case_id int, source_id string")
     assert sorted((r.rule, r.source_id) for r in rules.evidence_problems(ev, used, []).collect()) == [("digest", "s1"), ("duplicate", "s1"), ("host", "s1"), ("missing", "s2"), ("not_in_force", "s1")]
+
+
+def test_whole_tables_are_gated_and_exported(spark):
+    from quillstone.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    n = QUERIES["grounding_export_all"](spark, sf).agg(F.sum("n_evidence")).first()[0]
+    assert n == spark.read.parquet(f"{sf}/documents.parquet").count()
+    orders = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert QUERIES["claim_gate_all"](spark, sf).count() == orders
+
+
+def test_grounding_runs_are_bounded(spark):
+    rows = spark.createDataFrame([(i, "s", f"text {i}") for i in range(25)], "doc_id bigint, source string, text string")
+    got = filters.grounding_runs(rows, ["source"], "doc_id", "text", 300, 10).orderBy("run").collect()
+    assert [r.run for r in got] == [0, 1, 2] and [r.record.count('"id"') for r in got] == [10, 10, 5] and '"case_key":"s/2"' in got[2].record
