@@ -225,3 +225,7 @@ def test_grounding_runs_are_bounded(spark):
     rows = spark.createDataFrame([(i, "s", f"text {i}") for i in range(25)], "doc_id bigint, source string, text string")
     got = filters.grounding_runs(rows, ["source"], "doc_id", "text", 300, 10).orderBy("run").collect()
     assert [r.run for r in got] == [0, 1, 2] and [r.record.count('"id"') for r in got] == [10, 10, 5] and '"case_key":"s/2"' in got[2].record
+
+
+def test_pattern_behind_20000_characters(spark):
+    assert one(spark, "a " * 15_000 + "<x script", lambda c: rules.pattern_flags(c, {"script": "<[^>]*script"}), "string") == ["script"]
