@@ -44,6 +44,20 @@ def overlapping_ranges(rows: DataFrame, block: list[str], key: str, reach: int)
     return a.join(b, [*block, "cell"]).where((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= reach) & (F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1"))).select("a", "b")
 
 
+def overlapping_range_counts(rows: DataFrame, block: list[str], width: int = 16) -> DataFrame:
+    """(block, s1, e1, n1, s2, e2, n2): distinct ranges of a block that meet, each pair and each range with itself once, with their rows.
+
+    No window on ids: rows with one range are one class of n rows, and the members of a class are the rows with the same block, s and e.
+    Ranges look for partners in the cells of ``width`` that they touch, and meet in the first cell that they share.
+    """
+    r = rows.groupBy(*block, "s", "e").agg(F.count(F.lit(1)).alias("n")).where("s <= e")
+    r = r.withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
+    side = lambda k: r.select(*block, "cell", *[F.col(c).alias(c + k) for c in ("s", "e", "n")])
+    order = (F.col("s1") < F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("e1") <= F.col("e2")))
+    both = side("1").join(side("2"), [*block, "cell"]).where(order & (F.col("s2") <= F.col("e1")) & (F.col("cell") == F.floor(F.col("s2") / width)))
+    return both.select(*block, "s1", "e1", "n1", "s2", "e2", "n2")
+
+
 def check_quotes(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
     """(quote_id, source_known, verbatim): whether the quote stands in the cited text, white space and case aside."""
     both = quotes.join(corpus, "source_id", "left")

@@ -55,13 +55,28 @@ def section_chunks(spark, sf):
  select r.source, cast(r.c as int) as chunk, count(*) as n_pages, bool_or(length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) < 5) as scan_review
  from r join pages_ p on p.source = r.source and p.page_number between s and e group by all""")
 def chunk_pages(spark, sf):
-    """Pages in the span of each chunk (three overlapping spans a document)."""
+    """C6, J3 over the first seven pages of a document (``chunk_pages_all``: all): pages in the span of each chunk."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("chunk"))
+    return _chunk_facts(spark, sf, docs)
+
+
+def _chunk_facts(spark, sf, docs):
     spans = docs.select("source", F.col("chunk").cast("string").alias("chunk_id"), (F.col("chunk") * 2 + 1).alias("page_start"), (F.col("chunk") * 2 + 3).alias("page_end"))
     few = F.when(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]")) < 5, "insufficient").otherwise("digital")
     return C.page_facts(spans, _pages(spark, sf), few).select("source", F.col("chunk_id").cast("int").alias("chunk"), "n_pages", "scan_review")
 
 
+@query(f"""with {PAGES_SQL}, k as (select source, cast((page_number - 1) // 2 as int) as c from pages_ where page_number % 2 = 1),
+ r as (select source, c, c * 2 + 1 as s, c * 2 + 3 as e from k)
+ select r.source, cast(r.c as int) as chunk, count(*) as n_pages, bool_or(length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) < 5) as scan_review
+ from r join pages_ p on p.source = r.source and p.page_number between s and e group by all""")
+def chunk_pages_all(spark, sf):
+    """Pages in the span of each chunk; overlapping spans of three pages, as many as a document's pages ask for."""
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / SIZE).cast("int"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int"))).alias("chunk"))
+    return _chunk_facts(spark, sf, docs)
+
+
 @query("""select doc_id as source, cast(least(10, greatest(1, ceil(length(text) / 500.0))) as bigint) as n_pages, md5(substr(text, 1, 4200)) as text_md5, length(text) > 4200 as truncated
  from documents""".replace("least(10", "least(9"))
 def page_budget(spark, sf):

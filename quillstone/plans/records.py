@@ -47,11 +47,19 @@ def interval_join(spark, sf):
 
 @query("""select a.doc_id as a, b.doc_id as b from documents a join documents b on a.source = b.source and a.lang = b.lang and a.doc_id < b.doc_id and a.doc_id % 10 <= b.doc_id % 10 + 1 and b.doc_id % 10 <= a.doc_id % 10 + 1 and abs(a.doc_id - b.doc_id) <= 60""")
 def range_overlap(spark, sf):
-    """Page ranges that overlap, within a source, language and neighbourhood of ids."""
+    """J3 within 60 ids (``range_overlap_counts``: all): page ranges that overlap, within a source and language."""
     d = table(spark, sf, "documents").select("doc_id", "source", "lang", (F.col("doc_id") % 10).alias("s"), (F.col("doc_id") % 10 + 1).alias("e"))
     return R.overlapping_ranges(d, ["source", "lang"], "doc_id", 60)
 
 
+@query("""with r as (select source, lang, doc_id % 10 as s, doc_id % 10 + 1 as e, count(*) as n from documents group by all)
+ select a.source, a.lang, a.s as s1, a.e as e1, a.n as n1, b.s as s2, b.e as e2, b.n as n2 from r a join r b on a.source = b.source and a.lang = b.lang and a.s <= b.e and b.s <= a.e and (a.s < b.s or a.s = b.s and a.e <= b.e)""")
+def range_overlap_counts(spark, sf):
+    """Distinct page ranges of a source and language that overlap, with the documents of each, however far their ids lie apart."""
+    d = table(spark, sf, "documents").select("source", "lang", (F.col("doc_id") % 10).alias("s"), (F.col("doc_id") % 10 + 1).alias("e"))
+    return R.overlapping_range_counts(d, ["source", "lang"])
+
+
 @query("""with q as (select doc_id as quote_id, case when doc_id % 3 = 0 then doc_id + 1 else doc_id end as source_id, substr(text, 5, 40) as quote from documents)
  select quote_id, d.doc_id is not null as source_known, coalesce(contains(trim(lower(regexp_replace(d.text, '\\s+', ' ', 'g'))), trim(lower(regexp_replace(quote, '\\s+', ' ', 'g')))), false) as verbatim from q left join documents d on d.doc_id = q.source_id""")
 def quote_check(spark, sf):

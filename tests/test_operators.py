@@ -229,3 +229,18 @@ def test_grounding_runs_are_bounded(spark):
 
 def test_pattern_behind_20000_characters(spark):
     assert one(spark, "a " * 15_000 + "<x script", lambda c: rules.pattern_flags(c, {"script": "<[^>]*script"}), "string") == ["script"]
+
+
+def test_ranges_far_apart_overlap(spark):
+    rows = [(0, "a", 1, 40), (10**6, "a", 30, 50), (10**6 + 1, "a", 30, 50), (2 * 10**6, "a", 51, 60), (5, "b", 1, 40)]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, s int, e int")
+    got = {tuple(r) for r in records.overlapping_range_counts(d, ["source"]).where("s1 <> s2").collect()}
+    assert got == {("a", 1, 40, 1, 30, 50, 2)} and records.overlapping_range_counts(d, ["source"]).count() == 5
+
+
+def test_all_pages_are_in_chunks(spark):
+    from quillstone.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    longest = spark.read.parquet(f"{sf}/documents.parquet").agg(F.max(F.length("text"))).first()[0]
+    assert QUERIES["chunk_pages_all"](spark, sf).agg(F.max("chunk")).first()[0] == (-(-longest // 500) - 1) // 2 > 2
