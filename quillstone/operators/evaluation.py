@@ -29,3 +29,25 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     part = rows.groupBy(F.substring("h", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count(F.lit(1)).alias("n"))
     top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "")
     return part.agg(F.sha2(top, 256).alias("fingerprint"), F.sum("n").alias("n"))
+
+
+#: Digests that one group of ``digest_levels`` holds on average at most.
+GROUP = 4096
+
+
+def digest_levels(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, digest, n) of row digests (h, hexadecimal), in any order: levels by prefixes of h, the longest as the count asks for.
+
+    Equal digests are counted first, so copies fill no group. A level joins at most 256 digests, the first one about ``GROUP``;
+    prefixes have an even length, 2 at least.
+    """
+    by, k = list(by), 2
+    count = rows.count()
+    while count > GROUP * 16**k:
+        k += 2
+    level = rows.groupBy(*by, "h").agg(F.count(F.lit(1)).alias("n"))
+    level = level.select(*by, F.col("h").alias("p"), F.concat_ws(":", "h", F.col("n").cast("string")).alias("d"), "n")
+    for size in range(k, -1, -2):
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "")
+        level = level.groupBy(*by, F.substring("p", 1, size).alias("p")).agg(F.sha2(whole, 256).alias("d"), F.sum("n").alias("n"))
+    return level.select(*by, F.col("d").alias("digest"), "n")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks as C
+from ..operators import evaluation as E
 from .registry import query, table
 
 SIZE = 500
@@ -148,7 +149,18 @@ def marker_check(spark, sf):
 @query("""with c as (select d.doc_id, d.source, r.sha, r.n from documents d join (select source, md5(string_agg(sha256(text), '' order by sha256(text))) as sha, count(*) as n from documents group by source) r using (source))
  select doc_id, sha as source_digest, n as source_documents, 'pending' as audit_status from c""")
 def source_metadata(spark, sf):
-    """Facts of the source on each of its rows."""
+    """Facts of the source on each of its rows, with one text of all digests a source (``source_metadata_levels``: bounded)."""
     d = table(spark, sf, "documents")
     facts = d.groupBy("source").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), "")).alias("source_digest"), F.count(F.lit(1)).alias("source_documents"))
     return d.select("doc_id", "source").join(facts, "source").select("doc_id", "source_digest", "source_documents", F.lit("pending").alias("audit_status"))
+
+
+@query("""with u as (select source, sha256(text) as h, count(*) as n from documents group by all),
+ p as (select source, substr(h, 1, 2) as p, sha256(string_agg(h || ':' || n, '' order by h)) as d, sum(n) as n from u group by 1, 2),
+ r as (select source, sha256(string_agg(d, '' order by p)) as sha, cast(sum(n) as bigint) as n from p group by source)
+ select doc_id, sha as source_digest, n as source_documents, 'pending' as audit_status from documents join r using (source)""")
+def source_metadata_levels(spark, sf):
+    """Facts of the source on each of its rows, digested in levels (the SQL has the two of up to 1,048,576 rows)."""
+    d = table(spark, sf, "documents")
+    facts = E.digest_levels(d.select("source", F.sha2("text", 256).alias("h")), ["source"])
+    return d.select("doc_id", "source").join(facts, "source").select("doc_id", F.col("digest").alias("source_digest"), F.col("n").alias("source_documents"), F.lit("pending").alias("audit_status"))

@@ -38,6 +38,15 @@ def corpus_fingerprint(spark, sf):
     return E.fingerprint(table(spark, sf, "documents").select(F.sha2(row, 256).alias("h")))
 
 
+@query("""with r as (select sha256(doc_id || chr(1) || lang || chr(1) || source || chr(1) || text) as h from documents), u as (select h, count(*) as n from r group by h),
+ p as (select substr(h, 1, 2) as p, sha256(string_agg(h || ':' || n, '' order by h)) as d, sum(n) as n from u group by 1)
+ select sha256(string_agg(d, '' order by p)) as fingerprint, cast(sum(n) as bigint) as n from p""")
+def corpus_fingerprint_levels(spark, sf):
+    """An order-independent digest of all rows, in levels that follow the count (the SQL has the two of up to 1,048,576 rows)."""
+    row = F.concat_ws("\u0001", F.col("doc_id").cast("string"), "lang", "source", "text")
+    return E.digest_levels(table(spark, sf, "documents").select(F.sha2(row, 256).alias("h"))).select(F.col("digest").alias("fingerprint"), "n")
+
+
 @query("select c_custkey, sha256(c_custkey || '|' || c_name || '|' || c_nationkey) as digest from customer")
 def case_fingerprint(spark, sf):
     """A7."""

@@ -244,3 +244,16 @@ def test_all_pages_are_in_chunks(spark):
     sf = "/root/testdata/sf0.001"
     longest = spark.read.parquet(f"{sf}/documents.parquet").agg(F.max(F.length("text"))).first()[0]
     assert QUERIES["chunk_pages_all"](spark, sf).agg(F.max("chunk")).first()[0] == (-(-longest // 500) - 1) // 2 > 2
+
+
+def test_digest_levels(spark, monkeypatch):
+    """Groups stay bounded with many copies and many rows, and the digest follows the rows, not their order."""
+    from quillstone.operators import evaluation
+
+    rows = spark.range(3000).select(F.lit("s").alias("source"), F.sha2((F.col("id") % 500).cast("string"), 256).alias("h"))
+    one_ = evaluation.digest_levels(rows, ["source"]).first()
+    assert one_.n == 3000 and evaluation.digest_levels(rows.repartition(7).orderBy("h"), ["source"]).first() == one_
+    assert evaluation.digest_levels(rows.limit(2999), ["source"]).first().digest != one_.digest
+    monkeypatch.setattr(evaluation, "GROUP", 1)
+    deep = evaluation.digest_levels(rows.select("h")).first()
+    assert deep.n == 3000 and deep.digest != one_.digest
