@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,36 +45,64 @@ def runs(texts, chars: int = 2_000_000):
         yield begin, len(texts)
 
 
+def byte_runs(column: pa.Array, most: int = 1 << 19):
+    """(first row, bytes, bounds) of runs of about ``most`` bytes of a binary column (one value at least); nulls are empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    if not len(column):
+        return
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data or b"", np.uint8)
+    k = 0
+    while k < len(column):
+        end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + most, "right")) - 1)
+        yield k, data[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k]
+        k = end
+
+
 class Scratch:
     """Intermediate tables of one job, written as Parquet to the shared folder.
 
-    A written table cuts lineage, and survives the loss of any executor. ``drop`` removes a table that no
-    later step reads; tables that the returned DataFrame reads stay.
+    A written table cuts lineage, and survives the loss of any executor. Shuffle files of a step go as soon as its
+    table is written. ``drop`` removes tables that no later step reads, ``keep_only`` all but those that the returned DataFrame reads.
     """
 
+    #: Held while a table is written: shuffle files go at the end of the step, and Python gets batches of bounded size.
+    HELD = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    }
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.n = 0
+        self.held: dict[str, DataFrame] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = {k: self.spark.conf.get(k) for k in self.HELD}
+        for k, v in self.HELD.items():
+            self.spark.conf.set(k, v)
+        try:
+            df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        self.held[path] = out
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def free_shuffles(self) -> None:
-        """Lets Spark remove the shuffle files of finished steps."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for path in [p for p, t in self.held.items() if any(t is x for x in tables)]:
+            del self.held[path]
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        self.drop(*[t for t in self.held.values() if not any(t is x for x in tables)])
 
 
 def small(df: DataFrame, n: int) -> DataFrame:

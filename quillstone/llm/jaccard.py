@@ -9,52 +9,98 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import Scratch, slices, small
+from .common import Scratch, byte_runs, small
 from .components import components
 
 WORDS = 5
 CELL_BITS, CHUNK = 19, 1024  # the frequency sketch has 2**19 cells, moved in rows of 1,024
-KNOWN_WORDS = 500_000  # word hashes that a task remembers
 BITS = 1024  # of the parity sketch of a set
 SKETCH = [f"s{k}" for k in range(BITS // 64)]
-TURNS, PIVOTS = 3, 8  # turns of pairing with pivots, and random orders that give the pivots of a turn
+TURNS, PIVOTS, FEW = 4, 8, 8  # most turns of pairing with pivots, random orders that give the pivots of a turn, and candidates a token row from which turns go on
+PIECE, BUCKET, OFTEN = 1 << 19, 1 << 18, 16  # tokens dealt together, tokens that meet in a bucket, and groups of a piece from which a token is frequent
+REMEMBERED = 200_000  # group or set hashes that a task remembers
+BASE = 0x9E3779B97F4A7C15  # 5 modulo 8, so that differences of words don't vanish in a power of two
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+IN_WORD = ~np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+LETTER = np.array([(c + 32 if 65 <= c <= 90 else c) + 1 for c in range(256)], np.uint64)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_hashes(text: bytes | None, known: dict) -> np.ndarray:
-    """64-bit hashes of the 5-word shingles of a UTF-8 text, A-Z in lower case, words apart at ASCII white space; may repeat.
-
-    Fewer words: one hash for the whole sequence. No words or no text: none.
-    """
-    words = text.lower().split() if text else []
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
-    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    h = ids[: len(ids) - WORDS + 1].copy()
-    for k in range(1, WORDS):
-        h *= P1
-        h += ids[k : len(ids) - WORDS + 1 + k]
+def _mix(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(31)
     h *= P2
     h ^= h >> np.uint64(29)
     return h
 
 
+class Shingler:
+    """64-bit hashes of the 5-word shingles of UTF-8 texts, a run of texts at a time; A-Z in lower case, words apart at ASCII white space.
+
+    The hash of a word is a difference of a running sum over the run, brought back to the word's own start.
+    """
+
+    LONG = 1 << 20  # a text beyond is taken in pieces that end between words
+
+    def __init__(self):
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _words(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word hashes, first word of each text and the number of all)."""
+        n = len(raw)
+        if len(self.power) < n + 1:
+            self.power, self.inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)])) for base in (BASE, pow(BASE, -1, 1 << 64)))
+        word = IN_WORD[raw]
+        start, end = word.copy(), word.copy()
+        start[1:] &= ~word[:-1]
+        end[:-1] &= ~word[1:]
+        full = bounds[:-1] < bounds[1:]
+        first, last = bounds[:-1][full], bounds[1:][full] - 1
+        start[first], end[last] = word[first], word[last]
+        s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+        run = np.zeros(n + 1, np.uint64)
+        np.cumsum(LETTER[raw] * self.power[:n], out=run[1:])
+        return _mix((run[e] - run[s]) * self.inverse[s]), np.searchsorted(s, bounds)
+
+    def _long_words(self, raw: np.ndarray) -> np.ndarray:
+        parts, at = [], 0
+        while at < len(raw):
+            cut = min(len(raw), at + self.LONG)
+            while cut < len(raw) and IN_WORD[raw[cut]]:  # to the end of the word
+                gap = np.flatnonzero(~IN_WORD[raw[cut : cut + 4096]])
+                cut = cut + int(gap[0]) if len(gap) else min(len(raw), cut + 4096)
+            parts.append(self._words(raw[at:cut], np.array([0, cut - at]))[0])
+            at = cut
+        return np.concatenate(parts)
+
+    def shingles(self, raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Hashes of each text, which may repeat. Fewer than five words: one hash for the whole sequence; no words: none."""
+        if len(bounds) == 2 and len(raw) > self.LONG:
+            words = self._long_words(raw)
+            at = np.array([0, len(words)])
+        else:
+            words, at = self._words(raw, bounds)
+        many = max(0, len(words) - WORDS + 1)
+        h = words[:many].copy()
+        for k in range(1, WORDS):
+            h *= P1
+            h += words[k : many + k]
+        h = _mix(h)
+        out = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if b - a >= WORDS:
+                out.append(h[a : b - WORDS + 1])
+            elif b > a:
+                out.append(np.array([xxhash.xxh3_64_intdigest(words[a:b].tobytes(), seed=b - a)], np.uint64))
+            else:
+                out.append(np.empty(0, np.uint64))
+        return out
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells, known = np.zeros(1 << CELL_BITS, np.int64), _WordHash()
-    for batch in slices(batches):
-        found = [shingle_hashes(t, known) for t in batch.column(0).to_pylist()]
-        if found:
+    cells, shingler = np.zeros(1 << CELL_BITS, np.int64), Shingler()
+    for batch in batches:
+        for _, raw, bounds in byte_runs(batch.column(0)):
+            found = shingler.shingles(raw, bounds)
             cells += np.bincount((np.concatenate(found) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
     rows = cells.reshape(-1, CHUNK)
     full = np.flatnonzero(rows.any(1))
@@ -92,128 +138,283 @@ def parity_sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _first_times(hashes: list[int], seen: set[int]) -> list[bool]:
+    out = []
+    for h in hashes:
+        out.append(h not in seen)
+        if len(seen) >= REMEMBERED:
+            seen.clear()
+        seen.add(h)
+    return out
+
+
 def _prefixes(texts: DataFrame, cells: np.ndarray) -> DataFrame:
-    """(id, n, key, grp, prefix, sketch): set size, hash of the set, hash of prefix and size, the prefix for the first of a group in a task, and the sketch."""
+    """(id, t, n, key, grp, prefix, sketch columns): hash of the text, set size, hash of the set, hash of prefix and size, the prefix for the first of a group in a task, and the sketch."""
     shared = texts.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _WordHash(), set()
-        freq = shared.value
-        for batch in slices(batches):
-            out = ([], [], [], [], [])
-            for t in batch.column(1).to_pylist():
-                h = np.unique(shingle_hashes(t, known))
-                n = len(h)
-                key, grp, prefix = xxhash.xxh3_64_intdigest(h.tobytes()), 0, None
-                if n:
+        shingler, seen, freq = Shingler(), set(), shared.value
+        for batch in batches:
+            for at, raw, bounds in byte_runs(batch.column(2)):
+                keys, sizes, grps, prefixes, sketches = [], [], [], [], []
+                for h in shingler.shingles(raw, bounds):
+                    h = np.unique(h)
+                    n = len(h)
                     f = freq[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                    first = h[np.argsort(f, kind="stable")[: prefix_length(n)]]  # ties by hash, as h is in order
-                    grp = xxhash.xxh3_64_intdigest(first.tobytes(), seed=n)
-                    if grp not in seen:
-                        if len(seen) >= KNOWN_WORDS:
-                            seen.clear()
-                        seen.add(grp)
-                        prefix = first.view(np.int64)
-                for to, x in zip(out, (n, key, grp, prefix, parity_sketch(h) if n else None), strict=True):
-                    to.append(x)
-            as_long = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), as_long(out[1]), as_long(out[2]), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64()))], ["id", "n", "key", "grp", "prefix", "sketch"])
+                    first = h[np.argsort(f, kind="stable")[: prefix_length(n)]] if n else h  # ties by hash, as h is in order
+                    keys.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                    sizes.append(n)
+                    grps.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=n))
+                    prefixes.append(first.tobytes())
+                    sketches.append(parity_sketch(h))
+                prefixes = [p if new and n else None for p, new, n in zip(prefixes, _first_times(grps, seen), sizes, strict=True)]
+                as_long = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
+                columns = [*[batch.column(c).slice(at, len(keys)) for c in (0, 1)], pa.array(sizes, pa.int64()), as_long(keys), as_long(grps), pa.array(prefixes, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in np.array(sketches).T.copy()]], ["id", "t", "n", "key", "grp", "prefix", *SKETCH])
+
+    schema = "id bigint, t bigint, n bigint, key bigint, grp bigint, prefix binary, " + ", ".join(f"{c} bigint" for c in SKETCH)
+    return texts.select("id", "t", "text").mapInArrow(run, schema)
+
+
+def _linked(na, nb, common):
+    """100 * intersection >= 75 * union; numbers, numpy arrays or columns."""
+    return 7 * common >= 3 * (na + nb)
+
+
+def _deal(buckets: int):
+    """(grp, n, prefix) to packed rows by token bucket, a piece of the table at a time.
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, n bigint, key bigint, grp bigint, prefix array<bigint>, sketch array<bigint>")
+    A token that over OFTEN groups of a piece have goes out as ``known``, in packs that may go anywhere; two of its rows go to
+    its bucket, to meet the token's rows of other pieces. So no bucket fills with one token.
+    """
+
+    def pack(bucket: int, known: bool, part: list[np.ndarray]):
+        return bucket, known, *[x.tobytes() for x in part]
+
+    def rows(held: list[list[np.ndarray]], turn: int) -> pa.RecordBatch:
+        t, g, n, pos = (np.concatenate(x) for x in held)
+        order = np.argsort(t, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(t[order]) != 0]))
+        count = np.diff(np.concatenate([first, [len(t)]]))
+        place = np.arange(len(t)) - np.repeat(first, count)
+        often = np.repeat(count > OFTEN, count)
+        known, usual = order[often], np.sort(order[~often | (place < 2)])  # in order of text, which compresses
+        out = [pack((k + turn) % buckets, True, [x[known[k : k + (1 << 16)]] for x in (t, g, n, pos)]) for k in range(0, len(known), 1 << 16)]
+        at = ((t[usual] * P1 >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        usual, at = usual[(by := np.argsort(at, kind="stable"))], at[by]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(at) != 0])) if len(at) else []
+        for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+            out.append(pack(int(at[a]), False, [x[usual[a:b]] for x in (t, g, n, pos)]))
+        kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["bucket", "known", "t", "g", "n", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, turn = [[], [], [], []], 0, 0
+        for batch in batches:
+            for g, n, prefix in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                t = np.frombuffer(prefix, np.uint64)
+                for to, x in zip(held, (t, np.full(len(t), g, np.int64), np.full(len(t), n, np.int32), np.arange(len(t), dtype=np.int32)), strict=True):
+                    to.append(x)
+                size += len(t)
+                if size >= PIECE:
+                    yield rows(held, turn)
+                    held, size, turn = [[], [], [], []], 0, turn + 1
+        if size:
+            yield rows(held, turn)
+
+    return run
+
+
+def _spread(g: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """A random order of groups for each ``turn``."""
+    return _mix((g.view(np.uint64) + turn.astype(np.uint64) * P1) * P1)
+
+
+def _stars(t: np.ndarray, g: np.ndarray, n: np.ndarray, pos: np.ndarray, known: bool) -> list[pa.RecordBatch]:
+    """Rows of tokens that several groups have, and the pairs of a group and its token's pivot that can reach the similarity."""
+    order = np.lexsort((_spread(g, t % np.uint64(PIVOTS)), t))
+    t, g, n, pos = t[order], g[order], n[order], pos[order]
+    new = np.concatenate([[True], t[1:] != t[:-1]])
+    again = np.concatenate([[False], ~new[1:] & (g[1:] == g[:-1])])
+    t, g, n, pos = t[~again], g[~again], n[~again], pos[~again]
+    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    count = np.diff(np.concatenate([first, [len(t)]]))
+    keep = np.repeat(count > 1, count) | known
+    pivot = np.repeat(first, count)
+    pair = keep & (pivot != np.arange(len(t))) & _linked(n, n[pivot], 1 + np.minimum(n - pos - 1, n[pivot] - pos[pivot] - 1))
+    ends = np.unique(np.stack([g[pivot[pair]], g[pair]], 1), axis=0) if pair.any() else np.empty((0, 2), np.int64)
+    batch = lambda kind, a, b, c: pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c)], ["kind", "token", "grp", "pos"])
+    return [batch(0, t[keep].view(np.int64), g[keep], pos[keep].astype(np.int32)), batch(1, ends[:, 0].copy(), ends[:, 1].copy(), np.zeros(len(ends), np.int32))]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of some buckets to (0, token, grp, pos) of shared tokens and (1, pivot, grp, 0) of pairs."""
+    held: dict[int, list[list[np.ndarray]]] = {}
+    for batch in batches:
+        for bucket, known, *packs in zip(*[batch.column(c).to_pylist() for c in range(6)], strict=True):
+            part = [np.frombuffer(x, k) for x, k in zip(packs, (np.uint64, np.int64, np.int32, np.int32), strict=True)]
+            if known:
+                yield from _stars(*part, True)
+            else:
+                held.setdefault(bucket, []).append(part)
+    for bucket in list(held):
+        yield from _stars(*[np.concatenate(x) for x in zip(*held.pop(bucket), strict=True)], False)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
+    """(key, items): the hashes of each text's set, packed; a set once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHash()
-        for batch in slices(batches):
-            found = [np.unique(shingle_hashes(t, known)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "items"])
+        shingler, seen = Shingler(), set()
+        for batch in batches:
+            for _, raw, bounds in byte_runs(batch.column(0)):
+                found = [np.unique(h).tobytes() for h in shingler.shingles(raw, bounds)]
+                keys = [xxhash.xxh3_64_intdigest(x) for x in found]
+                new = pa.array(_first_times(keys, seen))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)).filter(new), pa.array(found, pa.binary()).filter(new)], ["key", "items"])
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, items array<bigint>")
+    return texts.select("text").mapInArrow(run, "key bigint, items binary")
 
 
-def _linked(na: Column, nb: Column, common: Column) -> Column:
-    """100 * intersection >= 75 * union."""
-    return 7 * common >= 3 * (na + nb)
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, x, y) to the (a, b) whose sets reach the similarity."""
+    for batch in batches:
+        good = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            good.append(bool(_linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))))
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def _may_link() -> Column:
     """Linked sets of n1 and n2 differ in (n1 + n2) / 7 elements at most, and their sketches in no more bits: what has more can't link."""
+    return 7 * _differ() <= F.col("n1") + F.col("n2")
+
+
+def _differ() -> Column:
     differ = F.lit(0)
     for c in SKETCH:
         differ = differ + F.bit_count(F.col(c + "1").bitwiseXOR(F.col(c + "2")))
-    return 7 * differ <= F.col("n1") + F.col("n2")
+    return differ
+
 
+def verify(pairs: DataFrame, sets: DataFrame, room: int, scratch: Scratch) -> DataFrame:
+    """Those of ``pairs`` (a, b, n1: size of a) whose whole sets reach the similarity.
 
-def verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those of ``pairs`` (a, b: ids) whose whole shingle sets reach the similarity."""
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = _sets(texts.join(small(ids, ids.count()), "id", "left_semi")).repartition("id")
-    left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    good = _linked(F.size("x").cast("long"), F.size("y").cast("long"), F.size(F.array_intersect("x", "y")).cast("long"))
-    return both.where(good).select("a", "b").distinct()
+    The set of a goes to b's task with each pair, and the set of b once. Pairs are taken in as many slices as it takes to send
+    about ``room`` elements each; a slice's files are gone before the next one.
+    """
+    n, held = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    slices, out = max(1, -(-held // max(room, 1 << 20))), None
+    for k in range(slices):
+        part = pairs.where(F.pmod(F.xxhash64("b"), F.lit(slices)) == k).select("a", "b")
+        left = sets.select(F.col("key").alias("a"), F.col("items").alias("x")).join(small(part, n), "a")
+        right = sets.join(small(part.select(F.col("b").alias("key")).distinct(), n), "key", "left_semi").select(F.col("key").alias("b"), F.col("items").alias("y"))
+        found = scratch.save(left.join(right, "b").select("a", "b", "x", "y").mapInArrow(_check, "a bigint, b bigint"))
+        out = found if out is None else out.union(found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) for each document; documents with Jaccard >= 0.75 on 5-word shingles are linked.
+    """(key, n_shingles, component_id) of each row; see ``near_duplicate_rows``."""
+    return near_duplicate_rows(docs, key, text).drop("text_hash")
+
 
-    Documents are collapsed to classes (equal sets), classes to groups (equal prefix and size). Groups that share a
-    prefix shingle are candidates, and so are the classes of one group. In three turns the classes that meet under a shingle
-    are paired with one pivot, the least by one of eight random orders, where their components differ; pairs that pass the parity sketch
-    (an exact filter) are verified on whole sets and join components. Only pairs across components are left then: those that
-    pass the size, position and sketch filters (all of them exact) are verified too. Pairs inside a component change nothing, so thousands of near copies cost about one pair each,
-    and no link between components is lost.
+def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text_hash, n_shingles, component_id) of each row; texts with Jaccard >= 0.75 on 5-word shingles are linked.
+
+    Rows are collapsed to classes (equal sets), classes to groups (equal prefix and size). Groups that share a prefix
+    shingle are paired with one pivot, the least by one of eight random orders; group pairs pass the size and position filters, are expanded to
+    classes, and pass the parity sketch (all three filters are exact). In a turn the nearest pivot of each class is verified on whole sets and joins
+    components. Turns go on until token rows have few candidates each, or four are done; then all pairs of groups across components
+    are filtered, expanded and verified. Pairs inside a component change nothing, so thousands of near copies cost about one pair
+    each, and no link between components is lost. Links inside a component are not listed: this is a join into classes.
 
     Sets are compared by 64-bit hashes of shingles, and equal sets found by a 64-bit hash of the set. Null and empty
-    texts have an empty set and link with nothing; a text of under five words is one shingle. Repeated rows are
-    copies. Rows that share an id count as one document. A null id stays null, with its class's component.
+    texts have an empty set and link with nothing; a text of under five words is one shingle. Repeated rows are copies, and rows that
+    share a key are judged apart. component_id is the least key that links reach; rows without a key take part, but never name a
+    component (null if no row of theirs has a key). Keys are whole numbers. ``text_hash`` is xxhash64 of the text as bytes.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    texts = texts.select("id", F.xxhash64("text").alias("t"), "text")
     wide = scratch.save(_prefixes(texts, shingle_frequencies(texts.select("text"))))
-    rows = scratch.save(wide.select("id", "n", "key", "grp"))
-    classes = scratch.save(rows.where("n > 0 and id is not null").groupBy("n", "key", "grp").agg(F.min("id").alias("rep")))
-
-    tokens = wide.where("prefix is not null").select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    over = W.partitionBy("token")
-    tokens = tokens.withColumns({"least": F.min("grp").over(over), "most": F.max("grp").over(over)}).where("least < most")
-    tokens = scratch.save(tokens.select("token", "grp", F.col("pos").cast("bigint").alias("pos"), "least").distinct())
-    scratch.free_shuffles()
-    sketches = wide.select(F.col("id").alias("rep"), "key", *[F.get("sketch", F.lit(k)).alias(c) for k, c in enumerate(SKETCH)])
-    sketches = scratch.save(classes.select("rep", "key", "n").join(sketches, ["rep", "key"]).drop("key").dropDuplicates(["rep"]))
+    rows = scratch.save(wide.select("id", "t", "n", "key", "grp"))
+    classes = scratch.save(wide.where("n > 0").groupBy("n", "key", "grp").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in SKETCH]))
+    n_classes, elements = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    prefixes = wide.where("prefix is not null").select("grp", "n", "prefix")
+    buckets = max(1, -(-(elements // 4) // BUCKET))
+    met = prefixes.mapInArrow(_deal(buckets), "bucket int, known boolean, t binary, g binary, n binary, pos binary").repartition(buckets, "bucket")
+    met = scratch.save(met.mapInArrow(_meet, "kind int, token bigint, grp bigint, pos int"))
     scratch.drop(wide)
-    scratch.free_shuffles()
-
-    alone = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).cast("bigint").alias("pos"))
-    tokens = tokens.select("token", "grp", "pos").unionByName(alone)  # classes of one group meet under the group itself
-    named, links, tried = classes.select("grp", "rep", F.col("rep").alias("comp")), None, None
-    side = lambda c, t: sketches.select(F.col("rep").alias(c), *[F.col(x).alias(x + t) for x in ("n", *SKETCH)])
-    several = lambda rows: rows.withColumns({"lo": F.min("comp").over(over), "hi": F.max("comp").over(over)}).where("lo < hi").drop("lo", "hi")
-    for turn in range(TURNS):
-        order = F.struct(F.xxhash64("rep", F.pmod("token", F.lit(PIVOTS)), F.lit(turn)).alias("h"), F.col("rep").alias("p"), F.col("comp").alias("c"))
-        star = several(tokens.join(named, "grp")).withColumn("x", F.min(order).over(over)).where("comp <> x.c")
-        star = star.select(F.least("rep", "x.p").alias("a"), F.greatest("rep", "x.p").alias("b")).distinct()
-        star = star if tried is None else star.join(tried, ["a", "b"], "left_anti")
-        star = scratch.save(star.join(side("a", "1"), "a").join(side("b", "2"), "b").where(_may_link()).select("a", "b"))
-        good = scratch.save(verify(star, texts, scratch))
-        links, tried = (good, star) if links is None else (links.union(good), tried.union(star))
+    tokens = met.where("kind = 0").select("token", "grp", "pos")
+
+    several = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("grp")
+    busy = scratch.save(tokens.select("grp").union(several).distinct())
+    n_busy = busy.count()
+    members = scratch.save(classes.join(small(busy, n_busy), "grp", "left_semi"))  # all that can have a partner
+    narrow = members.select("grp", "key", "n")
+    n_members, room = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)) / 2).first()
+    named_ids = members.where("rep is not null").select(F.col("rep").alias("id"), "key")
+    wanted = texts.join(small(named_ids.select("id").distinct(), n_members), "id", "left_semi").union(texts.where("id is null"))
+    sets = scratch.save(_sets(wanted).join(small(members.select("key"), n_members), "key", "left_semi"))
+
+    side = lambda c, t: members.select(F.col("key").alias(c), *[F.col(x).alias(x + t) for x in ("n", *SKETCH)])
+    near = lambda pairs: pairs.join(side("a", "1"), "a").join(side("b", "2"), "b").where(_may_link())
+    comps, links, tried = narrow.withColumn("comp", F.col("key")), None, None
+    turn, left = 0, None
+    while True:
+        heads = comps.groupBy("grp").agg(F.min_by("key", F.struct(F.xxhash64("key", F.lit(turn)), "key")).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n"))
+        heads = scratch.save(heads)
+        inside = comps.select("grp", "key").join(small(heads.where("lo < hi").select("grp", "head"), n_busy), "grp").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
+        if turn == 0:
+            stars = met.where("kind = 1").select(F.col("token").alias("pivot"), "grp").distinct()
+        else:
+            at = (tokens if left is None else left).join(small(heads.select("grp", "n", "lo", "hi"), n_busy), "grp")
+            spans = at.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.count(F.lit(1)).alias("c")).where("l < h")
+            spans = scratch.save(spans.select("token", "c"))
+            n_spans, ends, ahead = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0))).first()
+            new = scratch.save((tokens if left is None else left).join(small(spans.select("token"), n_spans), "token", "left_semi"))
+            scratch.drop(met, *([] if left is None else [left]))
+            left = new
+            if turn == TURNS or ahead <= FEW * ends:
+                break
+            at = left.join(small(heads.select("grp", "n", "lo", "hi"), n_busy), "grp")
+            order = F.struct(F.xxhash64("grp", F.pmod("token", F.lit(PIVOTS)), F.lit(turn)), F.col("grp").alias("pivot"), "n", "pos", "lo", "hi")
+            best = at.groupBy("token").agg(F.min(order).alias("p")).select("token", "p.pivot", *[F.col(f"p.{c}").alias(c + "_p") for c in ("n", "pos", "lo", "hi")])
+            apart = (F.col("grp") != F.col("pivot")) & ~((F.col("lo") == F.col("hi_p")) & (F.col("hi") == F.col("lo_p")))
+            stars = at.join(best, "token").where(apart & _linked(F.col("n"), F.col("n_p"), 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n_p") - F.col("pos_p") - 1)))
+            stars = stars.select("pivot", "grp").distinct()
+        stars = stars.join(small(heads.select(F.col("grp").alias("pivot"), F.col("head").alias("b")), n_busy), "pivot")
+        pairs = stars.join(small(comps.select("grp", F.col("key").alias("a")), n_members), "grp").select("a", "b").union(inside).where("a <> b").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        how_near = F.struct((_differ() / (F.col("n1") + F.col("n2"))).alias("d"), "b", "n1")
+        pairs = scratch.save(near(pairs).groupBy("a").agg(F.min(how_near).alias("x")).select("a", "x.b", "x.n1"))
+        good = verify(pairs, sets, int(room), scratch)
+        links, tried = (good, pairs) if links is None else (links.union(good), tried.union(pairs))
         found = components(links, scratch)
-        named = scratch.save(classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("grp", "rep", F.coalesce("root", "rep").alias("comp")))
-        scratch.free_shuffles()
-    at = scratch.save(several(tokens.join(named, "grp")).join(sketches, "rep"))
+        comps = scratch.save(narrow.join(small(found.select(F.col("node").alias("key"), "root"), n_members), "key", "left").select("grp", "key", "n", F.coalesce("root", "key").alias("comp")))
+        turn += 1
+
+    at = left.join(small(heads.select("grp", "n"), n_busy), "grp")
     end = lambda rows, t, *by: rows.select(*by, *[F.col(c).alias(c + t) for c in rows.columns if c not in by])
     bound = 1 + F.least(F.col("n1") - F.col("pos1") - 1, F.col("n2") - F.col("pos2") - 1)
-    apart = (F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2"))
-    cross = end(at, "1", "token").join(end(at, "2", "token"), "token").where(apart & _linked(F.col("n1"), F.col("n2"), bound) & _may_link())
-    more = cross.select("rep1", "rep2").distinct().toDF("a", "b")
-    more = scratch.save(more.join(tried, ["a", "b"], "left_anti"))
-    links2 = scratch.save(verify(more, texts, scratch))
-    found = components(links.union(links2), scratch)
-    final = classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("n", "key", "grp", F.coalesce("root", "rep").alias("component_id"))
-    final = scratch.save(final)
-    scratch.drop(at, more, sketches)
-    scratch.free_shuffles()
-    out = rows.join(final, ["n", "key", "grp"], "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    groups = end(at, "1", "token").join(end(at, "2", "token"), "token").where((F.col("grp1") < F.col("grp2")) & _linked(F.col("n1"), F.col("n2"), bound)).select("grp1", "grp2").distinct()
+    one, two = end(comps.select("grp", "key", "comp"), "1"), end(comps.select("grp", "key", "comp"), "2")
+    across = groups.join(small(one, n_members), "grp1").join(small(two, n_members), "grp2")
+    within = comps.join(small(heads.where("lo < hi").select("grp"), n_busy), "grp", "left_semi").select("grp", "key", "comp")
+    within = end(within, "1", "grp").join(end(within, "2", "grp"), "grp").where("key1 < key2")
+    pairs = across.select("key1", "comp1", "key2", "comp2").union(within.select("key1", "comp1", "key2", "comp2")).where("comp1 <> comp2")
+    pairs = near(pairs.select(F.col("key1").alias("a"), F.col("key2").alias("b")))
+    less = F.col("n1") <= F.col("n2")  # the smaller set is sent with each pair
+    pairs = pairs.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("b"), F.least("n1", "n2").alias("n1")).distinct()
+    pairs = scratch.save(pairs)
+    found = components(links.union(verify(pairs, sets, int(room), scratch)), scratch)
+    root = classes.select("n", "key", "grp", "rep").join(small(found.select(F.col("node").alias("key"), "root"), n_members), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = scratch.save(root.groupBy("root").agg(F.min("rep").alias("component_id")))
+    final = scratch.save(root.join(small(least, n_classes), "root").select("n", "key", "grp", "component_id"))
+    scratch.keep_only(rows, final)
+    out = rows.join(small(final, n_classes), ["n", "key", "grp"], "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(key), F.col("t").alias("text_hash"), F.col("n").alias("n_shingles"), component.alias("component_id"))
