@@ -1,11 +1,9 @@
-"""Toxicity: a support vector machine on a gapped subsequence kernel, with Nyström landmarks."""
+"""Toxicity: a support vector machine on a gapped subsequence kernel over sentences, with Nyström landmarks."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,112 +12,141 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, runs
 
-ALPHABET, START, DECAY, CUT = 64, 63, 0.5, 24
-#: Bounds of training: labelled rows, landmarks of either class, words of either class, rounds of hard words.
-SAMPLE, LANDMARKS, POSITIVE, NEGATIVE, ROUNDS = 4000, (160, 64), 600, 4000, 2
-KNOWN_WORDS = 400_000  # word margins that a task remembers
-FLOOR = -1.5  # margin of what holds no word
+#: Symbols 1..62 are letters, BREAK stands between words; 0 matches nothing.
+ALPHABET, BREAK, EDGE = 64, 63, b"?"  # EDGE: BREAK as a byte
+DECAY, SPAN, WINDOW, STEP = 0.5, 7, 10, 2  # weight of a symbol or gap, longest subsequence with its gaps, and windows of a sentence
+WIDE = WINDOW + SPAN - 1  # symbols that the subsequences of a window touch
+#: Bounds of training: labelled rows, landmarks of either class, windows of either class, words that start it, rounds.
+SAMPLE, LANDMARKS, POSITIVE, NEGATIVE, WORDS, ROUNDS = 4000, (400, 300), 2400, 4000, 600, 4
+FLOOR, LIVE = -1.5, -0.4  # margin of a text without windows, and the margin from which a window's own norm is worked out
+CHARS = 250_000  # of texts that are coded together
+OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+WEIGHTS = np.array([DECAY ** (b + 1) for _, b in OFFSETS], np.float32)
+#: Squared norm of what starts at a place, by the symbols from there to the sentence's end.
+OWN = np.array([sum(DECAY ** (2 * b + 2) for _, b in OFFSETS if b < k) for k in range(SPAN + 1)])
 LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-SENTENCE = re.compile(r"[.!?\n]+")
+_SPACE, _LINE, _STOP, _CALL = BREAK, 64, 65, 66  # classes of characters before sentences are cut
 
 
-class _Codes(dict):
-    """Letters to 1..62 (look-alikes as the letter), all else to 0, which matches nothing and only widens a gap."""
+def _symbol(char: str) -> int:
+    if char in "\n\r\v\f\u2028\u2029\x85":
+        return _LINE
+    if char.isspace():
+        return _SPACE
+    if char in ".?":
+        return _STOP
+    if char == "!":
+        return _CALL
+    c = LIKE.get(char, char).lower()[0]
+    return ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 36 if c.isalpha() else 0
 
-    def __missing__(self, char: int) -> int:
-        c = LIKE.get(chr(char), chr(char)).lower()[0]
-        code = ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 36 if c.isalpha() else 0
-        self[char] = code
-        return code
 
+TABLE = np.array([_symbol(chr(k)) for k in range(0x3000)], np.uint8)
 
-CODES = _Codes()
 
+def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, begin of each sentence, text of each sentence).
 
-def pieces(word: str) -> list[bytes]:
-    """The coded word behind a start mark; a word of over 24 symbols as overlapping pieces, all of them."""
-    coded = bytes([START]) + word.translate(CODES).encode("latin-1").strip(b"\0")
-    return [coded] if len(coded) <= CUT else [coded[k : k + CUT] for k in range(0, len(coded) - CUT // 2, CUT // 2)]
-
-
-@lru_cache(CUT + 1)
-def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    i, j, k = (np.array(x, np.int64) for x in zip(*[(a, b, c) for a in range(n) for b in range(a + 1, n) for c in range(b + 1, n)], strict=True))
-    return i, j, k, DECAY ** (k - i + 1.0)
-
-
-def _subsequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all three-symbol subsequences of equally long rows, and their weights; code 0 where a symbol is 0."""
-    i, j, k, weight = _triples(rows.shape[1])
+    Letters keep their place (look-alikes as the letter), white space is one BREAK, all else goes. A sentence ends at a line's end
+    or at . ! ? before white space; it stands between BREAKs, with SPAN - 1 zeros behind it, so nothing reaches over its end. Breaks between words of one letter go too.
+    """
+    texts = [t or "" for t in texts]
+    raw = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = np.where(raw < 0x3000, TABLE[np.minimum(raw, 0x2FFF)], (27 + raw % 36).astype(np.uint8))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])
+    after = np.concatenate([s[1:], [_LINE]])
+    last = (after == _SPACE) | (after == _LINE)
+    s[(s >= _STOP) & last] = _LINE
+    s[s == _STOP] = 0
+    s[s == _CALL] = 9
+    s, owner = s[s > 0], owner[s > 0]
+    gap = s >= BREAK
+    start = gap & ~np.concatenate([[False], gap[:-1]])  # of a run of breaks
+    first = np.flatnonzero(start)
+    if len(first):
+        s[first] = np.maximum.reduceat(s[gap], np.flatnonzero(start[gap]))
+    keep = ~gap | start
+    s, owner = s[keep], owner[keep]
+    at = np.flatnonzero(s >= BREAK)
+    size = np.diff(np.concatenate([[-1], at])) - 1  # of the word before each break
+    next_size = np.concatenate([size[1:], [0]])
+    lone = at[(s[at] == BREAK) & (size == 1) & (next_size == 1)]
+    s, owner = np.delete(s, lone), np.delete(owner, lone)
+    end = s == _LINE
+    times = np.where(end, SPAN + 1, 1)
+    spot = np.cumsum(times) - times + 1  # a break stands before all
+    out = np.zeros(int(times.sum()) + 1 + WIDE, np.uint8)
+    out[0] = BREAK
+    out[spot] = np.where(end, BREAK, s)
+    out[(spot + SPAN)[end]] = BREAK
+    ends = np.flatnonzero(end)
+    begin = np.concatenate([[0], (spot + SPAN)[end]])[: len(ends)]
+    return out, begin, owner[ends]
+
+
+def windows(begin: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, sentence) of overlapping windows of each sentence."""
+    stop = np.concatenate([begin[1:], [len(symbols) - WIDE - 1]]) - SPAN + 1
+    size = np.maximum(stop - begin, 1)
+    many = np.maximum(1, -(-(size - WINDOW) // STEP) + 1)
+    sentence = np.repeat(np.arange(len(begin)), many)
+    start = begin[sentence] + STEP * (np.arange(len(sentence)) - np.repeat(np.cumsum(many) - many, many))
+    return start, np.minimum(start + WINDOW, stop[sentence]), sentence
+
+
+def subsequences(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and weights of the three-symbol subsequences of rows of WIDE symbols that start in their first ``size`` places."""
     x = rows.astype(np.int32)
-    code = (x[:, i] * ALPHABET + x[:, j]) * ALPHABET + x[:, k]
-    code[(x[:, i] == 0) | (x[:, j] == 0) | (x[:, k] == 0)] = 0
-    return code, weight
-
-
-def self_kernel(rows: np.ndarray) -> np.ndarray:
-    """The kernel (order 3) of each row with itself, by the usual recursion over both prefixes, all rows at once."""
-    w, n = rows.shape
-    d2 = DECAY * DECAY
-    kp = np.ones((w, n + 1, n + 1))
-    out = np.zeros(w)
-    for order in range(1, 4):
-        new = np.zeros((w, n + 1, n + 1))
-        for i in range(1, n + 1):
-            same = ((rows[:, i - 1 : i] == rows) & (rows > 0)) * kp[:, i - 1, :-1]
-            if order == 3:
-                out += d2 * same.sum(1)
-                continue
-            run = np.zeros(w)
-            for j in range(1, n + 1):
-                run = DECAY * run + d2 * same[:, j - 1]
-                new[:, i, j] = DECAY * new[:, i - 1, j] + run
-        kp = new
-    return out
-
-
-def _by_length(coded: list[bytes], most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, rows) of equally long strings of three symbols or more, in chunks of bounded size."""
-    lengths: dict[int, list[int]] = {}
-    for at, b in enumerate(coded):
-        if len(b) >= 3:
-            lengths.setdefault(len(b), []).append(at)
-    for n, at in lengths.items():
-        step = max(1, most // len(_triples(n)[0]))
-        for k in range(0, len(at), step):
-            part = at[k : k + step]
-            yield np.array(part), np.frombuffer(b"".join(coded[p] for p in part), np.uint8).reshape(len(part), n)
-
-
-def kernel(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
-    """Normalised kernel values of coded words with coded landmarks."""
-    table = np.full(ALPHABET**3, -1, np.int64)
-    units: dict[int, dict[int, float]] = {}
-    for m, mark in enumerate(landmarks):
-        for at, rows in _by_length([mark]):
-            code, weight = _subsequences(rows)
-            for c, v in zip(code[0].tolist(), weight.tolist(), strict=True):
-                if c:
-                    units.setdefault(c, {}).setdefault(m, 0.0)
-                    units[c][m] += v
-            norm = np.sqrt(self_kernel(rows))[0]
-            for per in units.values():
-                if m in per:
-                    per[m] /= norm or 1.0
-    table[list(units)] = np.arange(len(units))
-    own = np.zeros((len(units), len(landmarks)))
-    for r, per in enumerate(units.values()):
-        for m, v in per.items():
-            own[r, m] = v
-    out = np.zeros((len(words), len(landmarks)))
-    for at, rows in _by_length(words, 1 << 15):
-        code, weight = _subsequences(rows)
-        row, col = np.nonzero(table[code] >= 0)
-        if len(row):
-            part = own[table[code[row, col]]] * weight[col][:, None]
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            out[at[row[first]]] = np.add.reduceat(part, first)
-        out[at] /= np.sqrt(np.maximum(self_kernel(rows), 1e-12))[:, None]
+    code = np.stack([(x[:, :WINDOW] * ALPHABET + x[:, a : a + WINDOW]) * ALPHABET + x[:, b : b + WINDOW] for a, b in OFFSETS], 2)
+    full = np.stack([(x[:, a : a + WINDOW] > 0) & (x[:, b : b + WINDOW] > 0) for a, b in OFFSETS], 2)
+    inside = (np.arange(WINDOW) < size[:, None]) & (x[:, :WINDOW] > 0)
+    weight = np.where(full & inside[:, :, None], WEIGHTS, np.float32(0))
+    return code.reshape(len(x), -1), weight.reshape(len(x), -1)
+
+
+def summed(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, weight): each row's weight of each distinct code."""
+    order = np.argsort(code, axis=1, kind="stable")
+    code, weight = np.take_along_axis(code, order, 1), np.take_along_axis(weight, order, 1)
+    new = np.concatenate([np.ones((len(code), 1), bool), code[:, 1:] != code[:, :-1]], 1)
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(weight.ravel(), first) if len(first) else np.empty(0, np.float32)
+    live = total > 0
+    return first[live] // max(1, code.shape[1]), code.ravel()[first][live], total[live]
+
+
+def norms(code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The root of the kernel of each row with itself."""
+    row, _, total = summed(code, weight)
+    return np.sqrt(np.maximum(np.bincount(row, total.astype(np.float64) ** 2, len(code)), 1e-12))
+
+
+def _rows(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as strings of symbols, to rows of WIDE symbols and how many places start a subsequence."""
+    rows = np.zeros((len(units), WIDE), np.uint8)
+    for k, u in enumerate(units):
+        rows[k, : len(u)] = np.frombuffer(u, np.uint8)
+    return rows, np.array([min(len(u), WINDOW) for u in units])
+
+
+def kernel(units: list[bytes], landmarks: list[bytes]) -> np.ndarray:
+    """Normalised kernel values of windows with landmarks."""
+    code, weight = subsequences(*_rows(landmarks))
+    row, unit, total = summed(code, weight)
+    total = total / norms(code, weight)[row].astype(np.float32)
+    kinds, col = np.unique(unit, return_inverse=True)
+    own = np.zeros((len(kinds) + 1, len(landmarks)), np.float32)
+    own[col, row] = total
+    place = np.full(ALPHABET**3, len(kinds), np.int64)
+    place[kinds] = np.arange(len(kinds))
+    out = np.zeros((len(units), len(landmarks)))
+    for k in range(0, len(units), 32):
+        code, weight = subsequences(*_rows(units[k : k + 32]))
+        row, unit, total = summed(code, weight)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        if len(first):
+            out[k + row[first]] = np.add.reduceat(own[place[unit]] * total[:, None], first)
+        out[k : k + 32] /= norms(code, weight)[:, None]
     return out
 
 
@@ -169,174 +196,204 @@ class Model:
     bias: float
     final: np.ndarray
 
-    def margins(self, words: list[str]) -> list[float]:
-        coded, owner = [], []
-        for at, word in enumerate(words):
-            for b in pieces(word):
-                coded.append(b)
-                owner.append(at)
-        best = np.full(len(words), FLOOR)
-        own = np.array(owner, np.int64)
-        for at, rows in _by_length(coded):
-            code, weight = _subsequences(rows)
-            m = self.table[code] @ weight.astype(np.float32)
-            live = np.flatnonzero(m > 0)  # the norm is needed only where the numerator is positive
-            if len(live):
-                m[live] /= np.sqrt(np.maximum(self_kernel(rows[live]), 1e-12))
-            np.maximum.at(best, own[at], np.maximum(m + self.bias, FLOOR))
-        return best.tolist()
-
-
-class Margins(dict):
-    """Margins of words, as a task meets them."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-
-    def learn(self, texts: list) -> None:
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        new = list(set().union(*texts).difference(self)) if texts else []
-        self.update(zip(new, self.model.margins(new), strict=True))
-
-
-def _features(margins: np.ndarray) -> tuple[float, float, float]:
-    """Highest and second highest margin of a text's words, and log(1 + words above 0)."""
-    if not len(margins):
-        return FLOOR, FLOOR, 0.0
-    top = np.partition(margins, -2)[-2:] if len(margins) > 1 else np.array([FLOOR, margins[0]])
-    return float(top[1]), float(top[0]), float(np.log1p((margins > 0).sum()))
-
-
-def _document_features(model: Model, texts: pd.Series) -> np.ndarray:
-    known = _document_features.__dict__.setdefault("known", {})
-    cache = known.get(id(model))
-    if cache is None:
-        known.clear()
-        cache = known[id(model)] = Margins(model)
-    out, texts = np.empty((len(texts), 3)), texts.tolist()
-    for begin, end in runs(texts):
-        part = [t.split() if t else [] for t in texts[begin:end]]
-        cache.learn(part)
-        for j, words in enumerate(part):
-            out[begin + j] = _features(np.fromiter(map(cache.__getitem__, words), np.float64, len(words)))
+    def margins(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, float, bytes]]:
+        """(text, sentence, start, margin, window) of each window whose margin may reach LIVE."""
+        x, begin, owner = coded(texts)
+        if not len(begin):
+            return
+        start, end, sentence = windows(begin, x)
+        n = len(x) - SPAN
+        wide, part = x.astype(np.int32), np.zeros(n, np.float32)
+        pairs = [wide[:n] * ALPHABET**2 + wide[a : a + n] * ALPHABET for a in range(1, SPAN - 1)]
+        for b in range(2, SPAN):
+            third = wide[b : b + n]
+            part += sum(np.take(self.table, pair + third) for pair in pairs[: b - 1]) * np.float32(DECAY ** (b + 1))
+        run = np.concatenate([[0], np.cumsum(part, dtype=np.float64)])
+        zero = np.flatnonzero(x == 0)
+        ahead = np.minimum(zero[np.searchsorted(zero, np.arange(n))] - np.arange(n), SPAN)  # symbols from each place to its sentence's end
+        own = np.concatenate([[0], np.cumsum(OWN[ahead])])
+        start, end = np.minimum(start, n), np.minimum(end, n)
+        value = run[end] - run[start]
+        least = np.sqrt(own[end] - own[start])  # the norm, if all subsequences are different; it is never less
+        live = np.flatnonzero((value > 0) & (value >= (LIVE - self.bias) * least))
+        for k in range(0, len(live), 256):
+            at = live[k : k + 256]
+            norm = norms(*subsequences(x[start[at, None] + np.arange(WIDE)], end[at] - start[at]))
+            for w, m in zip(at.tolist(), (value[at] / norm + self.bias).tolist(), strict=True):
+                yield int(owner[sentence[w]]), int(sentence[w]), int(start[w]), m, x[start[w] : end[w] + SPAN - 1].tobytes()
+
+
+def _document_features(model: Model, texts: list[str | None]) -> np.ndarray:
+    """Highest margin of each text's windows, the highest apart from it, and log(1 + sentences above 0)."""
+    out = np.tile([FLOOR, FLOOR, 0.0], (len(texts), 1))
+    for begin, end in runs(texts, CHARS):
+        found: dict[int, list[tuple[float, int, int]]] = {}
+        for text, sentence, start, margin, _ in model.margins(texts[begin:end]):
+            found.setdefault(text, []).append((margin, start, sentence))
+        for text, each in found.items():
+            top = max(each)
+            second = max((m for m, start, _ in each if abs(start - top[1]) >= WINDOW), default=FLOOR)
+            out[begin + text] = max(top[0], FLOOR), max(second, FLOOR), np.log1p(len({s for m, _, s in each if m > 0}))
     return out
 
 
 def _evidence(a, b, n1: int, n0: int):
-    """Twice the log-likelihood ratio of ``a`` of n1 toxic and ``b`` of n0 clean sentences' texts, against one common rate."""
+    """Twice the log-likelihood ratio of ``a`` of n1 toxic and ``b`` of n0 clean texts, against one common rate."""
     part = lambda x, n, other: x * np.log(np.maximum(x, 1e-9) * (n1 + n0) / (n * np.maximum(x + other, 1e-9)))
     return 2 * (part(a, n1, b) + part(b, n0, a))
 
 
-def _train_words(counts: pd.DataFrame, hard: pd.DataFrame | None, n1: int, n0: int, c: float = 3.0) -> tuple[np.ndarray, float]:
-    """The machine on words: those that mark toxic sentences beyond doubt against common ones and ``hard`` ones (highest of clean texts)."""
-    odds = np.log((counts.n1 + 0.5) / (n1 + 1)) - np.log((counts.n0 + 0.5) / (n0 + 1))
-    counts = counts.assign(odds=odds, evidence=_evidence(counts.n1, counts.n0, n1, n0))
-    good = counts[(counts.n1 >= 4) & (odds > np.log(8)) & (counts.evidence > 16)]
-    good = good.sort_values(["evidence", "word"], ascending=[False, True]).head(POSITIVE)
-    bad = counts[(odds < np.log(2)) & ~counts.word.isin(good.word)].sort_values(["n0", "word"], ascending=[False, True]).head(NEGATIVE)[["word"]].assign(hits=1.0)
-    if hard is not None:
-        bad = pd.concat([bad, hard[~hard.word.isin(good.word)]]).groupby("word", as_index=False).hits.max().sort_values(["hits", "word"], ascending=[False, True])
-    words = [*good.word, *bad.word]
-    coded = [pieces(w)[0] for w in words]
-    marks = list(dict.fromkeys([*coded[: min(len(good), LANDMARKS[0])], *coded[len(good) :][: LANDMARKS[1]]]))
-    if not len(good) or not len(bad) or not marks:
+def sentence_words(texts: list[str | None]) -> Iterator[tuple[int, int, bytes]]:
+    """(text, start of its sentence, sentence) in symbols, for each sentence with a word."""
+    x, begin, owner = coded(texts)
+    stop = np.concatenate([begin[1:], [len(x) - WIDE - 1]]) - SPAN + 1
+    for a, b, k in zip(begin.tolist(), stop.tolist(), owner.tolist(), strict=True):
+        if b - a > 2:
+            yield k, a, x[a:b].tobytes()
+
+
+def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(text, y) to (word as symbols, toxic texts, clean texts)."""
+    for f in frames:
+        found: dict[bytes, list[int]] = {}
+        for begin, end in runs(f.text.tolist(), CHARS):
+            own: dict[int, set[bytes]] = {}
+            for k, _, s in sentence_words(f.text.tolist()[begin:end]):
+                own.setdefault(k, set()).update(s.split(EDGE))
+            for k, words in own.items():
+                for w in words:
+                    if len(w) > 2:
+                        found.setdefault(w[:WINDOW], [0, 0])[int(f.y.iloc[begin + k] > 0)] += 1
+        yield pd.DataFrame([(w, a, b) for w, (b, a) in found.items()], columns=["word", "n1", "n0"])
+
+
+def _first_windows(marked: set[bytes]):
+    """(text, y, h) to windows (unit, y): of toxic texts those around marked words, of clean ones two at random places."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out, texts = [], f.text.tolist()
+            for begin, end in runs(texts, CHARS):
+                clean: dict[int, list[bytes]] = {}
+                for k, _, s in sentence_words(texts[begin:end]):
+                    y, hit = int(f.y.iloc[begin + k] > 0), marked.intersection(w[:WINDOW] for w in s.split(EDGE))
+                    for w in sorted(hit) if y else ():
+                        for lead in (0, (WINDOW - len(w)) // 2, WINDOW - len(w) - 1):  # the word at the begin, inside, and at the end
+                            p = max(0, s.find(EDGE + w) - max(0, lead))
+                            out.append((s[p : p + WIDE], 1))
+                    if not y and not hit:
+                        clean.setdefault(k, []).append(s)
+                for k, parts in clean.items():
+                    draw = np.random.default_rng(int(f.h.iloc[begin + k]) & 0xFFFFFFFF)
+                    for s in draw.choice(np.array(parts, object), min(2, len(parts)), replace=False):
+                        p = int(draw.integers(0, max(1, len(s) - WINDOW)))
+                        out.append((s[p : p + WIDE], 0))
+            yield pd.DataFrame({"unit": pd.Series([u for u, _ in out], dtype=object), "y": pd.Series([y for _, y in out], dtype="int32")})
+
+    return run
+
+
+def _next_windows(model: Model, marked: set[bytes]):
+    """(text, y, h) to windows (unit, y): the highest of toxic texts if above the margin, the two highest of clean ones if near it, apart from sentences with marked words."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out, texts = [], f.text.tolist()
+            for begin, end in runs(texts, CHARS):
+                found: dict[int, list[tuple[float, bytes, int]]] = {}
+                noted: dict[int, set[int]] = {}
+                for k, a, s in sentence_words(texts[begin:end]):
+                    if marked.intersection(w[:WINDOW] for w in s.split(EDGE)):
+                        noted.setdefault(k, set()).add(a)
+                for k, _, start, margin, unit in model.margins(texts[begin:end]):
+                    found.setdefault(k, []).append((margin, unit, start))
+                for k, each in found.items():
+                    y = int(f.y.iloc[begin + k] > 0)
+                    if y:
+                        out += [(u, 1) for m, u, _ in sorted(each)[-1:] if m > 0]
+                    elif k not in noted:
+                        out += [(u, 0) for m, u, _ in sorted(each)[-2:] if m > -0.5]
+            yield pd.DataFrame({"unit": pd.Series([u for u, _ in out], dtype=object), "y": pd.Series([y for _, y in out], dtype="int32")})
+
+    return run
+
+
+def fit(units: pd.DataFrame, c: float = 1.0) -> tuple[np.ndarray, float]:
+    """The machine on windows (unit, y, hits): Nyström features by landmarks of both classes, folded into a weight of each subsequence."""
+    good = units[units.y == 1].sort_values(["hits", "unit"], ascending=[False, True]).head(POSITIVE)
+    bad = units[(units.y == 0) & ~units.unit.isin(good.unit)].sort_values(["hits", "unit"], ascending=[False, True]).head(NEGATIVE)
+    if not len(good) or not len(bad):
         return np.zeros(ALPHABET**3, np.float32), FLOOR
+    draw = np.random.default_rng(1)
+    pick = lambda part, n: part.unit.iloc[np.sort(draw.choice(len(part), min(n, len(part)), replace=False))].tolist()
+    marks = pick(good, LANDMARKS[0]) + pick(bad, LANDMARKS[1])
     among = kernel(marks, marks)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
-    weight = np.concatenate([good.n1.to_numpy(float), bad.hits.to_numpy(float)])
-    weight[: len(good)] *= weight[len(good) :].sum() / max(1.0, weight[: len(good)].sum()) / 2
-    w = support_vectors(kernel(coded, marks) @ whiten, y, weight, c=c)
+    weight = np.concatenate([good.hits.to_numpy(float), bad.hits.to_numpy(float)])
+    weight[: len(good)] *= weight[len(good) :].sum() / max(1.0, weight[: len(good)].sum())
+    w = support_vectors(kernel([*good.unit, *bad.unit], marks) @ whiten, y, weight, c=c)
     by_mark = whiten @ w[:-1]
-    table = np.zeros(ALPHABET**3)
-    for m, mark in enumerate(marks):
-        for _, rows in _by_length([mark]):
-            code, lam = _subsequences(rows)
-            np.add.at(table, code[0], by_mark[m] * lam / np.sqrt(self_kernel(rows)[0] or 1.0))
-    table[0] = 0
+    code, lam = subsequences(*_rows(marks))
+    row, unit, total = summed(code, lam)
+    table = np.bincount(unit, by_mark[row] * total / norms(code, lam)[row], ALPHABET**3)
     return table.astype(np.float32), float(w[-1])
 
 
-def _highest(model: Model):
-    """The two highest words of each text, if they come near the margin."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Margins(model)
-        for f in frames:
-            out = []
-            texts = f.text.tolist()
-            for begin, end in runs(texts):
-                split = [sorted(set(t.lower().split())) if t else [] for t in texts[begin:end]]
-                cache.learn(split)
-                for words in split:
-                    out += [w for w in sorted(words, key=cache.__getitem__)[-2:] if cache[w] > -0.5]
-            yield pd.DataFrame({"word": pd.Series(out, dtype=object)})
-
-    return run
-
-
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fits the model on at most ``sample`` labelled rows for which ``allowed`` holds (the bound; chosen by a hash of the key).
+    """Fits the model on the texts of at most ``sample`` labelled keys for which ``allowed`` holds (the bound; chosen by a hash of the key; one text a key).
 
-    Each sentence of a labelled text carries its label. Words that mark toxic sentences beyond doubt train the machine against
-    common words; then the highest words of clean texts join the latter, and it is trained again. A logistic curve that
-    rises with each feature turns a text's features into a score. Spark counts words and scores the sample; the driver gets tables of bounded size. Labels that are null are
-    left out; without both classes every score is the share of label 1 (0.5 without labels).
+    A label belongs to a text, of which few sentences earn it. So sentences are cut into overlapping windows that reach across words, and the
+    toxic ones are found in turns: at first the windows around words that mark toxic texts beyond doubt, against random
+    windows of clean texts; then the highest window of each toxic text that the machine finds joins the former and the highest ones of clean
+    texts join the latter. A logistic curve that rises with each feature turns a text's margins into a score. Spark counts, cuts and scores; the driver
+    gets tables of bounded size. Null labels are left out; without both classes every score is the share of label 1 (0.5 without labels).
     """
     scratch = Scratch(docs.sparkSession)
     chosen = labels.where(allowed & F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("id")).agg(F.max(f"`{label}`").cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id")  # at most ``sample`` rows
-    rows = scratch.save(rows.repartition(8, "id"))
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found: dict[str, list[int]] = {}
-            for t, y in zip(f.text, f.y, strict=True):
-                for w in set().union(*[s.lower().split() for s in SENTENCE.split(t)]) if t else ():
-                    found.setdefault(w, [0, 0])[int(y > 0)] += 1
-            yield pd.DataFrame([(w, a, b) for w, (b, a) in found.items()], columns=["word", "n1", "n0"])
-
-    counts = scratch.save(rows.select("text", "y").mapInPandas(count, "word string, n1 bigint, n0 bigint").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
-    n1, n0 = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1)) - F.coalesce(F.sum("y"), F.lit(0))).first()
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = scratch.save(rows.withColumn("h", F.xxhash64("id")).repartition(8, "id"))
+    part = rows.select("text", "y", "h")
+    counts = scratch.save(part.mapInPandas(_count_words, "word binary, n1 bigint, n0 bigint").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
+    n1, n0 = rows.agg(F.count_if(F.col("y") > 0), F.count_if(~(F.col("y") > 0))).first()
     share = 0.5 if n1 + n0 == 0 else n1 / (n1 + n0)
     if not n1 or not n0:
         return Model(np.zeros(ALPHABET**3, np.float32), FLOOR, np.array([0, 0, 0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
     odds = (F.col("n1") + 0.5) * (n0 + 1) / ((F.col("n0") + 0.5) * (n1 + 1))
-    often = counts.where("n1 >= 4").orderBy(F.desc(odds * F.least("n1", F.lit(20))), "word").limit(4 * POSITIVE)
-    common = counts.orderBy(F.desc("n0"), "word").limit(NEGATIVE // 2)
-    others = counts.where("n0 > 0").orderBy(F.xxhash64("word"), "word").limit(NEGATIVE // 2)
-    table = often.union(common).union(others).distinct().toPandas().sort_values("word", ignore_index=True)
-    hard = None
-    for _ in range(ROUNDS):
-        model = Model(*_train_words(table, hard, n1, n0), np.zeros(4))
-        top = rows.where("y = 0").select("text").mapInPandas(_highest(model), "word string").groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("hits"))
-        more = top.toPandas()  # two words for a row of the sample at most
-        hard = more if hard is None else pd.concat([hard, more]).groupby("word", as_index=False).hits.sum()
-    model = Model(*_train_words(table, hard, n1, n0), np.zeros(4))
+    often = counts.where("n1 >= 3").orderBy(F.desc(odds * F.least("n1", F.lit(20))), "word").limit(4 * WORDS).toPandas()
+    ratio = np.log((often.n1 + 0.5) / (n1 + 1)) - np.log((often.n0 + 0.5) / (n0 + 1))
+    often = often.assign(evidence=_evidence(often.n1, often.n0, n1, n0))[(ratio > np.log(8)).to_numpy()]
+    often = often[often.evidence > 12].sort_values(["evidence", "word"], ascending=[False, True]).head(WORDS)
+    marked = {bytes(w) for w in often.word}
+    count = lambda df: df.groupBy("unit", "y").agg(F.count(F.lit(1)).cast("double").alias("hits"))
+    get = lambda df: df.orderBy(F.desc("y"), F.desc("hits"), "unit").limit(4 * (POSITIVE + NEGATIVE)).toPandas().assign(unit=lambda d: d.unit.map(bytes))
+    units, schema = get(count(part.mapInPandas(_first_windows(marked), "unit binary, y int"))), "unit binary, y int"
+    for _ in range(ROUNDS - 1):
+        model = Model(*fit(units), np.zeros(4))
+        units = pd.concat([units, get(count(part.mapInPandas(_next_windows(model, marked), schema)))]).groupby(["unit", "y"], as_index=False).hits.sum()
+    model = Model(*fit(units), np.zeros(4))
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame(_document_features(model, f.text), columns=["a", "b", "c"]).assign(y=f.y.to_numpy())
+            yield pd.DataFrame(_document_features(model, f.text.tolist()), columns=["a", "b", "c"]).assign(y=f.y.to_numpy())
 
     got = rows.select("text", "y").mapInPandas(features, "a double, b double, c double, y int").toPandas().sort_values(["a", "b", "c", "y"])
     model.final = rising(got[["a", "b", "c"]].to_numpy(), (got.y > 0).to_numpy(float))
-    scratch.drop(rows, counts)
+    scratch.keep_only()
     return model
 
 
 def toxicity(text: Column, model: Model) -> Column:
-    """Score from 0 to 1 of each whole text: every word is scored, in whatever place. Null and empty texts score as texts without words."""
+    """Score from 0 to 1 of each whole text: all windows of all its sentences are scored. Null and empty texts score as texts without windows."""
     shared = model
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        x = _document_features(shared, texts)
+        x = _document_features(shared, texts.tolist())
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ shared.final[:-1] + shared.final[-1], -30, 30))))
 
     return score(text)
