@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,7 +17,7 @@ LENGTH, GRAM = 50, 16  # bytes of a repeated string, and of the gram that anchor
 SPAN = LENGTH - GRAM + 1  # grams in a string
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
-HOT = 4096  # distinct passages of one anchor from which their strings are grouped by Spark instead
+HOT, WIDTHS = 4096, (7, 1)  # distinct passages of one anchor from which they are split by context, and places of the anchor in a string that a split keeps together
 BATCH = 1 << 17  # bytes of passages that are sorted together
 
 
@@ -304,15 +305,43 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush(rows)
 
 
-def _hot_groups(hot: DataFrame) -> DataFrame:
-    """The same for anchors with many distinct passages: their 50-byte strings are grouped as rows."""
-    windows = hot.select("h", "sid", "first_id", F.explode(F.sequence(F.lit(0), F.length("passage") - LENGTH)).alias("o"), "passage")
-    windows = windows.select("h", "sid", "first_id", "o", F.substring("passage", F.col("o") + 1, F.lit(LENGTH)).alias("string"))
-    least = windows.groupBy("h", "string").agg(F.min("first_id").alias("least"))
-    late = windows.join(least, ["h", "string"]).where("least < first_id")
-    spans = late.groupBy("h", "sid").agg(F.collect_list(F.struct(F.col("o").alias("lo"), (F.col("o") + LENGTH).alias("hi"))).alias("spans"))
-    out = hot.join(spans, ["h", "sid"], "left").where("spans is not null or n > 1")
-    return out.select("h", "sid", "first_id", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
+def _split(width: int):
+    """(id, k, h, passage) to (id, k, h, start, passage): the strings of a passage by where they hold the anchor, ``width`` places together.
+
+    Strings that hold it at places o to o + width - 1 share o bytes before it and SPAN - width - o bytes behind it; these make up the new h.
+    Equal strings hold their anchor at the same place, so they meet again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for i, k, h, t in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
+                at = int(anchors(t)[1][0]) >> 12
+                for low in range(0, SPAN, width):
+                    a, b = max(0, at - min(low + width, SPAN) + 1), min(len(t) - LENGTH, at - low)
+                    if a <= b:
+                        core = t[at - low : at + LENGTH - min(low + width, SPAN) + 1]
+                        new = xxhash.xxh3_64_intdigest(core, seed=(h ^ low * 0x9E3779B1) & (1 << 64) - 1) - (1 << 63)
+                        for to, v in zip(out, (i, k, new, a, t[a : b + LENGTH]), strict=True):
+                            to.append(v)
+            yield _batch(out)
+
+    return run
+
+
+def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, list[list[int]]]:
+    """What spans (lo, hi) leave of a text, and their union as maximal runs."""
+    runs: list[list[int]] = []
+    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
+        else:
+            runs.append([lo, hi])
+    parts, at = [], 0
+    for lo, hi in runs:
+        parts.append(text[at:lo])
+        at = hi
+    return b"".join([*parts, text[at:]]), runs
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,22 +350,42 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         kept, all_runs, sizes = [], [], []
         for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            runs: list[list[int]] = []
-            for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
-                if runs and lo <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], hi)
-                else:
-                    runs.append([lo, hi])
-            parts, at = [], 0
-            for lo, hi in runs:
-                parts.append(t[at:lo])
-                at = hi
-            kept.append(b"".join([*parts, t[at:]]))
+            left, runs = _kept(t, spans)
+            kept.append(left)
             all_runs.append([{"start": a, "end": b} for a, b in runs])
             sizes.append(len(t))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(all_runs, runs_type), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
 
+def _found_spans(found: DataFrame, scratch: Scratch, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """Passages (id, k, h, start, passage) to (k, spans): what strings with a smaller id cover.
+
+    Equal passages of an anchor are one; those of an anchor go to one task and are sorted there, HOT at most. Where there are more, they
+    are split by the context of the anchor and resolved the same way; the last split leaves single strings, so it needs no other.
+    """
+    distinct = found.groupBy("h", "passage").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    distinct = scratch.save(distinct.select("h", F.xxhash64("passage").alias("sid"), "first_id", "n", "passage"))
+    hot = scratch.save(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("h"))
+    n_hot = hot.count() if widths else 0
+    usual = distinct.join(small(hot, n_hot), "h", "left_anti") if n_hot else distinct
+    earlier = scratch.save(usual.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_groups, FOUND))
+    held = [distinct, hot, earlier]
+    if n_hot:
+        many = distinct.join(small(hot, n_hot), "h", "left_semi").withColumn("k", F.xxhash64("h", "sid"))
+        parts = scratch.save(many.select(F.col("first_id").alias("id"), "k", "h", "passage").mapInArrow(_split(widths[0]), "id bigint, k bigint, h bigint, start bigint, passage binary"))
+        again = _found_spans(parts, scratch, widths[1:])
+        back = many.join(again, "k", "left").where("spans is not null or n > 1").select("h", "sid", "first_id", F.coalesce("spans", F.array()).cast("array<struct<lo:int,hi:int>>").alias("spans"))
+        earlier = earlier.unionByName(back)
+        held += [parts, again]
+    place = found.select("id", "k", "start", "h", F.xxhash64("passage").alias("sid"), F.length("passage").alias("size"))
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi")))
+    spans = F.when(F.col("id") > F.col("first_id"), whole).otherwise(F.col("spans"))
+    spans = F.transform(spans, lambda s: F.struct((F.col("start") + s["lo"]).alias("lo"), (F.col("start") + s["hi"]).alias("hi")))
+    out = scratch.save(place.join(earlier, ["h", "sid"]).select("k", F.explode(spans).alias("s")).groupBy("k").agg(F.collect_list("s").alias("spans")))
+    scratch.drop(*held)
+    return out
+
+
 def repeated_spans(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, Column]:
     """(id, text: binary) to (k, spans), the byte ranges to remove, and the row key k.
 
@@ -356,38 +405,28 @@ def repeated_spans(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, Colum
     marks = marks.withColumns({"lo": F.min("k").over(over), "hi": F.max("k").over(over)}).where("lo < hi or known is not null")
     marks = marks.select(F.coalesce("known", "h").alias("h"), "k", "p")
     marks = scratch.save(marks)
-    scratch.free_shuffles()
 
     by_text = marks.groupBy("k").agg(F.collect_list(F.struct("h", "p")).alias("marks"))
     found = originals.join(by_text, "k").select("id", "k", "text", "marks").mapInArrow(_passages, "id bigint, k bigint, h bigint, start bigint, passage binary")
     found = scratch.save(found)
     scratch.drop(marks)
-    scratch.free_shuffles()
 
-    distinct = found.groupBy("h", "passage").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    distinct = scratch.save(distinct.select("h", F.xxhash64("passage").alias("sid"), "first_id", "n", "passage"))
-    hot = scratch.save(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("h"))
-    n_hot = hot.count()
-    usual = distinct.join(small(hot, n_hot), "h", "left_anti") if n_hot else distinct
-    earlier = usual.repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_groups, FOUND)
-    if n_hot:
-        earlier = earlier.unionByName(_hot_groups(distinct.join(small(hot, n_hot), "h", "left_semi")))
-    earlier = scratch.save(earlier)
-    scratch.drop(distinct)
-    scratch.free_shuffles()
-    place = found.select("id", "k", "start", "h", F.xxhash64("passage").alias("sid"), F.length("passage").alias("size"))
-    placed = place.join(earlier, ["h", "sid"])
-    whole_passage = F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi")))
-    spans = F.when(F.col("id") > F.col("first_id"), whole_passage).otherwise(F.col("spans"))
-    spans = F.transform(spans, lambda s: F.struct((F.col("start") + s["lo"]).alias("lo"), (F.col("start") + s["hi"]).alias("hi")))
-    spans = placed.select("k", F.explode(spans).alias("s")).groupBy("k").agg(F.collect_list("s").alias("spans"))
+    spans = _found_spans(found, scratch)
+    scratch.drop(found)
     full = copies.where(F.col("n") >= LENGTH).select("k", F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.col("n").cast("bigint").alias("hi"))).alias("spans"))
     out = scratch.save(spans.unionByName(full))
-    scratch.drop(found, earlier)
-    scratch.free_shuffles()
+    scratch.keep_only(out)
     return out, key
 
 
+def texts_id(key: str) -> Column:
+    return F.col(f"`{key}`").cast("bigint").alias("id")
+
+
+def texts_bytes(text: str) -> Column:
+    return F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, spans, kept): each text without the bytes covered by a 50-byte string that starts in a document with a smaller key too.
 
@@ -397,14 +436,34 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Copies of whole texts are found by hash. Every window of 50 bytes has an anchor, its 16-byte gram with the least hash, so
     equal windows have equal anchors: only anchors that several texts share are kept, with the bytes around them (passages).
     Equal passages are collapsed to their least key before they are brought together by anchor, and suffix arrays
-    over the passages of an anchor find the classes of equal strings. Passages are grouped, never whole texts, so a string in a
-    third of all texts costs no task more than HOT distinct passages; above that its strings are grouped as rows.
+    over the passages of an anchor find the classes of equal strings. Passages are grouped, never whole texts, and an anchor with
+    more than HOT distinct passages is split by the bytes around it, so a string in a third of all texts fills no task.
 
     Texts under 50 bytes stay whole. Repeated rows (same key and text) are one document; rows that share a key but
     not a text are judged apart, none as smaller than the other. Null keys are never smaller, and keep their text.
     """
-    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"))
+    texts = docs.select(texts_id(key), texts_bytes(text))
     spans, row_key = repeated_spans(texts.where("id is not null"), Scratch(docs.sparkSession))
     rows = texts.withColumn("k", row_key).join(spans, "k", "left").select("id", "text", "spans")
     out = rows.mapInArrow(_cut, "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return out.withColumnRenamed("id", key)
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the repeated strings of ``remove_repeats`` cut out of its text column, all other columns and every row as they are.
+
+    A character that loses some of its bytes goes whole. Null texts stay null.
+    """
+
+    @F.arrow_udf("string")
+    def left(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([_kept(t.as_py(), s.as_py())[0].decode("utf-8", "ignore") if t.is_valid else None for t, s in zip(texts, spans, strict=True)], pa.string())
+
+    texts = docs.select(texts_id(key), texts_bytes(text))
+    spans, row_key = repeated_spans(texts.where("id is not null"), Scratch(docs.sparkSession))
+    inner = [f"_in{k}" for k in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(docs.columns, inner, strict=True)], texts_id(key), texts_bytes(text)).withColumn("k", row_key)
+    rows = rows.join(spans, "k", "left")
+    at = inner[docs.columns.index(text)]
+    new = F.when(F.col(at).isNotNull(), F.when(F.col("spans").isNull(), F.col(at)).otherwise(left(F.col("text"), F.col("spans"))))
+    return rows.select(*[(new if i == at else F.col(i)).alias(c) for c, i in zip(docs.columns, inner, strict=True)])
