@@ -218,7 +218,7 @@ def kept_by_brute_force(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [4096, 2, 0])
 def test_repeats(spark, docs, rows, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", hot)
     more = [*rows, (70, "-" * 300), (71, "+" + "-" * 120), (72, None)]
@@ -263,18 +263,48 @@ def test_kernel_matches_its_definition():
     def phi(b):
         out = Counter()
         for i, j, k in combinations(range(len(b)), 3):
-            if b[i] and b[j] and b[k]:
+            if i < toxicity.WINDOW and k - i < toxicity.SPAN and b[i] and b[j] and b[k]:
                 out[b[i], b[j], b[k]] += toxicity.DECAY ** (k - i + 1)
         return out
 
-    words = [toxicity.pieces(w)[0] for w in ("idiot", "id.iot", "banana", "réêou")]
-    got = toxicity.kernel(words, words)
-    for i, a in enumerate(words):
-        for j, b in enumerate(words):
+    units = [toxicity.coded([t])[0][: toxicity.WIDE].tobytes() for t in ("idiot", "idixot you", "bananana", "réêou", "", "i d i o t")]
+    got = toxicity.kernel(units, units[:4])
+    dot = lambda p, q: sum(v * q[u] for u, v in p.items())
+    for i, a in enumerate(units):
+        for j, b in enumerate(units[:4]):
             x, y = phi(a), phi(b)
-            dot = lambda p, q: sum(v * q[u] for u, v in p.items())
-            assert got[i, j] == pytest.approx(dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5)
-    assert got[0, 1] > 0.6 and sum(len(p) for p in toxicity.pieces("x" * 100)) > 100
+            assert got[i, j] == pytest.approx(dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5 if x and y else 0, abs=1e-5)
+    assert got[1, 0] > 0.3 > got[2, 0] and got[5, 0] == pytest.approx(1)
+
+
+def test_sentences_and_windows():
+    """Every letter of a text is in a window of its own sentence, and sentences end at marks before white space."""
+    texts = ["One two. Three!four five", None, "", "  x y\nz", "a.b", "word " * 5000]
+    x, begin, owner = toxicity.coded(texts)
+    letters = lambda k: [c for b, o in zip(begin, owner) if o == k for c in [bytes(x[b:]).split(b"\0")[0]]]
+    assert [len(letters(k)) for k in range(6)] == [2, 0, 0, 2, 1, 1] or owner.tolist().count(5) == 1
+    show = lambda b: "".join(chr(96 + c) if c < 27 else "_" for c in b)
+    assert [show(c) for c in letters(0)] == ["_one_two_", "_threeifour_five_"] and [show(c) for c in letters(3)] == ["_xy_", "_z_"] and show(letters(4)[0]) == "_ab_"
+    start, end, sentence = toxicity.windows(begin, x)
+    seen = np.zeros(len(x), bool)
+    for a, b in zip(start, end):
+        seen[a:b] = True
+    assert seen[x > 0][:-1].all() and (end - start <= toxicity.WINDOW).all()
+
+
+def test_margins_match_their_definition():
+    r = np.random.default_rng(4)
+    table = r.normal(size=toxicity.ALPHABET**3).astype(np.float32)
+    table.reshape(64, 64, 64)[0], table.reshape(64, 64, 64)[:, 0], table.reshape(64, 64, 64)[:, :, 0] = 0, 0, 0
+    model = toxicity.Model(table, -0.3, np.zeros(4))
+    texts = ["the cat sat on. the mat is here again", "x", None, "abc def " * 40]
+    got = {(k, s): m for k, _, s, m, _ in model.margins(texts)}
+    x, begin, owner = toxicity.coded(texts)
+    want = {}
+    for a, b, s in zip(*toxicity.windows(begin, x)):
+        code, weight = toxicity.subsequences(x[a : a + toxicity.WIDE][None], np.array([b - a]))
+        want[int(owner[s]), int(a)] = float((table[code] * weight).sum() / toxicity.norms(code, weight)[0] - 0.3)
+    assert all(m == pytest.approx(want[k], abs=1e-4) for k, m in got.items()) and all(m < toxicity.LIVE + 1e-6 or m <= -0.3 for k, m in want.items() if k not in got)
 
 
 def test_toxicity_held_out(spark):
@@ -286,7 +316,7 @@ def test_toxicity_held_out(spark):
         words = [word() for _ in range(30)]
         if bad:
             for _ in range(3):
-                words[r.randrange(30)] = r.choice(["dolt", "d.o.l.t", "wretch", "wret-ch", "knave", "knaave"])
+                words[r.randrange(30)] = r.choice(["dolt", "d.o.l.t", "d o l t", "wretch", "wret-ch", "knave", "knaave"])
         rows.append((i, " ".join(words)))
         labels.append((i, int(bad)))
     rows += [(1000, None), (1001, ""), (1002, "word " * 50_000 + "wretch dolt knave")]
@@ -403,3 +433,27 @@ def test_pipeline(spark):
     assert masked.columns == docs.columns and masked.where(F.size(secrets.secret_spans(F.col("text"))) > 0).count() == 0
     packed = corpus_pipeline.pack_batches(spark, masked, sf)
     assert packed.count() == masked.count()
+
+
+def test_pipeline_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, clashing columns, and an empty table, in every stage."""
+    import corpus_pipeline
+
+    sf, t = "/root/testdata/sf0.001", "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, t), (1, t), (2, t), (None, t), (3, "abc " * 30), (3, "xyz " * 30), (None, "lone words of a row without an id"), (4, None), (4, None), (5, ""), (6, "p" * 60 + "é"), (7, "p" * 60 + "é")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "k": F.lit(1), "_id": F.lit(2), "spans": F.lit("x"), "batch": F.lit(0)})
+    plain = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.text is None) for r in df.select("doc_id", "text").collect())
+    assert plain(corpus_pipeline.drop_toxic(spark, docs, sf)) == plain(docs)
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert near.columns == docs.columns
+    want = [(1, t), (3, "abc " * 30), (3, "xyz " * 30), (None, "lone words of a row without an id"), (4, None), (5, ""), (6, "p" * 60 + "é")]
+    assert plain(near) == plain(spark.createDataFrame(want, DOCS))
+    cut = corpus_pipeline.cut_repeats(spark, docs, sf)
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+    got = plain(cut)
+    assert got.count((False, 2, "", False)) == 1 and got.count((False, 7, "", False)) == 1 and got.count((False, 4, "", True)) == 2 and got.count((True, 0, t, False)) == 1
+    for stage in (corpus_pipeline.mask_secrets, corpus_pipeline.pack_batches):
+        assert stage(spark, docs, sf).count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    assert corpus_pipeline.run(spark, sf).count() > 100
