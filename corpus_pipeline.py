@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, ~toxicity.held_out(F.col("doc_id")))
     scored = docs.select(F.col("doc_id").alias("id"), _text_hash().alias("hash"), toxicity.toxicity(F.col("text"), model).alias("score"))
-    return _matched(docs, Scratch(spark).save(scored.where("score >= 0.3")), "left_anti")
+    return _matched(docs, Scratch(spark).save(scored).where("score >= 0.3"), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

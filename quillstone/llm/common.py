@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -14,6 +16,7 @@ from pyspark.sql import Window as W
 
 #: A side of a join is broadcast only when it has at most this many narrow rows; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+_LIBC = ctypes.CDLL(None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +48,26 @@ def runs(texts, chars: int = 2_000_000):
         yield begin, len(texts)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Spark reuses Python workers, which else keep the peak of every step so far."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run):
+    """An Arrow function over batches that gives memory back when it ends."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def byte_runs(column: pa.Array, most: int = 1 << 19):
     """(first row, bytes, bounds) of runs of about ``most`` bytes of a binary column (one value at least); nulls are empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

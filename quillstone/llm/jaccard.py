@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_runs, small
+from .common import Scratch, byte_runs, small, tidy
 from .components import components
 
 WORDS = 5
@@ -96,6 +96,7 @@ class Shingler:
         return out
 
 
+@tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells, shingler = np.zeros(1 << CELL_BITS, np.int64), Shingler()
     for batch in batches:
@@ -107,6 +108,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rows[k].tobytes() for k in full], pa.binary())], ["chunk", "cells"])
 
 
+@tidy
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -173,7 +175,7 @@ def _prefixes(texts: DataFrame, cells: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in np.array(sketches).T.copy()]], ["id", "t", "n", "key", "grp", "prefix", *SKETCH])
 
     schema = "id bigint, t bigint, n bigint, key bigint, grp bigint, prefix binary, " + ", ".join(f"{c} bigint" for c in SKETCH)
-    return texts.select("id", "t", "text").mapInArrow(run, schema)
+    return texts.select("id", "t", "text").mapInArrow(tidy(run), schema)
 
 
 def _linked(na, nb, common):
@@ -247,6 +249,7 @@ def _stars(t: np.ndarray, g: np.ndarray, n: np.ndarray, pos: np.ndarray, known:
     return [batch(0, t[keep].view(np.int64), g[keep], pos[keep].astype(np.int32)), batch(1, ends[:, 0].copy(), ends[:, 1].copy(), np.zeros(len(ends), np.int32))]
 
 
+@tidy
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packs of some buckets to (0, token, grp, pos) of shared tokens and (1, pivot, grp, 0) of pairs."""
     held: dict[int, list[list[np.ndarray]]] = {}
@@ -273,9 +276,10 @@ def _sets(texts: DataFrame) -> DataFrame:
                 new = pa.array(_first_times(keys, seen))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)).filter(new), pa.array(found, pa.binary()).filter(new)], ["key", "items"])
 
-    return texts.select("text").mapInArrow(run, "key bigint, items binary")
+    return texts.select("text").mapInArrow(tidy(run), "key bigint, items binary")
 
 
+@tidy
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, x, y) to the (a, b) whose sets reach the similarity."""
     for batch in batches:
@@ -344,7 +348,7 @@ def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text"
     n_classes, elements = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     prefixes = wide.where("prefix is not null").select("grp", "n", "prefix")
     buckets = max(1, -(-(elements // 4) // BUCKET))
-    met = prefixes.mapInArrow(_deal(buckets), "bucket int, known boolean, t binary, g binary, n binary, pos binary").repartition(buckets, "bucket")
+    met = prefixes.mapInArrow(tidy(_deal(buckets)), "bucket int, known boolean, t binary, g binary, n binary, pos binary").repartition(buckets, "bucket")
     met = scratch.save(met.mapInArrow(_meet, "kind int, token bigint, grp bigint, pos int"))
     scratch.drop(wide)
     tokens = met.where("kind = 0").select("token", "grp", "pos")

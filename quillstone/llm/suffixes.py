@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, slices, small
+from .common import Scratch, slices, small, tidy
 
 LENGTH, GRAM = 50, 16  # bytes of a repeated string, and of the gram that anchors it
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -131,6 +131,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h[p], p << 12 | p - first << 6 | p - last
 
 
+@tidy
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, text) to (h, k, p, known), pieces of bounded size at a time.
 
@@ -168,6 +169,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(hs, ks, ps)
 
 
+@tidy
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, k, text, marks of (h, p)) to (id, k, h, start, passage): the bytes of all windows of an anchor."""
     for batch in slices(batches, 128):
@@ -283,6 +285,7 @@ def earlier_strings(group: list[int], ids: list[int], passages: list[bytes]) ->
 FOUND = "h bigint, sid bigint, first_id bigint, spans array<struct<lo:int,hi:int>>"
 
 
+@tidy
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, sid, first_id, n, passage), groups of h together, to FOUND. Groups are gathered to about BATCH bytes before they are sorted."""
     spans = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
@@ -344,6 +347,7 @@ def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, list[list[int]]
     return b"".join([*parts, text[at:]]), runs
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, spans of (lo, hi)) to (id, n_bytes, spans as maximal runs, kept bytes)."""
     runs_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -372,7 +376,7 @@ def _found_spans(found: DataFrame, scratch: Scratch, widths: tuple[int, ...] = W
     held = [distinct, hot, earlier]
     if n_hot:
         many = distinct.join(small(hot, n_hot), "h", "left_semi").withColumn("k", F.xxhash64("h", "sid"))
-        parts = scratch.save(many.select(F.col("first_id").alias("id"), "k", "h", "passage").mapInArrow(_split(widths[0]), "id bigint, k bigint, h bigint, start bigint, passage binary"))
+        parts = scratch.save(many.select(F.col("first_id").alias("id"), "k", "h", "passage").mapInArrow(tidy(_split(widths[0])), "id bigint, k bigint, h bigint, start bigint, passage binary"))
         again = _found_spans(parts, scratch, widths[1:])
         back = many.join(again, "k", "left").where("spans is not null or n > 1").select("h", "sid", "first_id", F.coalesce("spans", F.array()).cast("array<struct<lo:int,hi:int>>").alias("spans"))
         earlier = earlier.unionByName(back)

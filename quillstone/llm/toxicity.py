@@ -10,15 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, runs
+from .common import Scratch, give_back, runs
 
 #: Symbols 1..62 are letters, BREAK stands between words; 0 matches nothing.
 ALPHABET, BREAK, EDGE = 64, 63, b"?"  # EDGE: BREAK as a byte
-DECAY, SPAN, WINDOW, STEP = 0.5, 7, 10, 2  # weight of a symbol or gap, longest subsequence with its gaps, and windows of a sentence
+DECAY, SPAN, WINDOW = 0.5, 7, 10  # weight of a symbol or gap, longest subsequence with its gaps, and places of a window
 WIDE = WINDOW + SPAN - 1  # symbols that the subsequences of a window touch
 #: Bounds of training: labelled rows, landmarks of either class, windows of either class, words that start it, rounds.
 SAMPLE, LANDMARKS, POSITIVE, NEGATIVE, WORDS, ROUNDS = 4000, (400, 300), 2400, 4000, 600, 4
-FLOOR, LIVE = -1.5, -0.4  # margin of a text without windows, and the margin from which a window's own norm is worked out
+FLOOR, LIVE = -1.0, -0.3  # margin of a text without windows, and the margin from which a window counts
 CHARS = 250_000  # of texts that are coded together
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 WEIGHTS = np.array([DECAY ** (b + 1) for _, b in OFFSETS], np.float32)
@@ -48,7 +48,7 @@ def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, begin of each sentence, text of each sentence).
 
     Letters keep their place (look-alikes as the letter), white space is one BREAK, all else goes. A sentence ends at a line's end
-    or at . ! ? before white space; it stands between BREAKs, with SPAN - 1 zeros behind it, so nothing reaches over its end. Breaks between words of one letter go too.
+    or at . ! ? before white space; it stands between BREAKs, with WINDOW zeros behind it, so no subsequence or window reaches over its end. Breaks between words of one letter go too.
     """
     texts = [t or "" for t in texts]
     raw = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -73,27 +73,17 @@ def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lone = at[(s[at] == BREAK) & (size == 1) & (next_size == 1)]
     s, owner = np.delete(s, lone), np.delete(owner, lone)
     end = s == _LINE
-    times = np.where(end, SPAN + 1, 1)
+    times = np.where(end, WINDOW + 2, 1)
     spot = np.cumsum(times) - times + 1  # a break stands before all
     out = np.zeros(int(times.sum()) + 1 + WIDE, np.uint8)
     out[0] = BREAK
     out[spot] = np.where(end, BREAK, s)
-    out[(spot + SPAN)[end]] = BREAK
+    out[(spot + WINDOW + 1)[end]] = BREAK
     ends = np.flatnonzero(end)
-    begin = np.concatenate([[0], (spot + SPAN)[end]])[: len(ends)]
+    begin = np.concatenate([[0], (spot + WINDOW + 1)[end]])[: len(ends)]
     return out, begin, owner[ends]
 
 
-def windows(begin: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, sentence) of overlapping windows of each sentence."""
-    stop = np.concatenate([begin[1:], [len(symbols) - WIDE - 1]]) - SPAN + 1
-    size = np.maximum(stop - begin, 1)
-    many = np.maximum(1, -(-(size - WINDOW) // STEP) + 1)
-    sentence = np.repeat(np.arange(len(begin)), many)
-    start = begin[sentence] + STEP * (np.arange(len(sentence)) - np.repeat(np.cumsum(many) - many, many))
-    return start, np.minimum(start + WINDOW, stop[sentence]), sentence
-
-
 def subsequences(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes and weights of the three-symbol subsequences of rows of WIDE symbols that start in their first ``size`` places."""
     x = rows.astype(np.int32)
@@ -197,30 +187,44 @@ class Model:
     final: np.ndarray
 
     def margins(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, float, bytes]]:
-        """(text, sentence, start, margin, window) of each window whose margin may reach LIVE."""
+        """(text, sentence, start, margin, window) of windows with a margin of LIVE or more: of those that overlap in a row the one with the greatest bound, WINDOW places apart at most."""
         x, begin, owner = coded(texts)
-        if not len(begin):
-            return
-        start, end, sentence = windows(begin, x)
-        n = len(x) - SPAN
+        n = len(x) - WIDE
         wide, part = x.astype(np.int32), np.zeros(n, np.float32)
         pairs = [wide[:n] * ALPHABET**2 + wide[a : a + n] * ALPHABET for a in range(1, SPAN - 1)]
         for b in range(2, SPAN):
             third = wide[b : b + n]
             part += sum(np.take(self.table, pair + third) for pair in pairs[: b - 1]) * np.float32(DECAY ** (b + 1))
-        run = np.concatenate([[0], np.cumsum(part, dtype=np.float64)])
         zero = np.flatnonzero(x == 0)
-        ahead = np.minimum(zero[np.searchsorted(zero, np.arange(n))] - np.arange(n), SPAN)  # symbols from each place to its sentence's end
-        own = np.concatenate([[0], np.cumsum(OWN[ahead])])
-        start, end = np.minimum(start, n), np.minimum(end, n)
-        value = run[end] - run[start]
-        least = np.sqrt(own[end] - own[start])  # the norm, if all subsequences are different; it is never less
-        live = np.flatnonzero((value > 0) & (value >= (LIVE - self.bias) * least))
+        ahead = zero[np.searchsorted(zero, np.arange(n))] - np.arange(n)  # symbols from each place to its sentence's end
+        value, least = _window_sums(part), _window_sums(OWN[np.minimum(ahead, SPAN)])
+        whole = ahead >= WINDOW
+        whole[begin[begin < n]] = True  # a shorter sentence is one window
+        live = np.flatnonzero(whole & (value > 0) & (value >= (LIVE - self.bias) * np.sqrt(least)))  # a norm is at least what it were, were all subsequences different
+        if not len(live):
+            return
+        run = np.cumsum(np.concatenate([[True], np.diff(live) > 1])) - 1
+        run_start = live[np.searchsorted(run, np.arange(run[-1] + 1))]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(run * (1 << 40) + (live - run_start[run]) // WINDOW) != 0]))
+        bound = value[live] / np.sqrt(least[live])
+        best = np.repeat(np.maximum.reduceat(bound, first), np.diff(np.concatenate([first, [len(live)]])))
+        at_best = np.flatnonzero(bound == best)
+        group = np.searchsorted(first, at_best, "right")
+        live = live[at_best[np.concatenate([[True], np.diff(group) != 0])]]
+        sentence = np.searchsorted(begin, live, "right") - 1
         for k in range(0, len(live), 256):
             at = live[k : k + 256]
-            norm = norms(*subsequences(x[start[at, None] + np.arange(WIDE)], end[at] - start[at]))
-            for w, m in zip(at.tolist(), (value[at] / norm + self.bias).tolist(), strict=True):
-                yield int(owner[sentence[w]]), int(sentence[w]), int(start[w]), m, x[start[w] : end[w] + SPAN - 1].tobytes()
+            rows = x[at[:, None] + np.arange(WIDE)]
+            margin = value[at] / norms(*subsequences(rows, np.full(len(at), WINDOW))) + self.bias
+            for j in np.flatnonzero(margin >= LIVE).tolist():
+                s = int(sentence[k + j])
+                yield int(owner[s]), s, int(at[j]), float(margin[j]), rows[j].tobytes()
+
+
+def _window_sums(y: np.ndarray) -> np.ndarray:
+    """Sums of WINDOW values from each place on."""
+    run = np.cumsum(np.concatenate([[0], y, np.zeros(WINDOW - 1)]))
+    return run[WINDOW:] - run[:-WINDOW]
 
 
 def _document_features(model: Model, texts: list[str | None]) -> np.ndarray:
@@ -246,7 +250,7 @@ def _evidence(a, b, n1: int, n0: int):
 def sentence_words(texts: list[str | None]) -> Iterator[tuple[int, int, bytes]]:
     """(text, start of its sentence, sentence) in symbols, for each sentence with a word."""
     x, begin, owner = coded(texts)
-    stop = np.concatenate([begin[1:], [len(x) - WIDE - 1]]) - SPAN + 1
+    stop = np.concatenate([begin[1:], [len(x) - WIDE - 1]]) - WINDOW
     for a, b, k in zip(begin.tolist(), stop.tolist(), owner.tolist(), strict=True):
         if b - a > 2:
             yield k, a, x[a:b].tobytes()
@@ -345,7 +349,7 @@ def fit(units: pd.DataFrame, c: float = 1.0) -> tuple[np.ndarray, float]:
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fits the model on the texts of at most ``sample`` labelled keys for which ``allowed`` holds (the bound; chosen by a hash of the key; one text a key).
 
-    A label belongs to a text, of which few sentences earn it. So sentences are cut into overlapping windows that reach across words, and the
+    A label belongs to a text, of which few sentences earn it. So windows at every place of a sentence, across its words, are compared, and the
     toxic ones are found in turns: at first the windows around words that mark toxic texts beyond doubt, against random
     windows of clean texts; then the highest window of each toxic text that the machine finds joins the former and the highest ones of clean
     texts join the latter. A logistic curve that rises with each feature turns a text's margins into a score. Spark counts, cuts and scores; the driver
@@ -394,6 +398,7 @@ def toxicity(text: Column, model: Model) -> Column:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         x = _document_features(shared, texts.tolist())
+        give_back()
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ shared.final[:-1] + shared.final[-1], -30, 30))))
 
     return score(text)
