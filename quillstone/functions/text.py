@@ -143,10 +143,13 @@ def statute_refs(cell: Column) -> Column:
     return F.when(none, F.array().cast("array<string>")).otherwise(refs)
 
 
-def relationship(left: Column, right: Column) -> Column:
-    """What two lists of references suggest: new, deleted, possible_merge, corresponding, or requires_review."""
-    n, m = F.size(left), F.size(right)
-    return F.when((n == 0) & (m > 0), "new").when((n > 0) & (m == 0), "deleted").when((n > 1) & (m == 1), "possible_merge").when((n == 1) & (m == 1), "corresponding").otherwise("requires_review")
+def relationship(cell: Column, refs: Column) -> Column:
+    """What a cell of old references suggests: new, deleted, possible_merge (several), corresponding (one), or requires_review."""
+    low = F.lower(cell)
+    return (
+        F.when(low.contains("new section") | low.contains("new sub-section"), "new").when(low.contains("deleted"), "deleted")
+        .when(F.size(refs) > 1, "possible_merge").when(F.size(refs) == 1, "corresponding").otherwise("requires_review")
+    )
 
 
 def provision_refs(text: Column) -> Column:

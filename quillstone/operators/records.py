@@ -182,3 +182,11 @@ def selected_sources(manifest: DataFrame, wanted: list[str]) -> tuple[DataFrame,
     """(sources asked for in the manifest's order, unknown ids)."""
     ask = manifest.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(w.strip() for w in wanted) if x], "source_id string")
     return manifest.join(F.broadcast(ask), "source_id", "left_semi").orderBy("position"), ask.join(manifest, "source_id", "left_anti")
+
+
+def mapping_candidates(rows: DataFrame) -> DataFrame:
+    """(row_id, reference, new_text, old_refs, hint) of table rows (row_id, cells): a row id, exactly two cells, the first not blank; ``1.2`` is ``1(2)``."""
+    new, old = F.get("cells", F.lit(0)), F.get("cells", F.lit(1))
+    refs = T.statute_refs(old)
+    good = rows.where(F.coalesce(F.col("row_id") != "", F.lit(False)) & (F.size("cells") == 2) & (new != ""))
+    return good.select("row_id", F.regexp_replace("row_id", r"^([^.]*)\.(.*)$", "$1($2)").alias("reference"), new.alias("new_text"), refs.alias("old_refs"), T.relationship(old, refs).alias("hint"))

@@ -75,14 +75,14 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score > 0): exact cosine of each (query_id, q) with each (doc_id, v), in double precision.
+    """(query_id, doc_id, score): exact cosine of each (query_id, q) with each (doc_id, v), in double precision.
 
     The stated query set is dealt in blocks to all document blocks; a zero vector scores 0.
     """
     q = queries.select("query_id", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("nq"))
     d = docs.select("doc_id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("nv"))
     score = F.when((F.col("nq") > 0) & (F.col("nv") > 0), dot(F.col("q"), F.col("v")) / (F.col("nq") * F.col("nv"))).otherwise(0.0)
-    return d.crossJoin(checked_broadcast(q)).select("query_id", "doc_id", F.round(score, 6).alias("score")).where("score > 0")
+    return d.crossJoin(checked_broadcast(q)).select("query_id", "doc_id", F.round(score, 6).alias("score"))
 
 
 def fuse(channels: DataFrame, k: int = 60) -> DataFrame:

@@ -118,13 +118,13 @@ def mapping_match(spark, sf):
 
 
 @query("""with x as (select p_partkey, p_partkey % 3 as n, p_size % 3 as m from part)
- select p_partkey, case when n = 0 and m > 0 then 'new' when n > 0 and m = 0 then 'deleted' when n > 1 and m = 1 then 'possible_merge' when n = 1 and m = 1 then 'corresponding' else 'requires_review' end as hint from x""")
+ select p_partkey, case when n = 0 and m = 0 then 'new' when n = 0 and m = 1 then 'deleted' when n = 0 then 'requires_review' when n = 1 then 'corresponding' else 'possible_merge' end as hint from x""")
 def relationship_hints(spark, sf):
-    """References of two cells and what they suggest."""
-    cell = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda k: F.concat((k * 7).cast("string"), F.lit("(1)"))), ", ")
-    n, m = (F.col("p_partkey") % 3).cast("int"), (F.col("p_size") % 3).cast("int")
-    refs = lambda n: T.statute_refs(F.when(n == 0, "New Section").otherwise(cell(n)))
-    return table(spark, sf, "part").select("p_partkey", T.relationship(refs(n), refs(m)).alias("hint"))
+    """References of a cell and what they suggest, whatever the other cell holds."""
+    n, m = (F.col("p_partkey") % 3).cast("int"), F.col("p_size") % 3
+    listed = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda k: F.concat((k * 7).cast("string"), F.lit("(1)"))), ", ")
+    cell = F.when(n > 0, listed).when(m == 0, "New Section").when(m == 1, "Deleted").otherwise("see the note")
+    return table(spark, sf, "part").select("p_partkey", T.relationship(cell, T.statute_refs(cell)).alias("hint"))
 
 
 @query("""select o_orderkey, array_to_string(list_filter([case when o_orderkey % 3 = 0 then 'unreviewed' end, case when o_orderkey % 6 = 0 then 'no_start' end, case when o_orderkey % 6 <> 0 and cast(o_orderdate as date) + 30 < date '1996-01-01' then 'expired' end], lambda x: x is not null), ',') as notes from orders""")

@@ -101,15 +101,26 @@ def test_zero_vectors_and_ranks(spark):
 
 
 def test_urgency(spark):
-    rows = [(1, "there is a threat now"), (2, "no threat"), (3, 'he said "threat" there'), (4, "there was a threat. fine"), (5, "He was ill. A threat came"), (6, None)]
+    rows = [
+        (1, "there is a threat now"), (2, "he did not threat"), (3, 'he said "threat" there'), (4, "last year there was a threat. fine"), (5, "Last year he was ill. A threat came"), (6, None),
+        (7, "he was ill and is under threat"), (8, "my lease says no pets. i am under threat"), (9, "police were here, i am under threat"), (10, "a \u201cthreat\u201d of old"), (11, "no longer threat"), (12, "never threat; a threat"),
+    ]
     df = spark.createDataFrame(rows, "id int, text string")
-    assert sorted(r.id for r in rules.urgency_signals(df, "id", "text", {"harm": ["threat"]}).collect()) == [1, 5]
+    assert sorted(r.id for r in rules.urgency_signals(df, "id", "text", {"harm": ["threat"]}).collect()) == [1, 5, 7, 8, 9, 12]
 
 
 def test_disallowed(spark):
-    rows = [(1, "please forge it"), (2, "do not forge it"), (3, "why can I not? why is it so that I cannot forge"), (4, "don't forge; forge")]
+    rows = [(1, "please forge it"), (2, "do not forge it"), (3, "why is it so that I cannot forge"), (4, "don't forge; forge"), (5, "why can they say that I cannot pay the rent of the house at all? now forge it"), (6, "do not ever forge it")]
     df = spark.createDataFrame(rows, "id int, text string")
-    assert sorted(r.id for r in rules.disallowed_requests(df, "id", "text", {"forge": "forge"}).collect()) == [1, 4]
+    assert sorted(r.id for r in rules.disallowed_requests(df, "id", "text", {"forge": "forge"}).collect()) == [1, 4, 5, 6]
+
+
+def test_mapping_candidates(spark):
+    rows = spark.createDataFrame([("1.2", ["theft", "378, 379"]), ("7", ["new kind", "New Section"]), (None, ["x", "1"]), ("8", ["", "1"]), ("9", ["a", "b", "c"]), ("10", ["gone", "44"])], "row_id string, cells array<string>")
+    from quillstone.operators import records
+
+    got = {r.row_id: (r.reference, r.old_refs, r.hint) for r in records.mapping_candidates(rows).collect()}
+    assert got == {"1.2": ("1(2)", ["378", "379"], "possible_merge"), "7": ("7", [], "new"), "10": ("10", ["44"], "corresponding")}
 
 
 def test_claim_gate(spark):
@@ -178,7 +189,7 @@ def test_embed_missing(spark):
 def test_gazette(spark):
     from quillstone.operators import gazette
 
-    text = ["Preface", "1. Short title.—(1) These may be called the Goa Rules, 2020.", "2. Definitions.—In these", "3. rupees five", "3. In the case", "5. Late.—x", "1. संक्षिप्त नाम", "2. दो", "THE GAZETTE OF INDIA"]
+    text = ["Preface", "1. Short title.—(1) These may be called the Goa Rules, 2020.", "2. Definitions.—In these", "3. Rs. 900 per day", "3. In the case", "5. Late.—x", "1. संक्षिप्त नाम", "2. दो", "THE GAZETTE OF INDIA"]
     lines = spark.createDataFrame([("s", k, t) for k, t in enumerate(text)] + [("t", 0, "nothing")], "source string, line_no int, line string")
     got = sorted(tuple(r) for r in gazette.gazette_rules(gazette.without_noise(lines)).collect())
     assert got == [("s", 1, 1, 1, 1), ("s", 1, 2, 2, 3), ("s", 1, 3, 4, 5)]
@@ -215,10 +226,10 @@ def test_whole_tables_are_gated_and_exported(spark):
     from quillstone.plans.queries import QUERIES
 
     sf = "/root/testdata/sf0.001"
-    n = QUERIES["grounding_export_all"](spark, sf).agg(F.sum("n_evidence")).first()[0]
+    n = QUERIES["grounding_export"](spark, sf).agg(F.sum("n_evidence")).first()[0]
     assert n == spark.read.parquet(f"{sf}/documents.parquet").count()
     orders = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
-    assert QUERIES["claim_gate_all"](spark, sf).count() == orders
+    assert QUERIES["claim_gate"](spark, sf).count() == orders
 
 
 def test_grounding_runs_are_bounded(spark):
@@ -243,7 +254,7 @@ def test_all_pages_are_in_chunks(spark):
 
     sf = "/root/testdata/sf0.001"
     longest = spark.read.parquet(f"{sf}/documents.parquet").agg(F.max(F.length("text"))).first()[0]
-    assert QUERIES["chunk_pages_all"](spark, sf).agg(F.max("chunk")).first()[0] == (-(-longest // 500) - 1) // 2 > 2
+    assert QUERIES["chunk_pages"](spark, sf).agg(F.max("chunk")).first()[0] == (-(-longest // 500) - 1) // 2 > 2
 
 
 def test_digest_levels(spark, monkeypatch):
