@@ -17,7 +17,7 @@ WORDS = 5
 CELL_BITS, CHUNK = 19, 1024  # the frequency sketch has 2**19 cells, moved in rows of 1,024
 BITS = 1024  # of the parity sketch of a set
 SKETCH = [f"s{k}" for k in range(BITS // 64)]
-TURNS, PIVOTS, FEW = 4, 8, 8  # most turns of pairing with pivots, random orders that give the pivots of a turn, and candidates a token row from which turns go on
+TURNS, PIVOTS, FEW = 3, 8, 8  # most turns of pairing with pivots, random orders that give the pivots of a turn, and candidates a token row from which turns go on
 PIECE, BUCKET, OFTEN = 1 << 19, 1 << 18, 16  # tokens dealt together, tokens that meet in a bucket, and groups of a piece from which a token is frequent
 REMEMBERED = 200_000  # group or set hashes that a task remembers
 BASE = 0x9E3779B97F4A7C15  # 5 modulo 8, so that differences of words don't vanish in a power of two
@@ -330,7 +330,7 @@ def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text"
     Rows are collapsed to classes (equal sets), classes to groups (equal prefix and size). Groups that share a prefix
     shingle are paired with one pivot, the least by one of eight random orders; group pairs pass the size and position filters, are expanded to
     classes, and pass the parity sketch (all three filters are exact). In a turn the nearest pivot of each class is verified on whole sets and joins
-    components. Turns go on until token rows have few candidates each, or four are done; then all pairs of groups across components
+    components. Turns go on until token rows have few candidates each, or three are done; then all pairs of groups across components
     are filtered, expanded and verified. Pairs inside a component change nothing, so thousands of near copies cost about one pair
     each, and no link between components is lost. Links inside a component are not listed: this is a join into classes.
 
