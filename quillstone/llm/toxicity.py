@@ -283,7 +283,7 @@ def _highest(model: Model):
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fits the model on at most ``sample`` labelled rows for which ``allowed`` holds (the bound; chosen by a hash of the key).
 
-    Each sentence of a labelled text carries its label. Words that mark toxic sentences beyond doubt train the machine against
+    Texts are taken as sets of words, not as sentences (see the README). Words that mark toxic texts beyond doubt train the machine against
     common words; then the highest words of clean texts join the latter, and it is trained again. A logistic curve that
     rises with each feature turns a text's features into a score. Spark counts words and scores the sample; the driver gets tables of bounded size. Labels that are null are
     left out; without both classes every score is the share of label 1 (0.5 without labels).
