@@ -365,8 +365,17 @@ def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     side = lambda c, t: members.select(F.col("key").alias(c), *[F.col(x).alias(x + t) for x in ("n", *SKETCH)])
     near = lambda pairs: pairs.join(side("a", "1"), "a").join(side("b", "2"), "b").where(_may_link())
-    comps, links, tried = narrow.withColumn("comp", F.col("key")), None, None
+    comps, tried = narrow.withColumn("comp", F.col("key")), None
     turn, left = 0, None
+
+    def linked(links: DataFrame) -> DataFrame:
+        """``comps`` after more links, of which only the ends' components are looked at."""
+        if tried is not None:
+            for c in ("a", "b"):
+                links = links.join(small(comps.select(F.col("key").alias(c), F.col("comp").alias("to")), n_members), c).drop(c).withColumnRenamed("to", c)
+        found = components(links, scratch).select(F.col("node").alias("comp"), "root")
+        return scratch.save(comps.join(small(found, n_members), "comp", "left").select("grp", "key", "n", F.coalesce("root", "comp").alias("comp")))
+
     while True:
         heads = comps.groupBy("grp").agg(F.min_by("key", F.struct(F.xxhash64("key", F.lit(turn)), "key")).alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n"))
         heads = scratch.save(heads)
@@ -395,10 +404,8 @@ def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text"
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         how_near = F.struct((_differ() / (F.col("n1") + F.col("n2"))).alias("d"), "b", "n1")
         pairs = scratch.save(near(pairs).groupBy("a").agg(F.min(how_near).alias("x")).select("a", "x.b", "x.n1"))
-        good = verify(pairs, sets, int(room), scratch)
-        links, tried = (good, pairs) if links is None else (links.union(good), tried.union(pairs))
-        found = components(links, scratch)
-        comps = scratch.save(narrow.join(small(found.select(F.col("node").alias("key"), "root"), n_members), "key", "left").select("grp", "key", "n", F.coalesce("root", "key").alias("comp")))
+        comps = linked(verify(pairs, sets, int(room), scratch))
+        tried = pairs if tried is None else tried.union(pairs)
         turn += 1
 
     at = left.join(small(heads.select("grp", "n"), n_busy), "grp")
@@ -414,8 +421,8 @@ def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text"
     less = F.col("n1") <= F.col("n2")  # the smaller set is sent with each pair
     pairs = pairs.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("b"), F.least("n1", "n2").alias("n1")).distinct()
     pairs = scratch.save(pairs)
-    found = components(links.union(verify(pairs, sets, int(room), scratch)), scratch)
-    root = classes.select("n", "key", "grp", "rep").join(small(found.select(F.col("node").alias("key"), "root"), n_members), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    found = linked(verify(pairs, sets, int(room), scratch)).where("key <> comp").select("key", F.col("comp").alias("root"))
+    root = classes.select("n", "key", "grp", "rep").join(small(found, n_members), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = scratch.save(root.groupBy("root").agg(F.min("rep").alias("component_id")))
     final = scratch.save(root.join(small(least, n_classes), "root").select("n", "key", "grp", "component_id"))
     scratch.keep_only(rows, final)

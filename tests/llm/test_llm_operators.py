@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import components, jaccard, mpegts, packing, pieces, queries, secrets, sharding, suffixes, toxicity, urltree, vectors
+from quillstone.llm import common, components, jaccard, mpegts, packing, pieces, queries, secrets, sharding, suffixes, toxicity, urltree, vectors
 from quillstone.llm.common import Scratch
 
 DOCS = "doc_id bigint, text string"
@@ -75,7 +75,10 @@ def test_empty_tables(spark):
     assert urltree.judge_urls(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_components(spark, broadcast, monkeypatch):
+    for module in (common, components):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast)
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1000, x) for x in range(1001, 1080)] + [(r.randrange(5000, 5200), r.randrange(5000, 5200)) for _ in range(120)]
     got = components.components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark))
