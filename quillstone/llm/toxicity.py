@@ -12,12 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, runs
+from .common import Scratch, give_back, runs
 
 ALPHABET, START, DECAY, CUT = 64, 63, 0.5, 24
 #: Bounds of training: labelled rows, landmarks of either class, words of either class, rounds of hard words.
 SAMPLE, LANDMARKS, POSITIVE, NEGATIVE, ROUNDS = 4000, (160, 64), 600, 4000, 2
-KNOWN_WORDS = 400_000  # word margins that a task remembers
+KNOWN_WORDS = 200_000  # word margins that a task remembers
 FLOOR = -1.5  # margin of what holds no word
 LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -209,12 +209,7 @@ def _features(margins: np.ndarray) -> tuple[float, float, float]:
     return float(top[1]), float(top[0]), float(np.log1p((margins > 0).sum()))
 
 
-def _document_features(model: Model, texts: pd.Series) -> np.ndarray:
-    known = _document_features.__dict__.setdefault("known", {})
-    cache = known.get(id(model))
-    if cache is None:
-        known.clear()
-        cache = known[id(model)] = Margins(model)
+def _document_features(cache: Margins, texts: pd.Series) -> np.ndarray:
     out, texts = np.empty((len(texts), 3)), texts.tolist()
     for begin, end in runs(texts):
         part = [t.split() if t else [] for t in texts[begin:end]]
@@ -321,8 +316,9 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
     model = Model(*_train_words(table, hard, n1, n0), np.zeros(4))
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = Margins(model)
         for f in frames:
-            yield pd.DataFrame(_document_features(model, f.text), columns=["a", "b", "c"]).assign(y=f.y.to_numpy())
+            yield pd.DataFrame(_document_features(cache, f.text), columns=["a", "b", "c"]).assign(y=f.y.to_numpy())
 
     got = rows.select("text", "y").mapInPandas(features, "a double, b double, c double, y int").toPandas().sort_values(["a", "b", "c", "y"])
     model.final = rising(got[["a", "b", "c"]].to_numpy(), (got.y > 0).to_numpy(float))
@@ -335,9 +331,15 @@ def toxicity(text: Column, model: Model) -> Column:
     shared = model
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        x = _document_features(shared, texts)
-        return pd.Series(1 / (1 + np.exp(-np.clip(x @ shared.final[:-1] + shared.final[-1], -30, 30))))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache = Margins(shared)
+        try:
+            for texts in batches:
+                x = _document_features(cache, texts)
+                yield pd.Series(1 / (1 + np.exp(-np.clip(x @ shared.final[:-1] + shared.final[-1], -30, 30))))
+        finally:
+            cache.clear()
+            give_back()
 
     return score(text)
 
