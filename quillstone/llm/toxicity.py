@@ -17,7 +17,7 @@ from .common import Scratch, give_back, runs
 ALPHABET, START, DECAY, CUT = 64, 63, 0.5, 24
 #: Bounds of training: labelled rows, landmarks of either class, words of either class, rounds of hard words.
 SAMPLE, LANDMARKS, POSITIVE, NEGATIVE, ROUNDS = 4000, (160, 64), 600, 4000, 2
-KNOWN_WORDS = 200_000  # word margins that a task remembers
+KNOWN_WORDS = 300_000  # word margins that a task remembers
 FLOOR = -1.5  # margin of what holds no word
 LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 SENTENCE = re.compile(r"[.!?\n]+")
