@@ -133,6 +133,17 @@ def small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with a number behind it that makes it no column of ``df``."""
+    own = {c.lower() for c in df.columns}
+    return [next(n for k in range(len(own) + 1) if (n := f"{name}_{k}") not in own) for name in names]
+
+
+def order_ids(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds ``out``, numbers that rise with ``order`` (with gaps). Save the result before it is used twice: ranges are sampled."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(out, F.monotonically_increasing_id())
+
+
 def hash_range(key: Column, n: int) -> Column:
     """The one of ``n`` equal ranges of the unsigned upper 32 bits of a 64-bit hash."""
     return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(n).cast("long"), 32)
