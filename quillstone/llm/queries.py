@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mpegts, packing, pieces, secrets, sharding, suffixes, toxicity, urltree, vectors
+from . import jaccard, lines, mpegts, packing, pieces, secrets, sharding, suffixes, toxicity, urltree, variants, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,16 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.keep_bitmaps(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    whole = F.coalesce(lines.kept_text(F.col("text"), F.col("keep")), F.lit(""))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(whole, "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_mpeg_ts": op2_mpeg_ts,
@@ -111,6 +121,8 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 def _url_sql(levels: int = urltree.LEVELS) -> str:
     """The rules and the template tree, a few common table expressions for each level."""
@@ -142,6 +154,11 @@ _REACH = """
  root as (select a, min(b) as b from reach group by a)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_line_dedup": """with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents),
+ k as (select *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+ f as (select key, min(doc_id) as owner from k where length(key) >= 10 group by key),
+ d as (select k.*, coalesce(doc_id > owner, false) as gone from k left join f using (key))
+ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256 from d group by doc_id""",
     "op10_url_filters": _url_sql(),
     "op5_embedding_dedup": f"""with recursive x as (select vec_id, [c::double for c in embedding] as v from embeddings
   where embedding is not null and len(embedding) > 0 and not list_has_any([c is not null and isfinite(c) for c in embedding], [false]) and list_has_any([c <> 0 for c in embedding], [true])),
