@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, mpegts, packing, pieces, secrets, sharding, suffixes, toxicity, urltree, variants, vectors
+from . import jaccard, lines, mpegts, packing, phrases, pieces, secrets, sharding, suffixes, toxicity, urltree, variants, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.keep_bitmaps(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     whole = F.coalesce(lines.kept_text(F.col("text"), F.col("keep")), F.lit(""))
@@ -121,6 +125,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_url_filters": op10_url_filters,
+    "op11_phrases": op11_phrases,
     "op12_line_dedup": op12_line_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -154,6 +159,20 @@ _REACH = """
  root as (select a, min(b) as b from reach group by a)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_phrases": """with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+ w as (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from p),
+ t as (select lang, sum(len(w)) as n from w group by lang),
+ k as (select unnest([1, 2, 3, 4, 5]) as k),
+ g as (select lang, k, w, unnest(range(1, len(w) - k + 2)) as i from w, k where len(w) >= k),
+ f as (select lang, k, w[i:i + k - 1] as phrase, count(*) as a from g group by all having count(*) >= 100),
+ c as (select f.*, unnest(range(1, k)) as cut from f where k > 1),
+ s as (select c.lang, c.k, c.phrase, c.a, c.cut, x.a as l, y.a as r, t.n, (1000::hugeint * c.a * t.n) // (x.a::hugeint * y.a) as score
+       from c join f x on x.lang = c.lang and x.phrase = c.phrase[1:cut] join f y on y.lang = c.lang and y.phrase = c.phrase[cut + 1:] join t on t.lang = c.lang),
+ b as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+ m as (select *, ' ' || array_to_string(phrase, ' ') || ' ' as s from b),
+ d as (select * from m where not exists (select 1 from m y where y.lang = m.lang and y.a = m.a and y.k > m.k and contains(y.s, m.s)))
+ select lang, row_number() over (partition by lang order by score desc, a desc, trim(s, ' ')) as rank, trim(s, ' ') as phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+ from d qualify rank <= 2000""",
     "op12_line_dedup": """with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents),
  k as (select *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
  f as (select key, min(doc_id) as owner from k where length(key) >= 10 group by key),

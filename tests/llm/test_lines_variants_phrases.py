@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import common, lines, queries, variants
+from quillstone.llm import common, lines, phrases, variants
 
 DOCS = "doc_id bigint, text string"
 
@@ -142,3 +142,62 @@ def test_groups_over_batches():
     total = lambda out: {k: sum(n for b in out for r, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if r == k) for k in range(len(words))}
     near = total(list(variants._scan([whole.slice(k, 1) for k in range(whole.num_rows)])))
     assert near == total(list(variants._scan([whole]))) == {k: sum(one_edit(w, x) for x in words) for k, w in enumerate(words)}
+
+
+def phrases_by_brute_force(rows, least, longest, top):
+    f, n = Counter(), Counter()
+    for lang, t in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + k])) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    found = defaultdict(list)
+    many = {x: a for x, a in f.items() if a >= least and len(x[1]) > 1}
+    for (lang, w), a in many.items():
+        if any(la == lang and b == a and len(v) > len(w) and any(v[i : i + len(w)] == w for i in range(len(v))) for (la, v), b in many.items()):
+            continue
+        score, _, le, r = min((1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k, f[lang, w[:k]], f[lang, w[k:]]) for k in range(1, len(w)))
+        found[lang].append((-score, -a, " ".join(w).encode(), le, r))
+    return {(lang, k, p.decode(), -a, le, r, n[lang], -s) for lang, x in found.items() for k, (s, a, p, le, r) in enumerate(sorted(x)[:top], 1)}
+
+
+def phrase_rows():
+    r = random.Random(2)
+    pool = ["the", "of", "cat", "é", "É", "New", "york", "a", "a", "\u00a0x"]
+    rows = [(r.choice(["en", "de", None, ""]), "".join(r.choice(pool) + r.choice([" ", "  ", "\t", " ", ". ", ",", "\n", " \x0b ", " "]) for _ in range(r.randint(1, 80)))) for _ in range(120)]
+    rows += [("en", None), ("en", ""), ("en", " .\n"), ("en", "in a b c d e f g, " * 40 + "and so on"), ("und", "a a a a a a a " * 9), ("en", "x" * 50_000 + " new york"), ("xx", "once")]
+    return rows + [("en", "New York of The " * 9000), rows[0], rows[0]]
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_phrases(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(phrases, "PAIRS", 50)
+    rows = phrase_rows()
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3).withColumns({"a": F.lit(1), "n": F.lit("x"), "g": F.lit(2)})
+    for least, longest, top in ((5, 5, 2000), (20, 3, 7)):
+        got = phrases.collocations(df, least=least, longest=longest, top=top)
+        assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+        got = got.collect()
+        want = phrases_by_brute_force(rows, least, longest, top)
+        assert len(got) == len(want) > 10 and {tuple(x) for x in got} == want
+    assert phrases.collocations(df.limit(0)).count() == 0 == phrases.collocations(df.where("lang = 'xx'")).count()
+
+
+def test_scores_beyond_64_bits(spark):
+    a, n, parts = 10**12, 10**15 + 7, [10**14 + 1, 10**13 + 3, 10**12 + 9]
+    df = spark.createDataFrame([(a, n, parts, [10**12 + 5, 3 * 10**13, 10**12 + 1])], "a bigint, n bigint, heads array<bigint>, tails array<bigint>")
+    got = df.select(phrases._score(F.col("n")).alias("s")).collect()[0].s
+    tails = [10**12 + 5, 3 * 10**13, 10**12 + 1]
+    want = min((1000 * a * n // (parts[k] * tails[2 - k]), k + 1, parts[k], tails[2 - k]) for k in range(3))
+    assert tuple(got) == want
+
+
+def test_phrase_numbers_beyond_32_bits():
+    """Pairs whose numbers don't fit into one word are counted all the same."""
+    import pyarrow as pa
+
+    g = np.array([5, 2**40, 5, 2**40, 7, 0, 2**40, 7, 0], np.int64)
+    got = next(phrases._count_pairs([pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, 9], pa.array(g))], ["g"])])).to_pylist()
+    assert {(x["x"], x["y"]): x["n"] for x in got} == {(5, 2**40): 2, (2**40, 5): 1, (2**40, 7): 2}
