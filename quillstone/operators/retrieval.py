@@ -1,9 +1,7 @@
-"""Ranking many queries against many documents: BM25, exact cosine, rank fusion, rerank, overlap removal."""
+"""Ranking many queries against many documents: query terms, ranks, fusion, rerank, expansion."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,40 +27,10 @@ def tokenised(docs: DataFrame, key: str, text: str, tokens: Column | None = None
     return docs.select(F.col(key).alias("doc_id"), (T.tokens(F.col(text)) if tokens is None else tokens).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(doc_id, dl, term, tf) of tokenised documents; with ``terms`` only those, filtered before any shuffle."""
-    words = docs.select("doc_id", "dl", F.explode("tokens").alias("term"))
-    if terms is not None:
-        words = words.join(checked_broadcast(terms.select("term").distinct()), "term", "left_semi")
-    return words.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def collection_stats(docs: DataFrame) -> DataFrame:
-    """One row: n (documents, those without tokens too) and avgdl (1 if 0)."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg")).select("n", F.when(F.coalesce("avg", F.lit(0.0)) == 0, 1.0).otherwise(F.col("avg")).alias("avgdl"))
-
-
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, by_doc: bool = False) -> DataFrame:
-    """(query_id, doc_id, score) of (query_id, term) and tokenised documents; statistics come from all documents given.
-
-    ``by_doc`` deals the postings out by document, so that scores, which are many more, are not shuffled.
-    """
-    p = postings(docs, queries)
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    if by_doc:
-        p = p.repartition("doc_id")
-        if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # no more terms than rows
-            df = F.broadcast(df)
-    tf = F.col("tf").cast("double")
-    part = idf(F.col("n"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = p.join(df, "term").join(checked_broadcast(queries), "term").crossJoin(F.broadcast(collection_stats(docs)))  # one row
-    return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
 def top(ranked: DataFrame, limit: int, by: str = "query_id", score: str = "score", tie: str = "doc_id", keep_zero: bool = False) -> DataFrame:
     """The ``limit`` best of each query with their rank: score down, then id up; zero scores only if asked."""
     rows = ranked if keep_zero else ranked.where(F.col(score) > 0)
@@ -74,17 +42,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): exact cosine of each (query_id, q) with each (doc_id, v), in double precision.
-
-    The stated query set is dealt in blocks to all document blocks; a zero vector scores 0.
-    """
-    q = queries.select("query_id", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("nq"))
-    d = docs.select("doc_id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("nv"))
-    score = F.when((F.col("nq") > 0) & (F.col("nv") > 0), dot(F.col("q"), F.col("v")) / (F.col("nq") * F.col("nv"))).otherwise(0.0)
-    return d.crossJoin(checked_broadcast(q)).select("query_id", "doc_id", F.round(score, 6).alias("score"))
-
-
 def fuse(channels: DataFrame, k: int = 60) -> DataFrame:
     """(query_id, doc_id, channel, score, rank[, weight]) to the sum of weight / (k + rank), and maps of scores and ranks by channel."""
     weight = F.col("weight") if "weight" in channels.columns else F.lit(1.0)
@@ -99,137 +56,6 @@ def rerank(fused: DataFrame, similarity: DataFrame, limit: int) -> DataFrame:
     return kept.withColumn("new_rank", F.row_number().over(over))
 
 
-def overlapping(rows: DataFrame, block: list[str], nullable: list[str], key: str = "doc_id", share: float = 0.8, least: int = 4) -> DataFrame:
-    """(a, b): texts of one block whose page ranges meet (or are unknown) and that share 80 % of the terms of the smaller, 4 at least.
-
-    ``rows`` has ``key``, ``terms`` (distinct), ``token_text``, ``page_start``, ``page_end`` and the block's columns; ``block`` columns must be
-    non-empty and equal, ``nullable`` ones equal or both null. Rows with equal text and pages are one class, named by its least key
-    (membership: a group by the same columns), so copies are never paired with each other. Of n terms one of the floor(n/5) + 1 rarest
-    must be in the other text: only these look for partners, so a frequent term pairs nothing. Texts without terms overlap nothing.
-    """
-    for c in block:
-        rows = rows.where(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
-    same = [F.col(c).cast("string") for c in block] + [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in nullable]
-    rows = rows.where(F.size("terms") > 0).select(F.xxhash64(*same).alias("blk"), F.col(key).alias("id"), "terms", F.col("page_start").alias("s"), F.col("page_end").alias("e"), F.xxhash64("token_text").alias("x"))
-    rows = rows.groupBy("blk", "x", "s", "e").agg(F.min_by(F.struct("id", "terms"), "id").alias("r")).select("blk", "s", "e", "r.*")
-    words = rows.select("blk", "id", "s", "e", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    df = words.groupBy("blk", "term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    words = words.join(df, ["blk", "term"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    order = W.partitionBy("blk", "id", "s", "e").orderBy("df", "term")
-    probe = words.withColumn("pos", F.row_number().over(order)).where((F.col("pos") <= F.floor(F.col("n") * (1 - share) + 1e-9) + 1) & (F.col("df") > 1) & (F.col("n") >= least))
-    probe = probe.select("blk", "term", *[F.col(c).alias(c + "1") for c in ("id", "n", "s", "e")])
-    index = words.where("df > 1").select("blk", "term", *[F.col(c).alias(c + "2") for c in ("id", "n", "s", "e")])
-    meet = F.coalesce((F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1")), F.lit(True))
-    found = probe.join(index, ["blk", "term"]).where((F.col("id1") != F.col("id2")) & (F.col("n1") <= F.col("n2")) & meet)
-    found = found.select("blk", "id1", "id2", "n1").distinct()
-    terms = rows.select("blk", "id", "terms")
-    both = found.join(terms.toDF("blk", "id1", "t1"), ["blk", "id1"]).join(terms.toDF("blk", "id2", "t2"), ["blk", "id2"])
-    both = both.where(F.size(F.array_intersect("t1", "t2")) >= share * F.col("n1"))
-    return both.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
-
-
-def text_classes(rows: DataFrame, block: list[str], nullable: list[str] = (), key: str = "doc_id") -> DataFrame:
-    """(doc_id, rep): the least key of the texts with the same block, token text and pages, as ``overlapping`` names its classes."""
-    for c in block:
-        rows = rows.where(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
-    same = [F.col(c) for c in block] + [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in nullable]
-    rows = rows.where(F.size("terms") > 0).select(F.col(key).alias("doc_id"), F.xxhash64(*[c.cast("string") for c in same]).alias("blk"), F.xxhash64("token_text").alias("x"), F.col("page_start").alias("s"), F.col("page_end").alias("e"))
-    least = rows.groupBy("blk", "x", "s", "e").agg(F.min("doc_id").alias("rep"))
-    on = (rows.blk == least.blk) & (rows.x == least.x) & rows.s.eqNullSafe(least.s) & rows.e.eqNullSafe(least.e)
-    return rows.join(least, on).select(rows.doc_id, least.rep)
-
-
-def overlapping_with(heads: DataFrame, rows: DataFrame, block: list[str], share: float = 0.8, least: int = 4) -> DataFrame:
-    """(head, doc_id): rows of the head's block that pass the test of ``overlapping`` against it, itself and copies too; linear in the rows.
-
-    Both sides have ``doc_id``, ``terms``, ``token_text`` and the block's columns (pages count as unknown).
-    """
-    h = heads.select(F.col("doc_id").alias("head"), F.col("terms").alias("t1"), F.col("token_text").alias("x1"), *[F.col(c).alias(c + "1") for c in block])
-    on = F.lit(True)
-    for c in block:
-        on = on & (F.col(c + "1") == F.col(c))
-    fewer = F.least(F.size("t1"), F.size("terms"))
-    near = (fewer >= least) & (F.size(F.array_intersect("t1", "terms")) >= share * fewer)
-    return rows.join(checked_broadcast(h), on).where((F.col("x1") == F.col("token_text")) | near).select("head", "doc_id")
-
-
-def greedy_dedup(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, rank, kept_by): in order of rank, a row that overlaps a row already kept is dropped in favour of the first such.
-
-    With a column ``rep`` in ``ranked`` the pairs are pairs of these classes, and rows of one class overlap.
-    Works on each query's candidate pool, which is bounded by the pool size.
-    """
-    ranked = ranked if "rep" in ranked.columns else ranked.withColumn("rep", F.col("doc_id"))
-    both = pairs.union(pairs.select("b", "a"))
-    partners = both.groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("others"))
-    rows = ranked.join(partners, "rep", "left").select("query_id", "doc_id", "rank", "rep", "others")
-
-    def keep(pool: pd.DataFrame) -> pd.DataFrame:
-        pool, kept, by = pool.sort_values("rank"), [], []
-        for d, rep, others in zip(pool.doc_id, pool.rep, pool.others, strict=True):
-            near = {rep} if others is None else {rep, *others}
-            first = next((x for x, r in kept if r in near), None)
-            by.append(first)
-            if first is None:
-                kept.append((d, rep))
-        return pd.DataFrame({"query_id": pool.query_id, "doc_id": pool.doc_id, "rank": pool["rank"], "kept_by": pd.array(by, "Int64")})
-
-    return rows.groupBy("query_id").applyInPandas(keep, "query_id bigint, doc_id bigint, rank int, kept_by bigint")
-
-
-def refill(ranked: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
-    """Greedy removal over a pool of max(4 * limit, 20); queries left with fewer than ``limit`` are done again over all their rows."""
-    pool = greedy_dedup(ranked.where(F.col("rank") <= max(4 * limit, 20)), pairs).where("kept_by is null")
-    under = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") < limit).select("query_id")
-    again = greedy_dedup(ranked.join(under, "query_id", "left_semi"), pairs).where("kept_by is null")
-    both = pool.join(under, "query_id", "left_anti").unionByName(again)
-    over = W.partitionBy("query_id").orderBy("rank")
-    return both.withColumn("new_rank", F.row_number().over(over)).where(F.col("new_rank") <= limit).select("query_id", "doc_id", "rank", "new_rank")
-
-
-def refill_uncapped(scored: DataFrame, pool: DataFrame, rows: DataFrame, block: list[str], limit: int) -> DataFrame:
-    """The rows of ``refill`` over (query_id, doc_id, score) without a cap; ``pool`` are the rows that greedy removal keeps of each pool.
-
-    Only underfilled queries go on: each round takes the best row left of each and drops what overlaps it, so no group of rows is
-    collected and no pair apart from these is formed. The driver gets ``limit`` ids of each such query at most.
-    """
-    spark = scored.sparkSession
-    pool = pool.select("query_id", "doc_id", "rank").persist()
-    need: dict[int, int] = {r.query_id: limit - r.c for r in pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") < limit).collect()}
-    new: list[tuple] = []
-    if need:
-        ids = F.broadcast(spark.createDataFrame([(q,) for q in need], "query_id bigint"))
-        taken = [(r.query_id, r.doc_id) for r in pool.join(ids, "query_id", "left_semi").collect()]  # below ``limit`` a query
-        scored = scored.where("score > 0").join(ids, "query_id", "left_semi")
-        hashed = F.transform("terms", lambda t: F.xxhash64(t)).alias("terms")
-        rows = rows.select("doc_id", *block, hashed, F.xxhash64("token_text").alias("token_text")).persist(StorageLevel.DISK_ONLY)
-        near, known = None, set()
-    while need:
-        fresh = sorted({d for _, d in taken} - known)
-        known |= set(fresh)
-        if fresh:
-            heads = rows.join(F.broadcast(spark.createDataFrame([(d,) for d in fresh], "doc_id bigint")), "doc_id", "left_semi")
-            found = overlapping_with(heads, rows, block).persist(StorageLevel.DISK_ONLY)
-            near = found if near is None else near.unionByName(found)
-        by: dict[int, list[int]] = {}
-        for q, d in taken:
-            by.setdefault(q, []).append(d)
-        kept = F.broadcast(spark.createDataFrame([(q, by[q]) for q in need], "query_id bigint, kept array<bigint>"))
-        groups = near.groupBy("doc_id").agg(F.collect_set("head").alias("heads"))  # heads of one block, ``limit`` a query at most
-        left = scored.join(kept, "query_id").join(groups, "doc_id", "left").where(~F.coalesce(F.arrays_overlap("heads", "kept"), F.lit(False)))
-        best = left.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("neg"))).alias("b")).select("query_id", (-F.col("b.neg")).alias("doc_id"), "b.score").collect()
-        new += [(r.query_id, r.doc_id, r.score) for r in best]
-        taken += [(r.query_id, r.doc_id) for r in best]
-        need = {r.query_id: need[r.query_id] - 1 for r in best if need[r.query_id] > 1}
-    if new:
-        own = F.broadcast(spark.createDataFrame(new, "query_id bigint, d bigint, s double"))
-        before = (F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("doc_id") <= F.col("d")))
-        ranks = scored.join(own, "query_id").groupBy("query_id", F.col("d").alias("doc_id")).agg(F.count_if(before).cast("int").alias("rank"))
-        pool = pool.unionByName(ranks)
-    over = W.partitionBy("query_id").orderBy("rank")
-    return pool.withColumn("new_rank", F.row_number().over(over)).where(F.col("new_rank") <= limit).select("query_id", "doc_id", "rank", "new_rank")
-
-
 def expand_synonyms(queries: DataFrame, groups: DataFrame) -> DataFrame:
     """(query_id, tokens) with all terms of each group (grp, terms) that one of the original terms is in; groups of one term are left out."""
     hit = queries.join(F.broadcast(groups.where(F.size("terms") >= 2)), F.arrays_overlap("tokens", "terms"))  # a reviewed list

@@ -1,38 +1,56 @@
 """Queries over tokens, postings, vectors and ranks."""
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..operators import index as I
+from ..operators import nearest as N
+from ..operators import overlap as O
 from ..operators import retrieval as R
+from ..sources.store import Store, dealt_out
 from .registry import query, table
 
 W_SQL = r"[\p{L}\p{M}\p{N}]"
 TOKENS_SQL = rf"regexp_extract_all(lower(text), '{W_SQL}+(?:[./_:\-]{W_SQL}+|\({W_SQL}+\){W_SQL}*)*')"
-BM25_SQL = f"""
- d as (select doc_id, {TOKENS_SQL} as toks from documents),
- s as (select count(*) as n, avg(len(toks)) as avgdl from d),
- q as (select distinct item_id as query_id, unnest({TOKENS_SQL}) as term from benchmark),
- w as (select doc_id, len(toks) as dl, unnest(toks) as term from d),
+
+
+def _bm25_sql(asked: str, docs: str = "d") -> str:
+    """BM25 scores (bm) of all documents for the queries (query_id, text) that ``asked`` selects; ``docs`` names the table of tokens."""
+    return f"""
+ {docs} as (select doc_id, {TOKENS_SQL} as toks from documents),
+ s as (select count(*) as n, avg(len(toks)) as avgdl from {docs}),
+ q as (select distinct query_id, unnest({TOKENS_SQL}) as term from ({asked})),
+ w as (select doc_id, len(toks) as dl, unnest(toks) as term from {docs}),
  tf as (select doc_id, dl, term, count(*) as tf from w where term in (select term from q) group by all),
  df as (select term, count(*) as df from tf group by term),
  bm as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))), 6) as score
         from q join tf using (term) join df using (term) cross join s group by all)"""
 
 
+ITEMS = "select item_id as query_id, text from benchmark"
+BM25_SQL = _bm25_sql(ITEMS)
+
+
 def _terms(spark, sf):
     return R.query_terms(table(spark, sf, "benchmark"), "item_id", "text")
 
 
 def _docs(spark, sf):
-    return R.tokenised(table(spark, sf, "documents"), "doc_id", "text")
+    return R.tokenised(dealt_out(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+def _searched(spark, sf, terms, k):
+    """The ``k`` best documents of each query, by an index that goes when they are written."""
+    store = Store(spark)
+    found = Store(spark).save(I.search(terms, I.build_index(_docs(spark, sf), store), k, store))
+    store.drop()
+    return found
 
 
 @query(f"with {BM25_SQL} select query_id, doc_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm where score > 0) where rank <= 5")
 def bm25_topk(spark, sf):
     """The five best documents of each benchmark item."""
-    return R.top(R.bm25(_terms(spark, sf), _docs(spark, sf)), 5)
+    return _searched(spark, sf, _terms(spark, sf), 5)
 
 
 @query(f"select doc_id, cast(len({TOKENS_SQL}) as bigint) as n_tokens, cast(len(list_distinct({TOKENS_SQL})) as bigint) as n_terms from documents")
@@ -46,11 +64,9 @@ def token_stats(spark, sf):
  select term, df, cast(cf as bigint) as cf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from t cross join s""")
 def doc_freq(spark, sf):
     """A1: document and collection frequency and idf of every term."""
-    docs = _docs(spark, sf)
-    words = docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    df = I.term_counts(_docs(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     n = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"))
-    return df.crossJoin(F.broadcast(n)).select("term", "df", "cf", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return df.crossJoin(F.broadcast(n)).select("term", "df", "cf", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))  # one row
 
 
 SYNONYMS = [(1, ["the", "that"]), (2, ["of", "from"]), (3, ["der", "die", "das"]), (4, ["alone"])]
@@ -78,20 +94,22 @@ def alias_expand(spark, sf):
     return R.expand_aliases(q, aliases)
 
 
+#: Documents that each channel hands to the fusion.
+DEPTH = 200
 VECTORS_SQL = "v as (select vec_id, [x::double for x in embedding] as e from embeddings)"
 KNN_SQL = f"""{VECTORS_SQL},
  kn as (select a.vec_id as query_id, b.vec_id as doc_id, round(list_cosine_similarity(a.e, b.e), 6) as score from v a join v b on a.vec_id % 50 = 0)"""
 
 
-def _knn(spark, sf):
+def _vectors(spark, sf):
     v = table(spark, sf, "embeddings")
-    return R.cosine(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")))
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
 
 
 @query(f"with {KNN_SQL} select query_id, doc_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from kn where score > 0) where rank <= 10")
 def knn_cosine(spark, sf):
     """The ten nearest vectors of the query set (ids divisible by 50)."""
-    return R.top(_knn(spark, sf), 10)
+    return N.nearest(*_vectors(spark, sf), 10)
 
 
 @query("""select vec_id, cast(len(embedding) as int) as dim, not list_has_any([isfinite(x) for x in embedding], [false]) and len(embedding) > 0 as valid,
@@ -104,23 +122,33 @@ def vector_check(spark, sf):
     return v.crossJoin(F.broadcast(usual)).select("vec_id", F.size("embedding").alias("dim"), (~bad & (F.size("embedding") > 0)).alias("valid"), (F.size("embedding") == F.col("d")).alias("usual_dim"))
 
 
-FUSED_SQL = f"""{BM25_SQL}, {KNN_SQL},
+FIRST_LINES = "select doc_id as query_id, split_part(text, chr(10), 1) as text from documents where doc_id % 50 = 0 and doc_id in (select vec_id from embeddings)"
+FUSED_SQL = f"""{_bm25_sql(FIRST_LINES)}, {KNN_SQL},
  r as (select 'bm25' as channel, query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm where score > 0
-  union all select 'vector', query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) from kn where score > 0),
- f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score, count(*) as channels from r where rank <= 20 group by all),
+  union all select 'vector', query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) from kn where score > 0 and query_id in (select doc_id from documents)),
+ f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score, count(*) as channels, max(score) filter (channel = 'bm25') as bm25_score, max(rank) filter (channel = 'bm25') as bm25_rank,
+  max(score) filter (channel = 'vector') as vector_score, max(rank) filter (channel = 'vector') as vector_rank from r where rank <= {DEPTH} group by all),
  fr as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from f)"""
 
 
 def _fused(spark, sf):
-    bm = R.top(R.bm25(_terms(spark, sf), _docs(spark, sf)), 20).select("query_id", "doc_id", F.lit("bm25").alias("channel"), "score", "rank")
-    kn = R.top(_knn(spark, sf), 20).select("query_id", "doc_id", F.lit("vector").alias("channel"), "score", "rank")
-    return R.top(R.fuse(bm.unionByName(kn)), 20)
-
-
-@query(f"with {FUSED_SQL} select query_id, doc_id, score, cast(rank as int) as rank, cast(channels as int) as channels from fr where rank <= 20")
+    """Queries with a text (a document's first line) and a vector: documents whose id is divisible by 50 and has a vector."""
+    queries, vectors = _vectors(spark, sf)
+    docs = table(spark, sf, "documents")
+    queries = queries.join(docs.select(F.col("doc_id").alias("query_id")), "query_id", "left_semi")
+    asked = docs.where("doc_id % 50 = 0").join(queries.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
+    terms = R.query_terms(asked.withColumn("text", F.split("text", "\n")[0]), "doc_id", "text")
+    bm = _searched(spark, sf, terms, DEPTH).withColumn("channel", F.lit("bm25"))
+    kn = N.nearest(queries, vectors, DEPTH).withColumn("channel", F.lit("vector"))
+    return R.top(R.fuse(bm.unionByName(kn)), 20), queries, vectors
+
+
+@query(f"with {FUSED_SQL} select query_id, doc_id, score, cast(rank as int) as rank, cast(channels as int) as channels, bm25_score, cast(bm25_rank as int) as bm25_rank, vector_score, cast(vector_rank as int) as vector_rank from fr where rank <= 20")
 def hybrid_rrf(spark, sf):
-    """Reciprocal-rank fusion of both channels (benchmark items and vectors with the same id)."""
-    return _fused(spark, sf).select("query_id", "doc_id", "score", "rank", F.size("channel_ranks").alias("channels"))
+    """Reciprocal-rank fusion of text and vector over the same documents, with each channel's score and rank."""
+    fused = _fused(spark, sf)[0]
+    parts = [F.col(f"channel_{x}s")[c].alias(f"{c}_{x}") for c in ("bm25", "vector") for x in ("score", "rank")]
+    return fused.select("query_id", "doc_id", "score", "rank", F.size("channel_ranks").alias("channels"), *parts)
 
 
 @query(f"""with {FUSED_SQL} select query_id, doc_id, score, cast(rank as int) as rank,
@@ -128,10 +156,12 @@ def hybrid_rrf(spark, sf):
  from (select fr.query_id, fr.doc_id, fr.score, fr.rank, kn.score as sim from fr left join kn on kn.query_id = fr.query_id and kn.doc_id = fr.doc_id where fr.rank <= 10)""")
 def rerank(spark, sf):
     """The ten best by fusion, reordered by cosine."""
-    out = R.rerank(_fused(spark, sf), _knn(spark, sf).withColumnRenamed("score", "similarity"), 10)
-    return out.select("query_id", "doc_id", "score", "rank", "new_rank")
+    fused, queries, vectors = _fused(spark, sf)
+    kept = Store(spark).save(fused.where("rank <= 10"))
+    return R.rerank(kept, N.similarities(kept, queries, vectors), 10).select("query_id", "doc_id", "score", "rank", "new_rank")
 
 
+BLOCK = ["lang", "source"]
 OVERLAP_SQL = f"""t as (select doc_id, lang, source, list_sort(list_distinct({TOKENS_SQL})) as terms, array_to_string({TOKENS_SQL}, ' ') as x from documents),
  r as (select * from t where len(terms) > 0 qualify doc_id = min(doc_id) over (partition by lang, source, x)),
  pairs as (select a.doc_id as a, b.doc_id as b from r a join r b on a.lang = b.lang and a.source = b.source and a.doc_id < b.doc_id
@@ -139,14 +169,14 @@ OVERLAP_SQL = f"""t as (select doc_id, lang, source, list_sort(list_distinct({TO
 
 
 def _rows(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("tokens"))
+    d = dealt_out(table(spark, sf, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("tokens"))
     return d.select("doc_id", "lang", "source", F.array_distinct("tokens").alias("terms"), F.array_join("tokens", " ").alias("token_text"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"))
 
 
 @query(f"with {OVERLAP_SQL} select a, b from pairs")
 def overlap_pairs(spark, sf):
     """U4: documents of one language and source that share four fifths of their terms; copies stand for each other."""
-    return R.overlapping(_rows(spark, sf), ["lang", "source"], [])
+    return O.overlapping(_rows(spark, sf), BLOCK)
 
 
 @query(f"with {OVERLAP_SQL} select count(*) as n_groups, cast(sum(n) as bigint) as n_rows, max(n) as largest from (select x, count(*) as n from t group by x having count(*) > 1)")
@@ -169,7 +199,7 @@ def first_copies(spark, sf):
  select query_id, count(*) as candidates, count(*) filter (out) as excluded, count(*) filter (not out) < 5 as underfilled from x group by query_id""")
 def trace_counts(spark, sf):
     """The 20 best candidates of each query, those that a language filter excludes, and whether under five stay."""
-    c = R.top(R.bm25(_terms(spark, sf), _docs(spark, sf)), 20).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    c = _searched(spark, sf, _terms(spark, sf), 20).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     out = F.count_if(F.col("lang") != "en")
     return c.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), out.alias("excluded"), (F.count_if(F.col("lang") == "en") < 5).alias("underfilled"))
 
@@ -179,32 +209,43 @@ def trace_counts(spark, sf):
 def exclusion_counts(spark, sf):
     """Of each query's scored documents, without a cap, those that a language filter excludes; and all documents that it excludes."""
     d = table(spark, sf, "documents").select("doc_id", "lang")
-    c = R.bm25(_terms(spark, sf), _docs(spark, sf)).where("score > 0").join(d, "doc_id")
+    c = I.score_all(_terms(spark, sf), I.build_index(_docs(spark, sf), Store(spark))).where("score > 0").join(d, "doc_id")
     every = d.agg(F.count_if(F.col("lang") != "en").alias("excluded_all"))
     out = c.groupBy("query_id").agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("lang") != "en").alias("excluded"), (F.count_if(F.col("lang") == "en") < 5).alias("underfilled"))
     return out.crossJoin(F.broadcast(every))  # one row
 
 
-BLOCK = ["lang", "source"]
-
-
-def _pool(spark, sf, scored):
-    """The best 20 rows of each query with their classes, and the overlapping pairs of classes among them."""
-    ranked = R.top(scored, 20).persist()
-    ids = ranked.select("doc_id").distinct()
-    rows = _rows(spark, sf).join(R.checked_broadcast(ids), "doc_id", "left_semi").persist()
-    return ranked.join(R.text_classes(rows, BLOCK), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")), R.overlapping(rows, BLOCK, [])
+GREEDY_SQL = f"""{OVERLAP_SQL}, {_bm25_sql(ITEMS, "bd")},
+ cls as (select t.doc_id, r.doc_id as rep from t join r on t.lang = r.lang and t.source = r.source and t.x = r.x),
+ nb as (select rep, list(o) as others from (select a as rep, b as o from pairs union all select b, a from pairs union all select doc_id, doc_id from r) group by rep),
+ ranked as (select query_id, bm.doc_id, cast(row_number() over (partition by query_id order by score desc, bm.doc_id) as int) as rank, cls.rep, others from bm join cls on cls.doc_id = bm.doc_id join nb on nb.rep = cls.rep where score > 0)"""
 
 
-@query()
+@query(f"""with recursive {GREEDY_SQL},
+ g(query_id, rank, doc_id, reps, docs, kept_by) as (
+  select query_id, rank, doc_id, [rep], [doc_id], cast(null as bigint) from ranked where rank = 1
+  union all select g.query_id, n.rank, n.doc_id, case when list_has_any(reps, others) then reps else list_append(reps, rep) end, case when list_has_any(reps, others) then docs else list_append(docs, n.doc_id) end,
+   docs[list_position(list_transform(reps, lambda x: list_contains(others, x)), true)] from g join ranked n on n.query_id = g.query_id and n.rank = g.rank + 1 where n.rank <= 20)
+ select query_id, doc_id, rank, kept_by from g""")
 def greedy_dedup(spark, sf):
-    """U5 over U4: rows of the pool of 20 dropped in favour of a better row that they overlap (copies and near copies of a language and source)."""
-    return R.greedy_dedup(*_pool(spark, sf, R.bm25(_terms(spark, sf), _docs(spark, sf))))
+    """U5 over U4: each row of the pool of 20, kept, or dropped in favour of the first kept row that it overlaps (copies and near copies of a language and source)."""
+    return O.greedy_dedup(_searched(spark, sf, _terms(spark, sf), 20), O.text_rows(_rows(spark, sf), BLOCK))
 
 
-@query()
+@query(f"""with recursive {GREEDY_SQL},
+ g(query_id, rank, doc_id, reps, fresh) as (
+  select query_id, rank, doc_id, [rep], true from ranked where rank = 1
+  union all select g.query_id, n.rank, n.doc_id, case when list_has_any(reps, others) then reps else list_append(reps, rep) end, not list_has_any(reps, others)
+   from g join ranked n on n.query_id = g.query_id and n.rank = g.rank + 1 where len(reps) < 5)
+ select query_id, doc_id, rank, cast(row_number() over (partition by query_id order by rank) as int) as new_rank from g where fresh""")
 def pool_refill(spark, sf):
     """Five rows for each query after greedy removal in a pool of 20; queries left with fewer go on over all documents that score."""
-    scored = R.bm25(_terms(spark, sf), _docs(spark, sf), by_doc=True).persist(StorageLevel.DISK_ONLY)
-    ranked, pairs = _pool(spark, sf, scored)
-    return R.refill_uncapped(scored, R.greedy_dedup(ranked, pairs).where("kept_by is null"), _rows(spark, sf), BLOCK, 5)
+    store = Store(spark)
+    index = I.build_index(_docs(spark, sf), store)
+    terms = _terms(spark, sf)
+    pool = store.save(I.search(terms, index, 20, store))
+    texts = store.save(O.text_rows(_rows(spark, sf), BLOCK))
+    found = O.refill(pool, lambda ids: I.score_all(terms.join(ids, "query_id", "left_semi"), index), texts, 5, store)
+    found = Store(spark).save(found)
+    store.drop()
+    return found

@@ -55,51 +55,6 @@ def test_sections(spark):
     assert got[2].text == "2. Second\nmore"
 
 
-def test_greedy_dedup_and_refill(spark):
-    ranked = spark.createDataFrame([(1, i, i) for i in range(1, 26)], "query_id bigint, doc_id bigint, rank int")
-    pairs = spark.createDataFrame([(1, i) for i in range(2, 21)], "a bigint, b bigint")
-    out = {r.doc_id: r.kept_by for r in retrieval.greedy_dedup(ranked, pairs).collect()}
-    assert out[1] is None and out[7] == 1 and out[21] is None
-    assert [r.doc_id for r in retrieval.refill(ranked, pairs, 5).orderBy("new_rank").collect()] == [1, 21, 22, 23, 24]
-
-
-def test_refill_without_cap(spark):
-    """70 copies, then 70 near copies in one block: the fifth distinct row stands behind rank 140."""
-    base = [f"w{i}" for i in range(20)]
-    texts = [" ".join(base)] * 70 + [" ".join([*base[:-1], f"x{i}"]) for i in range(70)] + [" ".join(["w0", *[f"y{k}z{i}" for i in range(20)]]) for k in range(4)]
-    d = spark.createDataFrame([(i, "en", "s", t.split(), t) for i, t in enumerate(texts)], "doc_id bigint, lang string, source string, terms array<string>, token_text string")
-    rows = d.withColumn("page_start", F.lit(None).cast("int")).withColumn("page_end", F.lit(None).cast("int"))
-    scored = rows.select(F.lit(1).cast("bigint").alias("query_id"), "doc_id", (2.0 - F.col("doc_id") / 1000).alias("score"))
-    scored = scored.withColumn("score", F.when(F.col("doc_id") < 70, 2.5).otherwise(F.col("score")))
-    classes = retrieval.text_classes(rows, ["lang", "source"])
-    ranked = retrieval.top(scored, 20).join(classes, "doc_id")
-    kept = retrieval.greedy_dedup(ranked, retrieval.overlapping(rows, ["lang", "source"], [])).where("kept_by is null")
-    got = retrieval.refill_uncapped(scored, kept, rows, ["lang", "source"], 5)
-    assert [(r.doc_id, r["rank"], r.new_rank) for r in got.orderBy("new_rank").collect()] == [(0, 1, 1), (140, 141, 2), (141, 142, 3), (142, 143, 4), (143, 144, 5)]
-
-
-def test_greedy_dedup_of_classes(spark):
-    ranked = spark.createDataFrame([(1, 5, 1, 5), (1, 6, 2, 6), (1, 7, 3, 6), (1, 8, 4, 8)], "query_id bigint, doc_id bigint, rank int, rep bigint")
-    out = {r.doc_id: r.kept_by for r in retrieval.greedy_dedup(ranked, spark.createDataFrame([(5, 6)], "a bigint, b bigint")).collect()}
-    assert out == {5: None, 6: 5, 7: 5, 8: None}
-
-
-def test_overlap(spark):
-    base = ["a", "b", "c", "d", "e"]
-    rows = [(1, "x", base, "1"), (2, "x", base, "1"), (3, "x", [*base[:4], "z"], "3"), (4, "y", base, "1"), (5, "", base, "1"), (6, "x", ["a", "b"], "6"), (7, "x", [], "")]
-    df = spark.createDataFrame(rows, "doc_id bigint, act string, terms array<string>, token_text string").withColumns({"page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int"), "status": F.lit(None).cast("string")})
-    assert [tuple(r) for r in retrieval.overlapping(df, ["act"], ["status"]).collect()] == [(1, 3)]
-
-
-def test_zero_vectors_and_ranks(spark):
-    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, q array<double>")
-    d = spark.createDataFrame([(2, [2.0, 0.0]), (1, [3.0, 0.0]), (3, [0.0, 0.0]), (4, [-1.0, 0.0])], "doc_id bigint, v array<double>")
-    got = retrieval.top(retrieval.cosine(q, d), 5).orderBy("rank").collect()
-    assert [(r.doc_id, r.score) for r in got] == [(1, 1.0), (2, 1.0)]
-    for n in (1, 16):
-        assert [r.doc_id for r in retrieval.top(retrieval.cosine(q, d.repartition(n)), 5).orderBy("rank").collect()] == [1, 2]
-
-
 def test_urgency(spark):
     rows = [
         (1, "there is a threat now"), (2, "he did not threat"), (3, 'he said "threat" there'), (4, "last year there was a threat. fine"), (5, "Last year he was ill. A threat came"), (6, None),
