@@ -92,13 +92,18 @@ def ocr_lines(words: DataFrame) -> DataFrame:
     return words.where(F.trim("text") != "").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_num", "text"))), lambda x: x["text"]), " ").alias("text"), conf.alias("confidence"))
 
 
-def trim_at_run(rows: DataFrame, share: float = 0.55, least: int = 3) -> DataFrame:
-    """Lines before the first run of ``least`` non-blank lines whose letters are Devanagari to ``share`` or more."""
+def run_starts(rows: DataFrame, by: list[str], share: float = 0.55, least: int = 3) -> DataFrame:
+    """(``by``, stop): where the first run of ``least`` non-blank lines begins whose letters are Devanagari to ``share`` or more."""
     devanagari, _ = T.script_counts(F.col("line"))
     letters = F.regexp_count("line", F.lit(r"\p{L}"))
-    full = rows.where(F.trim("line") != "").withColumn("other", (letters > 0) & (devanagari >= share * letters))
-    by = W.partitionBy("source").orderBy("line_no")
-    island = F.row_number().over(by) - F.row_number().over(W.partitionBy("source", "other").orderBy("line_no"))
-    runs = full.withColumn("island", island).where("other").groupBy("source", "island").agg(F.min("line_no").alias("start"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    first = runs.groupBy("source").agg(F.min("start").alias("stop"))
+    full = rows.where(F.col("line").rlike(r"(?U)\S")).withColumn("other", (letters > 0) & (devanagari >= share * letters))
+    order = W.partitionBy(*by).orderBy("line_no")
+    island = F.row_number().over(order) - F.row_number().over(W.partitionBy(*by, "other").orderBy("line_no"))
+    runs = full.withColumn("island", island).where("other").groupBy(*by, "island").agg(F.min("line_no").alias("start"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return runs.groupBy(*by).agg(F.min("start").alias("stop"))
+
+
+def trim_at_run(rows: DataFrame, share: float = 0.55, least: int = 3) -> DataFrame:
+    """Lines of each source before its first run of lines in Devanagari (``run_starts``)."""
+    first = run_starts(rows, ["source"], share, least)
     return rows.join(first, "source", "left").where(F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))).drop("stop")

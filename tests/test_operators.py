@@ -141,17 +141,6 @@ def test_embed_missing(spark):
     assert [(r.key, sum(r.vector)) for r in embedding.embed_missing(t, store, embedding.hashing_embedder(8)).collect()] == [("k1", 2.0)]
 
 
-def test_gazette(spark):
-    from quillstone.operators import gazette
-
-    text = ["Preface", "1. Short title.—(1) These may be called the Goa Rules, 2020.", "2. Definitions.—In these", "3. Rs. 900 per day", "3. In the case", "5. Late.—x", "1. संक्षिप्त नाम", "2. दो", "THE GAZETTE OF INDIA"]
-    lines = spark.createDataFrame([("s", k, t) for k, t in enumerate(text)] + [("t", 0, "nothing")], "source string, line_no int, line string")
-    got = sorted(tuple(r) for r in gazette.gazette_rules(gazette.without_noise(lines)).collect())
-    assert got == [("s", 1, 1, 1, 1), ("s", 1, 2, 2, 3), ("s", 1, 3, 4, 5)]
-    title = spark.createDataFrame([(text,)], "x array<string>").select(gazette.instrument_title(F.col("x"), "Rules")).first()[0]
-    assert title == "Goa Rules"
-
-
 def test_chunk_files(spark, tmp_path):
     from quillstone.sources import corpus
 
