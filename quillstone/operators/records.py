@@ -90,21 +90,13 @@ def mapping_status(cases: DataFrame, key: str, mappings: DataFrame) -> DataFrame
     return got.withColumn("status", F.when(F.col("candidates") == 0, "not_found").when(F.col("day").isNull(), "date_required").when(F.col("all"), "current").otherwise("historical"))
 
 
-def match_references(cases: DataFrame, mappings: DataFrame) -> DataFrame:
-    """(case_id, mapping_id): explicit ``code number`` references match their own section only; a bare ``section number`` matches any code's."""
-    refs = cases.select("case_id", T.code_refs(F.col("text")).alias("codes"), T.provision_refs(F.col("text")).alias("bare"))
-    exact = refs.select("case_id", F.explode("codes").alias("r")).select("case_id", F.split("r", " ")[0].alias("code"), F.split("r", " ")[1].alias("section"))
-    bare = refs.where(F.size("codes") == 0).select("case_id", F.explode("bare").alias("r")).select("case_id", F.split("r", " ")[1].alias("section"))
-    return exact.join(mappings, ["code", "section"]).select("case_id", "mapping_id").union(bare.join(mappings, "section").select("case_id", "mapping_id")).distinct()
-
-
 def deadline_notes(today: Column) -> Column:
     """Notes of a deadline row (review_status, start, count, unit)."""
     due = D.add_period(F.col("start"), F.col("count"), F.col("unit"))
     return F.array_compact(F.array(F.when(F.col("review_status") != "reviewed", "unreviewed"), F.when(F.col("start").isNull(), "no_start"), F.when(due < today, "expired")))
 
 
-def _violations(parts: list[DataFrame]) -> DataFrame:
+def all_violations(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -125,7 +117,7 @@ def manifest_violations(sources: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", "^https://([^/?#]*)", 1))
     edges = s.select("source_id", F.explode("modifies_source_ids").alias("target"))
     principal = s.select(F.col("source_id").alias("target"), "relationship")
-    return _violations([
+    return all_violations([
         duplicates(s, "duplicate_id", F.col("source_id")), duplicates(s, "duplicate_filename", F.lower("filename")),
         violation(s.where(~F.coalesce(F.array_contains("allowed_hosts", host), F.lit(False))), "host", F.col("source_id"), host),
         violation(s.where("effective_to < effective_from"), "date_order", F.col("source_id")),
@@ -136,21 +128,10 @@ def manifest_violations(sources: DataFrame) -> DataFrame:
     ])
 
 
-def mapping_violations(maps: DataFrame) -> DataFrame:
-    """(rule, key, detail): the shape that each mapping type asks of its source and target lists, unique ids, no placeholder in reviewed ones."""
-    n, m = F.size("source_provisions"), F.size("target_provisions")
-    kind = F.col("mapping_type")
-    wrong = F.when(kind == "exact", (n != 1) | (m != 1)).when(kind == "split", (n != 1) | (m < 2)).when(kind == "merged", (n < 2) | (m < 1)).when(kind == "omitted", (n < 1) | (m != 0)).when(kind == "new", (n != 0) | (m < 1)).otherwise(F.lit(False))
-    sides = F.exists("source_provisions", lambda p: p["code"] != "IPC") | F.exists("target_provisions", lambda p: p["code"] != "BNS")
-    placeholder = (F.col("review_status") == "reviewed") & F.coalesce(F.col("reviewed_by") == "REVIEWER_MUST_SET", F.lit(False))
-    key = F.col("mapping_id")
-    return _violations([duplicates(maps, "duplicate_id", key), violation(maps.where(wrong), "shape", key, kind), violation(maps.where(sides), "code_side", key), violation(maps.where(placeholder), "placeholder", key)])
-
-
 def directory_violations(contacts: DataFrame, fallbacks: DataFrame, required: list[str], home: str = "Delhi") -> DataFrame:
     """(rule, key, detail): unique ids and districts, home districts only in that tier, required fallbacks present."""
     need = contacts.sparkSession.createDataFrame([(x,) for x in required], "fallback_id string")
-    return _violations([
+    return all_violations([
         duplicates(contacts, "duplicate_contact", F.col("contact_id")), duplicates(fallbacks, "duplicate_fallback", F.col("fallback_id")),
         duplicates(contacts.where("district is not null"), "duplicate_district", T.place_key(F.col("district"))),
         violation(contacts.where(F.col("district").isNotNull() & (F.col("state") != home)), "foreign_district", F.col("contact_id"), F.col("state")),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import mappings as M
 from ..operators import records as R
 from .registry import query, table
 
@@ -99,22 +100,79 @@ def location_lookup(spark, sf):
  select o_orderkey, case when n = 0 then 'not_found' when day is null then 'date_required' when all_current then 'current' else 'historical' end as status, n as candidates
  from (select o_orderkey, day, count(m.id) as n, bool_and(day >= date '1992-01-01' + cast(p_size * 40 as int)) as all_current from q left join m on m.id = q.want group by all)""")
 def mapping_route(spark, sf):
-    """Mapping candidates in effect on a case's date (reviewed ones only)."""
+    """Mapping candidates in effect on a case's date (reviewed ones only)."""
     maps = table(spark, sf, "part").select(F.col("p_partkey").alias("term"), F.expr("date_add(date '1992-01-01', cast(p_size * 40 as int))").alias("effective_from"), F.when(F.col("p_partkey") % 5 == 0, "pending").otherwise("reviewed").alias("review_status"))
     cases = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 != 0, F.to_date("o_orderdate")).alias("day"), (F.col("o_orderkey") % 300).alias("term"))
     return R.mapping_status(cases, "o_orderkey", maps).select("o_orderkey", "status", "candidates")
 
 
-@query("""with q as (select o_orderkey as id, o_orderkey % 4 as kind, o_orderkey % 500 as n from orders), m as (select p_partkey as mid, p_partkey % 2 as code, p_partkey % 500 as section from part)
- select id as o_orderkey, mid from q join m on n = section and (kind = 0 and code = 0 or kind = 1 and code = 1 or kind = 2)""")
+# Mappings made of parts: a section of each code, the part's name and brand; cases made of orders: references, bare sections, names, pieces of names, and sentences that hold one.
+MAPS_SQL = """m as (select 'map-' || p_partkey as id, p_name as name, p_brand as brand, cast(p_partkey % 500 as varchar) as old, cast(p_partkey % 450 as varchar) as new, date '1994-01-01' + cast(p_size * 20 as int) as since, p_partkey % 11 <> 0 as good from part),
+ t as (select id, good, unnest([id, 'of ' || brand, name, 'IPC ' || old, 'BNS ' || new, 'section ' || old, 'section ' || new]) as raw from m),
+ k as (select distinct id, good, array_to_string(regexp_extract_all(lower(raw), '[a-z0-9]+'), ' ') as term from t),
+ n as (select row_number() over (order by p_partkey) - 1 as i, p_name from part),
+ c0 as (select o_orderkey as case_id, o_orderkey % 8 as kind, cast(o_orderkey % 500 as varchar) as num, case when o_orderkey % 9 <> 0 then cast(o_orderdate as date) end as day, n.p_name as name from orders join n on n.i = o_orderkey % 97),
+ c as (select *, case kind when 0 then 'IPC ' || num when 1 then 'the bns section ' || num || ' now' when 2 then 'Section ' || num when 3 then name when 4 then substr(name, 2, 5) when 5 then 'about a ' || name || ', then' when 6 then 'zz' else 'nothing of it' end as text from c0),
+ q as (select *, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') as key from c),
+ pair as (select distinct key, term from (select distinct key from q where kind >= 3) x join (select distinct term from k) y on key = term or (length(key) >= 4 and contains(term, key)) or (length(term) >= 4 and contains(key, term))),
+ hit as (select distinct case_id, id, good from (
+  select case_id, id, good from q join m on kind = 0 and num = old union all select case_id, id, good from q join m on kind = 1 and num = new union all select case_id, id, good from q join m on kind = 2 and num in (old, new)
+  union all select case_id, id, good from q join pair using (key) join k using (term) where kind >= 3))"""
+
+
+def _maps(spark, sf):
+    part, day = table(spark, sf, "part"), "date_add(date '1994-01-01', cast(p_size * 20 as int))"
+    one = lambda code, n: F.array(F.struct(F.lit(code).alias("code"), (F.col("p_partkey") % n).cast("string").alias("section")))
+    return part.select(
+        F.concat(F.lit("map-"), F.col("p_partkey")).alias("mapping_id"), one("IPC", 500).alias("source_provisions"), one("BNS", 450).alias("target_provisions"), F.array("p_name").alias("offence_names"), F.lit(None).cast("array<string>").alias("aliases"),
+        F.concat(F.lit("of "), F.col("p_brand")).alias("description"), F.expr(day).alias("effective_from"), F.when(F.col("p_partkey") % 11 != 0, "reviewed").otherwise("pending").alias("review_status"),
+    )
+
+
+def _cases(spark, sf):
+    names = table(spark, sf, "part").where("p_partkey < 97").select(F.col("p_partkey").alias("i"), "p_name")
+    o, kind, num = table(spark, sf, "orders").withColumn("i", F.col("o_orderkey") % 97).join(F.broadcast(names), "i"), F.col("o_orderkey") % 8, (F.col("o_orderkey") % 500).cast("string")  # 97 names
+    text = (
+        F.when(kind == 0, F.concat(F.lit("IPC "), num)).when(kind == 1, F.concat(F.lit("the bns section "), num, F.lit(" now"))).when(kind == 2, F.concat(F.lit("Section "), num)).when(kind == 3, F.col("p_name"))
+        .when(kind == 4, F.substring("p_name", 2, 5)).when(kind == 5, F.concat(F.lit("about a "), F.col("p_name"), F.lit(", then"))).when(kind == 6, "zz").otherwise("nothing of it")
+    )
+    return o.select(F.col("o_orderkey").alias("case_id"), text.alias("text"), F.when(F.col("o_orderkey") % 9 != 0, F.to_date("o_orderdate")).alias("day"))
+
+
+@query(f"with {MAPS_SQL} select case_id, count(*) as n, md5(string_agg(id, ',' order by id)) as ids_md5 from hit group by case_id")
 def mapping_match(spark, sf):
-    """An explicit code matches its own sections only, a bare section either code; 42 never matches 420."""
-    kind = F.col("o_orderkey") % 4
-    n = (F.col("o_orderkey") % 500).cast("string")
-    word = F.when(kind == 0, F.concat(F.lit("IPC "), n)).when(kind == 1, F.concat(F.lit("bns "), n)).when(kind == 2, F.concat(F.lit("section "), n)).otherwise("hello")
-    q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), word.alias("text"))
-    m = table(spark, sf, "part").select(F.col("p_partkey").alias("mapping_id"), F.when(F.col("p_partkey") % 2 == 0, "ipc").otherwise("bns").alias("code"), (F.col("p_partkey") % 500).cast("string").alias("section"))
-    return R.match_references(q, m).select(F.col("case_id").alias("o_orderkey"), F.col("mapping_id").alias("mid"))
+    """Mappings that a case matches by reference, section, equal term, or a term that holds it or that it holds; 42 never matches 420."""
+    hits = M.matches(_cases(spark, sf), _maps(spark, sf)).groupBy("case_id").agg(F.array_sort(F.collect_list("mapping_id")).alias("ids"))
+    return hits.select("case_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+CONVERT_SQL = MAPS_SQL.replace("cast(o_orderdate as date) end as day", "cast(o_orderdate as date) + 9500 end as day") + """, a as (select distinct cast(doc_id % 400 as varchar) as section from documents where lang = 'en'),
+ g as (select q.case_id, case when day is null then null when day >= date '2024-07-01' then 'BNS' else 'IPC' end as governing, kind, text from q),
+ r as (select g.case_id, count(hit.id) as n from g left join hit on hit.case_id = g.case_id and good group by g.case_id),
+ w as (select g.case_id, new, min(id) as first, new in (select section from a) as there from g join hit on hit.case_id = g.case_id and good join m using (id) where governing = 'BNS' group by g.case_id, new),
+ l as (select g.case_id, string_agg('no_text:' || new, ',' order by id) as lacks from g join hit on hit.case_id = g.case_id and good join m using (id) where governing = 'BNS' and new not in (select section from a) group by g.case_id)
+ select g.case_id, governing, governing is null as question, cast(n as bigint) as mappings, (select string_agg(new, ',' order by first) from w where w.case_id = g.case_id and there) as grounded,
+  nullif(concat_ws(',', case when governing = 'IPC' then 'old_code_governs' end, case when n = 0 then case when kind in (0, 1) then 'unmapped_reference' else 'no_match' end end, lacks), '') as warnings
+ from g join r using (case_id) left join l using (case_id)"""
+
+
+@query("with " + CONVERT_SQL)
+def conversion_report(spark, sf):
+    """The code that governs each case, the target sections that can be quoted, and warnings of all kinds."""
+    cases = _cases(spark, sf).withColumn("day", F.date_add("day", 9500))
+    chunks = table(spark, sf, "documents").where("lang = 'en'").select(F.lit("bns_2023_en").alias("source_id"), (F.col("doc_id") % 400).cast("string").alias("section"))
+    out = M.conversion_report(cases, _maps(spark, sf), chunks)
+    joined = lambda c: F.nullif(F.array_join(c, ","), F.lit("")).alias(c)
+    return out.select("case_id", "governing", "question", "mappings", joined("grounded"), joined("warnings"))
+
+
+@query(f"""with {MAPS_SQL}, r as (select c.case_id, c.day, count(id) as n, bool_and(c.day >= since) as all_current, string_agg('IPC ' || old, ',' order by id) as olds from c left join (select case_id, m.id, since, old from hit join m using (id) where m.good) h on h.case_id = c.case_id group by all)
+ select case_id, case when n = 0 then 'not_found' when day is null then 'date_required' when all_current then 'current' else 'historical' end as status, n as candidates, cast((select count(distinct x) from unnest(string_split(olds, ',')) u(x)) as int) as n_historical from r""")
+def mapping_provisions(spark, sf):
+    """The route of each case and its historical provisions, once each."""
+    maps = M.reviewed(_maps(spark, sf))
+    cases = _cases(spark, sf)
+    return M.routes(cases, M.matches(cases, maps), maps).select("case_id", "status", "candidates", F.size("historical").alias("n_historical"))
 
 
 @query("""with x as (select p_partkey, p_partkey % 3 as n, p_size % 3 as m from part)

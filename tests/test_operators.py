@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import dates as D
 from quillstone.functions import text as T
 from quillstone.operators import chunks as C
-from quillstone.operators import embedding, filters, records, retrieval, rules
+from quillstone.operators import embedding, filters, mappings, records, rules
 from quillstone.sources.html import table_rows
 from quillstone.sources.receipts import verify
 
@@ -92,13 +92,7 @@ def test_manifest_and_mappings(spark):
     prov = "array<struct<code:string,section:string>>"
     maps = spark.createDataFrame([("m1", [("IPC", "1")], [("BNS", "2")], "exact", "reviewed", "x"), ("m2", [("IPC", "1")], [("BNS", "2")], "omitted", "reviewed", "REVIEWER_MUST_SET"), ("m2", [("BNS", "1")], [("BNS", "2")], "exact", "pending", None)],
         f"mapping_id string, source_provisions {prov}, target_provisions {prov}, mapping_type string, review_status string, reviewed_by string")
-    assert sorted((r.rule, r.key) for r in records.mapping_violations(maps).collect()) == [("code_side", "m2"), ("duplicate_id", "m2"), ("placeholder", "m2"), ("shape", "m2")]
-
-
-def test_references_never_match_longer_numbers(spark):
-    cases = spark.createDataFrame([(1, "IPC 42 now"), (2, "section 420"), (3, "bns 420")], "case_id int, text string")
-    maps = spark.createDataFrame([(7, "ipc", "420"), (8, "ipc", "42")], "mapping_id int, code string, section string")
-    assert sorted(tuple(r) for r in records.match_references(cases, maps).collect()) == [(1, 8), (2, 7)]
+    assert sorted((r.rule, r.key) for r in mappings.mapping_violations(maps).collect()) == [("code_side", "m2"), ("duplicate_id", "m2"), ("placeholder", "m2"), ("shape", "m2")]
 
 
 def test_directory(spark):
