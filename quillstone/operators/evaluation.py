@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,20 +15,47 @@ def retrieval_metrics(ranked: DataFrame, accepted: DataFrame, k: int) -> DataFra
 
 
 def answer_metrics(rows: DataFrame) -> DataFrame:
-    """Over answers (published, fabricated, latency, expected): counts, rates over published ones (0 without any), latencies, route accuracy."""
+    """Over answers: counts of published ones, of fabricated and unsupported claims, and rates over what was published; latencies and route accuracy.
+
+    ``rows``: published, expected (booleans), claims, fabricated, unsupported, citations, sound_citations (counts), right_act (boolean, null where none is asked), latency. Only published
+    answers count, but for the route accuracy. A rate over nothing is 0, of citations too; the correct-act rate is null if no published answer is asked for an act.
+    """
     out = F.col("published")
-    rate = F.coalesce(F.avg(F.when(out, F.col("fabricated").cast("int"))), F.lit(0.0))
+    total = lambda c: F.coalesce(F.sum(F.when(out, F.col(c))), F.lit(0)).cast("long")
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(total(a).cast("double"), total(b)), F.lit(0.0)), 6)
     return rows.agg(
-        F.count(F.lit(1)).alias("rows_all"), F.count_if(out).alias("published"), F.round(rate, 6).alias("fabricated_rate"), F.round(F.median(F.when(out, F.col("latency"))), 6).alias("median_latency"),
+        F.count(F.lit(1)).alias("rows_all"), F.count_if(out).alias("published"), total("claims").alias("claims"), total("fabricated").alias("fabricated"), total("unsupported").alias("unsupported"),
+        rate("fabricated", "claims").alias("fabricated_rate"), rate("unsupported", "claims").alias("unsupported_rate"), rate("sound_citations", "citations").alias("citation_precision"),
+        F.round(F.avg(F.when(out, F.col("right_act").cast("int"))), 6).alias("correct_act_rate"), F.round(F.median(F.when(out, F.col("latency"))), 6).alias("median_latency"),
         F.max(F.when(out, F.col("latency"))).alias("max_latency"), F.round(F.avg((out == F.col("expected")).cast("int")), 6).alias("route_accuracy"),
     )
 
 
-def fingerprint(rows: DataFrame) -> DataFrame:
-    """(fingerprint, n) of row digests (h): sorted and digested by their first two digits, then those digests, so no task holds all."""
-    part = rows.groupBy(F.substring("h", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "")
-    return part.agg(F.sha2(top, 256).alias("fingerprint"), F.sum("n").alias("n"))
+def missed(ranked: DataFrame, accepted: DataFrame, k: int) -> DataFrame:
+    """(system, query_id, first_hit): queries of a system without an accepted hit among the first ``k``; first_hit is the rank of a later one, else null."""
+    hits = ranked.join(accepted, ["query_id", "doc_id"]).groupBy("system", "query_id").agg(F.min("rank").alias("first_hit"))
+    every = ranked.select("system", "query_id").distinct().join(hits, ["system", "query_id"], "left")
+    return every.where(F.col("first_hit").isNull() | (F.col("first_hit") > k))
+
+
+def canonical_row(columns: list[str], metadata: str | None = None) -> Column:
+    """sha256 of a row as JSON: columns in order of name, nulls kept, the entries of the map ``metadata`` in order of key."""
+    parts = [F.col(c).alias(c) for c in sorted(columns)]
+    if metadata:
+        parts.append(F.array_sort(F.map_entries(metadata)).alias(metadata))
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
+
+
+def fingerprint_violations(rows: DataFrame, key: str, numbers: list[str] = (), metadata: str | None = None) -> DataFrame:
+    """(rule, key): ids that come twice, and rows with a number that is not finite, in a column or as a value of ``metadata`` (nan, inf, infinity in any case)."""
+    name = F.col(key).cast("string")
+    twice = rows.groupBy(name.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("duplicate_id").alias("rule"), "key")
+    odd = F.lit(False)
+    for c in numbers:
+        odd = odd | F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False))
+    if metadata:
+        odd = odd | F.coalesce(F.exists(F.map_values(metadata), lambda v: F.coalesce(F.lower(F.trim(v.cast("string"))).rlike("^[+-]?(nan|inf|infinity)$"), F.lit(False))), F.lit(False))
+    return twice.union(rows.where(odd).select(F.lit("not_finite"), name))
 
 
 #: Digests that one group of ``digest_levels`` holds on average at most.

@@ -30,9 +30,16 @@ def in_force(start: Column, end: Column, on: Column, include_undated: bool) -> C
     return F.coalesce(F.when(bad_end, False).when(start.isNull(), include_undated).when(~T.is_iso_date(start), False).otherwise(inside), F.lit(False))
 
 
-def scoped(rows: DataFrame, prefixes: DataFrame, column: str) -> DataFrame:
-    """Rows of each (domain, prefix) whose ``column`` starts with a prefix, once a domain."""
-    return rows.join(F.broadcast(prefixes), F.startswith(F.col(column), F.col("prefix"))).drop("prefix").dropDuplicates(["domain", *[c for c in rows.columns if c.endswith("_id")]])
+def scoped(rows: DataFrame, prefixes: DataFrame, column: str, key: str = "doc_id", whole: tuple[str, ...] = ("other",)) -> DataFrame:
+    """Rows of each (domain, prefix) whose ``column`` starts with a prefix, once a domain; domains in ``whole`` have all rows. Prefixes are a reviewed list."""
+    hit = F.col("domain").isin(*whole) | F.startswith(F.col(column), F.col("prefix"))
+    return rows.join(F.broadcast(prefixes), hit).drop("prefix").dropDuplicates(["domain", key])
+
+
+def unrouted(rows: DataFrame, prefixes: DataFrame, column: str, whole: tuple[str, ...] = ("other",)) -> DataFrame:
+    """(domain): domains none of whose prefixes begins a value of ``column``, which is an error."""
+    hit = F.col("domain").isin(*whole) | F.startswith(F.col(column), F.col("prefix"))
+    return prefixes.select("domain").distinct().join(rows.select(column).distinct().join(F.broadcast(prefixes), hit).select("domain").distinct(), "domain", "left_anti")
 
 
 def evidence(rows: DataFrame) -> DataFrame:
@@ -59,24 +66,51 @@ def clean_list(values: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")), 1, most)
 
 
+def capped(value: Column, most: int = 500) -> Column:
+    """The trimmed text, cut to ``most`` characters and trimmed again; null for a blank one."""
+    return F.nullif(F.trim(F.substring(F.trim(value), 1, most)), F.lit(""))
+
+
+def past_day(value: Column, today: Column) -> Column:
+    """The day of an ISO date; null if it is malformed or later than ``today``."""
+    day = F.when(T.is_iso_date(value), value.try_cast("date"))
+    return F.when(day <= today, day)
+
+
+def known_domain(value: Column, domains: list[str]) -> Column:
+    """The domain in lower case, ``other`` if it is none of ``domains``."""
+    x = F.lower(F.trim(value))
+    return F.when(x.isin(domains), x).otherwise("other")
+
+
 def typed_or_extracted(typed: Column, extracted: Column) -> Column:
     """What was typed, unless blank."""
     return F.coalesce(F.nullif(F.trim(typed), F.lit("")), extracted)
 
 
-def renumber(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return rows.withColumn("claim_id", F.concat(F.lit("claim-"), F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("string")))
+def typed_domain(typed: Column, extracted: Column) -> Column:
+    """The domain that was typed, unless it is blank or ``other``, which says less than what was extracted."""
+    x = F.nullif(F.trim(typed), F.lit(""))
+    return F.coalesce(F.when(x != "other", x), extracted, x)
 
 
-def grounding_records(rows: DataFrame, case: str, key: str, text: str, limit: int) -> DataFrame:
-    """(case_key, record): JSON of a case and its evidence in order, excerpts bounded and marked as shortened."""
-    item = F.struct(F.col(key).alias("id"), T.bounded(F.col(text), limit).alias("excerpt"), (F.length(text) > limit).alias("shortened"))
-    got = rows.groupBy(F.col(case).alias("case_key")).agg(F.sort_array(F.collect_list(item)).alias("evidence"))
-    return got.select("case_key", F.to_json(F.struct("case_key", "evidence")).alias("record"))
+def list_violations(rows: DataFrame, key: str, lists: list[str], scalars: list[str] = ()) -> DataFrame:
+    """(rule, key, field): lists with a blank or repeated member (trimmed, as they are written), and blank scalars; nulls are no violation."""
+    parts = []
+    for c in lists:
+        trimmed = F.transform(c, lambda x: F.trim(x))
+        parts += [("blank_member", c, F.exists(trimmed, lambda x: x == "")), ("duplicate_member", c, F.size(trimmed) != F.size(F.array_distinct(trimmed)))]
+    parts += [("blank", c, F.trim(c) == "") for c in scalars]
+    found = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("field"))) for rule, c, bad in parts]))
+    return rows.select(F.col(key).alias("key"), F.explode(found).alias("v")).select("v.rule", "key", "v.field")
+
+
+def renumber(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    return rows.withColumn("claim_id", F.concat(F.lit("claim-"), F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("string")))
 
 
 def grounding_runs(rows: DataFrame, case: list[str], key: str, text: str, limit: int, width: int) -> DataFrame:
-    """(case columns, run, record) over all rows: the records of ``grounding_records``, one for each run of ``width`` keys of a case.
+    """(case columns, run, record) over all rows: JSON of a case and its evidence in order, excerpts bounded and marked as shortened, one for each run of ``width`` keys of a case.
 
     Unique integer keys bound a record to ``width`` pieces of evidence; their number grows with the table.
     """

@@ -171,3 +171,73 @@ def mapping_candidates(rows: DataFrame) -> DataFrame:
     refs = T.statute_refs(old)
     good = rows.where(F.coalesce(F.col("row_id") != "", F.lit(False)) & (F.size("cells") == 2) & (new != ""))
     return good.select("row_id", F.regexp_replace("row_id", r"^([^.]*)\.(.*)$", "$1($2)").alias("reference"), new.alias("new_text"), refs.alias("old_refs"), T.relationship(old, refs).alias("hint"))
+
+
+def worksheet(candidates: DataFrame, chunks: DataFrame, terms: list[str], limit: int) -> DataFrame:
+    """(number, mapping_id, row_id, score, hint, old_refs, target, text_held) for a reviewer: the ``limit`` candidates with most ``terms`` in their texts, ties by row id.
+
+    candidates (row_id, reference, new_text, old_text, old_refs, hint), chunks (source_id, section). Candidates without an old reference and new ones pair nothing and are left out. The target is the
+    reference without what stands in brackets; ``text_held``: the corpus of the new code has that section.
+    """
+    from .mappings import TARGET_CORPUS
+
+    low = F.lower(F.concat_ws(" ", "new_text", "old_text"))
+    score = F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t)))
+    pairs = candidates.where((F.size("old_refs") > 0) & (F.col("hint") != "new")).withColumn("score", score)
+    best = pairs.orderBy(F.desc("score"), "row_id").limit(limit)
+    target = F.element_at(F.split("reference", r"\("), 1)
+    held = chunks.where(F.startswith("source_id", F.lit(TARGET_CORPUS))).select(F.col("section").alias("target"), F.lit(True).alias("held")).distinct()
+    rows = best.withColumn("target", target).join(held, "target", "left").withColumn("number", F.row_number().over(W.orderBy(F.desc("score"), "row_id")))  # ``limit`` rows
+    name = F.concat(F.lit("ipc-"), F.array_join("old_refs", "-"), F.lit("-bns-"), F.col("target"))
+    return rows.select("number", name.alias("mapping_id"), "row_id", "score", "hint", "old_refs", "target", F.coalesce("held", F.lit(False)).alias("text_held"))
+
+
+def district_contacts(rows: DataFrame) -> DataFrame:
+    """(contact_id, authority, district, officer_name, phone, email) from table rows (cells): four cells with ``Secretary, X DLSA``, a mail and a phone."""
+    c = lambda k: F.trim(F.get("cells", F.lit(k)))
+    named = F.regexp_extract(c(1), r"(?i)Secretary,\s*(.+?),?\s+DLSA\b", 1)
+    district = F.trim(F.regexp_replace(named, r"\s+", " "), F.lit(" ,-–"))
+    got = rows.where(F.size("cells") == 4).select(district.alias("district"), c(0).alias("officer_name"), T.plain_mail(c(2)).alias("email"), c(3).alias("phone"))
+    got = got.where((F.col("district") != "") & (F.col("email") != "") & (F.col("phone") != ""))
+    return got.select(F.concat(F.lit("delhi-dlsa-"), T.slug(F.col("district"))).alias("contact_id"), F.concat("district", F.lit(" District Legal Services Authority")).alias("authority"), "district", "officer_name", "phone", "email")
+
+
+def fallback_violations(fallbacks: DataFrame, phones: dict[str, str], scope: str = "india") -> DataFrame:
+    """(rule, key, detail): required fallbacks that are missing, or have another phone or scope than reviewed."""
+    need = fallbacks.sparkSession.createDataFrame(list(phones.items()), "fallback_id string, expected string")
+    both = need.join(fallbacks, "fallback_id", "left")
+    wrong = ~F.coalesce((F.col("phone") == F.col("expected")) & (T.place_key(F.col("scope")) == scope), F.lit(False))
+    return all_violations([
+        violation(need.join(fallbacks, "fallback_id", "left_anti"), "missing_fallback", F.col("fallback_id")),
+        violation(both.where(F.coalesce("phone", "scope").isNotNull() & wrong), "unreviewed_fallback", F.col("fallback_id"), F.col("phone")),
+    ])
+
+
+def consequences(cases: DataFrame, deadlines: DataFrame, today: Column, reviewed_only: bool = False) -> DataFrame:
+    """(case_id, deadline_id, due, days_remaining, notes) of cases (case_id, domain, start) by the deadlines of their domain, a reviewed list.
+
+    deadlines (deadline_id, domain, count, unit, effective_from, review_status). Notes: ``no_start`` (a question), ``unverified_commencement`` for a source without a date,
+    ``unreviewed``, ``expired``. A case without a deadline gets one row with the note ``sources_silent``.
+    """
+    chosen = deadlines.where("review_status = 'reviewed'") if reviewed_only else deadlines
+    rows = cases.join(F.broadcast(chosen), "domain", "left")
+    due = D.add_period(F.col("start"), F.col("count"), F.col("unit"))
+    rows = rows.withColumn("due", due).withColumn("days_remaining", F.datediff("due", today))
+    there = F.col("deadline_id").isNotNull()
+    notes = F.array_compact(F.array(
+        F.when(~there, "sources_silent"), F.when(there & F.col("start").isNull(), "no_start"), F.when(there & F.col("effective_from").isNull(), "unverified_commencement"),
+        F.when(F.col("review_status") != "reviewed", "unreviewed"), F.when(F.col("due") < today, "expired"),
+    ))
+    return rows.select("case_id", "deadline_id", "due", "days_remaining", notes.alias("notes"))
+
+
+def deadline_violations(deadlines: DataFrame) -> DataFrame:
+    """(rule, key, detail): ids that come twice, and practical risks that do not state what they depend on."""
+    vague = deadlines.where((F.col("consequence_kind") == "practical_risk") & (F.coalesce(F.size("depends_on"), F.lit(0)) <= 0))
+    return all_violations([duplicates(deadlines, "duplicate_id", F.col("deadline_id")), violation(vague, "depends_on_nothing", F.col("deadline_id"))])
+
+
+def rights(entries: DataFrame, domains: list[str], always: str = "constitutional") -> DataFrame:
+    """(case_domain, right_id): the entries of each domain and those that hold for all; the domains are a short list."""
+    asked = entries.sparkSession.createDataFrame([(d,) for d in domains], "case_domain string")
+    return entries.join(F.broadcast(asked), (F.col("domain") == F.col("case_domain")) | (F.col("domain") == always)).select("case_domain", "right_id")

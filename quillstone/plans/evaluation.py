@@ -20,12 +20,16 @@ def recall_mrr(spark, sf):
     return E.retrieval_metrics(ranked, accepted, 5)
 
 
-@query("""select count(*) as rows_all, count(*) filter (event_type = 'purchase') as published, round(coalesce(avg(case when event_type = 'purchase' then (user_id % 5 = 0)::int end), 0), 6) as fabricated_rate,
- round(median(value) filter (event_type = 'purchase'), 6) as median_latency, max(value) filter (event_type = 'purchase') as max_latency, round(avg((event_type = 'purchase' and user_id % 2 = 0 or event_type <> 'purchase' and user_id % 2 = 1)::int), 6) as route_accuracy from events""")
+@query("""with a as (select event_type = 'purchase' as pub, user_id % 4 as claims, case when user_id % 5 = 0 then 1 else 0 end as fab, case when user_id % 4 > 1 then 1 else 0 end as uns, user_id % 4 * 2 as cit, case when user_id % 3 = 0 then 0 else user_id % 4 end as sound, case when event_id % 3 <> 0 then event_id % 2 = 0 end as act, value, user_id from events)
+ select count(*) as rows_all, count(*) filter (pub) as published, cast(sum(claims) filter (pub) as bigint) as claims, cast(sum(fab) filter (pub) as bigint) as fabricated, cast(sum(uns) filter (pub) as bigint) as unsupported,
+ round(coalesce(sum(fab) filter (pub)::double / nullif(sum(claims) filter (pub), 0), 0), 6) as fabricated_rate, round(coalesce(sum(uns) filter (pub)::double / nullif(sum(claims) filter (pub), 0), 0), 6) as unsupported_rate, round(coalesce(sum(sound) filter (pub)::double / nullif(sum(cit) filter (pub), 0), 0), 6) as citation_precision,
+ round(avg(act::int) filter (pub), 6) as correct_act_rate, round(median(value) filter (pub), 6) as median_latency, max(value) filter (pub) as max_latency, round(avg((pub = (user_id % 2 = 0))::int), 6) as route_accuracy from a""")
 def answer_metrics(spark, sf):
-    """A5: rates and latencies over published answers (events as answers)."""
+    """A5: claims, rates, citation precision, right acts, latencies and routes over answers (events as answers)."""
+    u, n = F.col("user_id"), F.col("user_id") % 4
     e = table(spark, sf, "events").select(
-        (F.col("event_type") == "purchase").alias("published"), (F.col("user_id") % 5 == 0).alias("fabricated"), F.col("value").alias("latency"), (F.col("user_id") % 2 == 0).alias("expected"),
+        (F.col("event_type") == "purchase").alias("published"), n.alias("claims"), (u % 5 == 0).cast("int").alias("fabricated"), (n > 1).cast("int").alias("unsupported"), (n * 2).alias("citations"), F.when(u % 3 == 0, 0).otherwise(n).alias("sound_citations"),
+        F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 2 == 0).alias("right_act"), F.col("value").alias("latency"), (u % 2 == 0).alias("expected"),
     )
     return E.answer_metrics(e)
 
@@ -55,14 +59,17 @@ def embed_key(spark, sf):
     return d.distinct()
 
 
-@query()
+@query("select distinct sha256(unhex(hex(encode('m1')) || '00' || hex(encode(text)))) as key, 16 as dim, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) as words from documents")
 def incremental_embed(spark, sf):
-    """Vectors of texts that a store lacks (those of odd ids), by a hashing embedder in batches."""
-    from ..operators.embedding import cache_key, embed_missing, hashing_embedder
+    """A store of vectors filled in two steps, the second for what it lacks, by a hashing embedder in batches; each text is embedded once."""
+    from ..operators.embedding import append_missing, cache_key, hashing_embedder
+    from ..sources.store import Store
 
     d = table(spark, sf, "documents").select("doc_id", cache_key("m1", F.col("text")).alias("key"), "text")
-    store = d.where("doc_id % 2 = 0").select("key").distinct()
-    return embed_missing(d.select("key", "text"), store, hashing_embedder(16), 32).select("key", F.size("vector").alias("dim"))
+    path = f"{Store(spark).path}/vectors"
+    append_missing(d.where("doc_id % 2 = 0").select("key", "text"), path, hashing_embedder(16), 32)
+    store = append_missing(d.select("key", "text"), path, hashing_embedder(16), 32)
+    return store.select("key", F.size("vector").alias("dim"), F.aggregate("vector", F.lit(0).cast("double"), lambda s, x: s + x).cast("long").alias("words"))
 
 
 @query("select doc_id, sha256('7:' || doc_id) as draw from documents order by draw, doc_id limit 25")

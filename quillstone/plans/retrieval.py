@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import build as B
 from ..operators import index as I
 from ..operators import nearest as N
 from ..operators import overlap as O
@@ -232,6 +233,32 @@ def greedy_dedup(spark, sf):
     return O.greedy_dedup(_searched(spark, sf, _terms(spark, sf), 20), O.text_rows(_rows(spark, sf), BLOCK))
 
 
+DEDUP_SQL = f"""{GREEDY_SQL},
+ g(query_id, rank, doc_id, reps, docs, kept_by) as (
+  select query_id, rank, doc_id, [rep], [doc_id], cast(null as bigint) from ranked where rank = 1
+  union all select g.query_id, n.rank, n.doc_id, case when list_has_any(reps, others) then reps else list_append(reps, rep) end, case when list_has_any(reps, others) then docs else list_append(docs, n.doc_id) end,
+   docs[list_position(list_transform(reps, lambda x: list_contains(others, x)), true)] from g join ranked n on n.query_id = g.query_id and n.rank = g.rank + 1 where n.rank <= 20)"""
+
+
+@query(f"with recursive {DEDUP_SQL} select query_id, doc_id as dropped, kept_by as kept, 'overlapping_text' as reason from g where kept_by is not null")
+def dedup_events(spark, sf):
+    """(query, dropped, kept, reason) of each row of the pool of 20 that overlaps a better one."""
+    return B.dedup_events(greedy_dedup(spark, sf))
+
+
+@query(f"""with recursive {DEDUP_SQL}, x as (select query_id, count(*) filter (lang <> 'en') as n from bm join documents using (doc_id) where score > 0 group by query_id)
+ select item_id as query_id, count(g.doc_id) as candidates, coalesce(any_value(x.n), 0) as excluded, count(kept_by) as deduplicated, count(g.doc_id) - count(kept_by) < 5 as underfilled from benchmark left join g on g.query_id = item_id left join x on x.query_id = item_id group by item_id""")
+def trace_summary(spark, sf):
+    """Candidates, exclusions by a language filter, and removed rows of each query, and whether under five candidates stay."""
+    store, terms = Store(spark), _terms(spark, sf)
+    index = I.build_index(_docs(spark, sf), store)
+    pool = store.save(I.search(terms, index, 20, store))
+    dropped = store.save(B.dedup_events(O.greedy_dedup(pool, O.text_rows(_rows(spark, sf), BLOCK))))
+    other = table(spark, sf, "documents").where("lang <> 'en'").select("doc_id")
+    excluded = I.score_all(terms, index).where("score > 0").join(other, "doc_id", "left_semi")
+    return B.trace_summary(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")), pool, excluded, dropped, 5)
+
+
 @query(f"""with recursive {GREEDY_SQL},
  g(query_id, rank, doc_id, reps, fresh) as (
   select query_id, rank, doc_id, [rep], true from ranked where rank = 1

@@ -66,7 +66,7 @@ def applicability(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", verdict.alias("verdict"))
 
 
-@query("""with p as (select doc_id as id, 'd' as kind, substr(text, 1, 20000) as h from documents union all select page_id, 'p', substr(html, 1, 20000) from pages)
+@query("""with p as (select doc_id as id, 'd' as kind, text as h from documents union all select page_id, 'p', html from pages)
  select kind, id, concat_ws(',', case when regexp_matches(h, '(?i)\\b(the|der) [a-z]+ion\\b') then 'ion' end, case when regexp_matches(h, '<[^>]*script') then 'script' end, case when regexp_matches(h, '[#%&*$]{3}') then 'marks' end) as flags from p""")
 def injection_flags(spark, sf):
     """Named patterns that occur in documents and pages."""
