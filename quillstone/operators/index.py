@@ -11,12 +11,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.store import Store
-from .retrieval import checked_broadcast, idf, top
+from .retrieval import BROADCAST_ROWS, checked_broadcast, idf, top
 
 BLOCK = 128
 #: So many postings of a query's rarest terms are scored first, to learn what its best k reach at least.
@@ -34,26 +35,36 @@ class Index(NamedTuple):
     b: float
 
 
-def _term_counts(batches):
-    """(doc_id, dl, term, tf) of (doc_id, tokens); the tokens of a document are together, so nothing is shuffled."""
-    for batch in batches:
-        docs, tokens = batch.column(0), batch.column(1)
-        coded = tokens.flatten().dictionary_encode()
-        size = np.nan_to_num(tokens.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-        of = np.repeat(np.arange(len(docs)), size)
-        if not len(of):
-            continue
-        keys, tf = np.unique(of * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
-        of = keys // len(coded.dictionary)
-        yield pa.RecordBatch.from_arrays(
-            [docs.take(pa.array(of)), pa.array(size[of]), coded.dictionary.take(pa.array(keys % len(coded.dictionary))), pa.array(tf.astype(np.int32))], ["doc_id", "dl", "term", "tf"]
-        )
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
+def _term_counts(among=None):
+    """(doc_id, tokens) to (doc_id, dl, term, tf); the tokens of a document are together, so nothing is shuffled.
+
+    ``among`` holds the terms that are asked for, if not all are; then a row without a term has the number of all tokens of a batch.
+    """
+
+    def run(batches):
+        names = ["doc_id", "dl", "term", "tf"]
+        for batch in batches:
+            docs, tokens = batch.column(0), batch.column(1)
+            coded = tokens.flatten().dictionary_encode()
+            size = np.nan_to_num(tokens.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            of, code = np.repeat(np.arange(len(docs)), size), coded.indices.to_numpy()
+            if not len(of):
+                continue
+            if among is not None:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, docs.type), pa.array([len(of)]), pa.nulls(1, pa.string()), pa.array([0], pa.int32())], names)
+                wanted = pc.is_in(coded.dictionary, value_set=among.value).to_numpy(zero_copy_only=False)[code]
+                of, code = of[wanted], code[wanted]
+            keys, tf = np.unique(of * len(coded.dictionary) + code, return_counts=True)
+            of = keys // len(coded.dictionary)
+            yield pa.RecordBatch.from_arrays([docs.take(pa.array(of)), pa.array(size[of]), coded.dictionary.take(pa.array(keys % len(coded.dictionary))), pa.array(tf.astype(np.int32))], names)
+
+    return run
+
+
+def term_counts(docs: DataFrame, among=None) -> DataFrame:
     """(doc_id, dl, term, tf) of (doc_id, tokens)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "tokens").mapInArrow(_term_counts, f"doc_id {kind}, dl bigint, term string, tf int")
+    return docs.select("doc_id", "tokens").mapInArrow(_term_counts(among), f"doc_id {kind}, dl bigint, term string, tf int")
 
 
 def _blocks(batches):
@@ -88,11 +99,22 @@ def _packed(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column("term").take(pa.array(cuts)), pa.array(best), *packed], ["term", "best", "docs", "tfs", "dls"])
 
 
-def build_index(docs: DataFrame, store: Store, k1: float = 1.5, b: float = 0.75) -> Index:
-    """The index of (doc_id, tokens). Documents without tokens count for n and the average length; an average of 0 counts as 1."""
-    rows = store.save(term_counts(docs), "rows")
+def build_index(docs: DataFrame, store: Store, k1: float = 1.5, b: float = 0.75, terms: DataFrame | None = None) -> Index:
+    """The index of (doc_id, tokens), of all terms or of those in ``terms`` (term) only; statistics come from all documents either way.
+
+    Documents without tokens count for n and the average length; an average of 0 counts as 1. Asked terms go to all tasks if a count says that they are few; else they are joined.
+    """
+    asked = terms.select("term").distinct() if terms is not None else None
+    among = None
+    if asked is not None and asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        among = docs.sparkSession.sparkContext.broadcast(asked.toArrow()["term"].combine_chunks())
+    rows = store.save(term_counts(docs, among), "rows")
     n = docs.count()
-    words = rows.agg(F.sum("tf").alias("s")).collect()[0].s or 0
+    every = F.sum(F.when(F.col("term").isNull(), F.col("dl"))) if among is not None else F.sum("tf")
+    words = rows.agg(every.alias("s")).collect()[0].s or 0
+    rows = rows.where("term is not null")
+    if asked is not None and among is None:
+        rows = rows.join(asked, "term", "left_semi")
     avgdl = words / n if words else 1.0
     kind = docs.schema["doc_id"].dataType.simpleString()
     tf = F.col("tf").cast("double")

@@ -43,7 +43,7 @@ def _docs(spark, sf):
 def _searched(spark, sf, terms, k):
     """The ``k`` best documents of each query, by an index that goes when they are written."""
     store = Store(spark)
-    found = Store(spark).save(I.search(terms, I.build_index(_docs(spark, sf), store), k, store))
+    found = Store(spark).save(I.search(terms, I.build_index(_docs(spark, sf), store, terms=terms), k, store))
     store.drop()
     return found
 
@@ -170,8 +170,8 @@ OVERLAP_SQL = f"""t as (select doc_id, lang, source, list_sort(list_distinct({TO
 
 
 def _rows(spark, sf):
-    d = dealt_out(table(spark, sf, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("tokens"))
-    return d.select("doc_id", "lang", "source", F.array_distinct("tokens").alias("terms"), F.array_join("tokens", " ").alias("token_text"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"))
+    d = dealt_out(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
+    return d.select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("tokens"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"))
 
 
 @query(f"with {OVERLAP_SQL} select a, b from pairs")
@@ -183,7 +183,7 @@ def overlap_pairs(spark, sf):
 @query(f"with {OVERLAP_SQL} select count(*) as n_groups, cast(sum(n) as bigint) as n_rows, max(n) as largest from (select x, count(*) as n from t group by x having count(*) > 1)")
 def exact_dups(spark, sf):
     """Groups of documents with equal token text."""
-    g = _rows(spark, sf).groupBy(F.sha2("token_text", 256)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    g = _rows(spark, sf).groupBy(F.sha2(F.array_join("tokens", " "), 256)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return g.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_rows"), F.max("n").alias("largest"))
 
 
@@ -191,7 +191,7 @@ def exact_dups(spark, sf):
  select doc_id, min(doc_id) over (partition by x) as kept_id from t""")
 def first_copies(spark, sf):
     """U5 (whole corpus), W5: each document's representative, the smallest id with its token text."""
-    rows = _rows(spark, sf).select("doc_id", F.sha2("token_text", 256).alias("h"))
+    rows = _rows(spark, sf).select("doc_id", F.sha2(F.array_join("tokens", " "), 256).alias("h"))
     return rows.join(rows.groupBy("h").agg(F.min("doc_id").alias("kept_id")), "h").select("doc_id", "kept_id")
 
 
@@ -210,7 +210,8 @@ def trace_counts(spark, sf):
 def exclusion_counts(spark, sf):
     """Of each query's scored documents, without a cap, those that a language filter excludes; and all documents that it excludes."""
     d = table(spark, sf, "documents").select("doc_id", "lang")
-    c = I.score_all(_terms(spark, sf), I.build_index(_docs(spark, sf), Store(spark))).where("score > 0").join(d, "doc_id")
+    terms = _terms(spark, sf)
+    c = I.score_all(terms, I.build_index(_docs(spark, sf), Store(spark), terms=terms)).where("score > 0").join(d, "doc_id")
     every = d.agg(F.count_if(F.col("lang") != "en").alias("excluded_all"))
     out = c.groupBy("query_id").agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("lang") != "en").alias("excluded"), (F.count_if(F.col("lang") == "en") < 5).alias("underfilled"))
     return out.crossJoin(F.broadcast(every))  # one row
@@ -251,7 +252,7 @@ def dedup_events(spark, sf):
 def trace_summary(spark, sf):
     """Candidates, exclusions by a language filter, and removed rows of each query, and whether under five candidates stay."""
     store, terms = Store(spark), _terms(spark, sf)
-    index = I.build_index(_docs(spark, sf), store)
+    index = I.build_index(_docs(spark, sf), store, terms=terms)
     pool = store.save(I.search(terms, index, 20, store))
     dropped = store.save(B.dedup_events(O.greedy_dedup(pool, O.text_rows(_rows(spark, sf), BLOCK))))
     other = table(spark, sf, "documents").where("lang <> 'en'").select("doc_id")
@@ -267,9 +268,8 @@ def trace_summary(spark, sf):
  select query_id, doc_id, rank, cast(row_number() over (partition by query_id order by rank) as int) as new_rank from g where fresh""")
 def pool_refill(spark, sf):
     """Five rows for each query after greedy removal in a pool of 20; queries left with fewer go on over all documents that score."""
-    store = Store(spark)
-    index = I.build_index(_docs(spark, sf), store)
-    terms = _terms(spark, sf)
+    store, terms = Store(spark), _terms(spark, sf)
+    index = I.build_index(_docs(spark, sf), store, terms=terms)
     pool = store.save(I.search(terms, index, 20, store))
     texts = store.save(O.text_rows(_rows(spark, sf), BLOCK))
     found = O.refill(pool, lambda ids: I.score_all(terms.join(ids, "query_id", "left_semi"), index), texts, 5, store)

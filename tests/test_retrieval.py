@@ -86,6 +86,19 @@ def test_search_is_exact(spark, indexed, k, seed, broadcast, monkeypatch):
     assert all(r.score == pytest.approx(want[r.query_id, r.doc_id], abs=2e-6) for r in got)
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_index_of_asked_terms(spark, indexed, few, monkeypatch):
+    """An index of the terms that are asked for has their postings only, and the statistics of all documents."""
+    monkeypatch.setattr(index, "BROADCAST_ROWS", few)
+    docs, whole, _ = indexed
+    df = spark.createDataFrame(docs, "doc_id bigint, tokens array<string>").repartition(3)
+    terms = spark.createDataFrame([(q, t) for q, x in QUERIES[:3] for t in set(x)], "query_id bigint, term string")
+    store = Store(spark)
+    part = index.build_index(df, store, terms=terms)
+    assert (part.n, part.avgdl) == (whole.n, whole.avgdl) and {r.term for r in part.terms.collect()} == {t for _, x in QUERIES[:3] for t in x}
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in index.search(terms, part, 5, store).collect()} == best(bm25(docs, QUERIES[:3]), 5)
+
+
 def test_all_scores(spark, indexed):
     docs, found, _ = indexed
     terms = spark.createDataFrame([(q, t) for q, x in QUERIES for t in set(x)], "query_id bigint, term string")
@@ -173,6 +186,10 @@ def overlap_rows(seed=5, n=260):
 SCHEMA = "doc_id bigint, " + ", ".join(f"{c} string" for c in KEYS + MAYBE) + ", page_start int, page_end int, terms array<string>, token_text string"
 
 
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).withColumn("tokens", F.when(F.size("terms") > 0, F.split("token_text", " ")).otherwise(F.array().cast("array<string>")))
+
+
 def alike(x):
     """What rows of one class share."""
     return (*x[1:9], x[9], None if x[9] is None else x[9] if x[10] is None else x[10], x[12])
@@ -200,7 +217,7 @@ def test_overlap(spark, cells, monkeypatch):
             heads.setdefault(alike(x), x)
     heads = list(heads.values())
     want = {(a[0], b[0]) for a in heads for b in heads if a[0] < b[0] and meets(a, b)}
-    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    df = frame(spark, rows).repartition(4)
     got = [tuple(x) for x in overlap.overlapping(df, KEYS, MAYBE).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
     assert overlap.overlapping(df.limit(0), KEYS, MAYBE).count() == 0
@@ -218,7 +235,7 @@ def test_overlap_with_heads(spark, few, monkeypatch):
     monkeypatch.setattr(overlap, "FEW_TERMS", few)
     monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 200_000 if few else 0)
     rows = overlap_rows()
-    texts = Store(spark).save(overlap.text_rows(spark.createDataFrame(rows, SCHEMA), KEYS, MAYBE))
+    texts = Store(spark).save(overlap.text_rows(frame(spark, rows), KEYS, MAYBE))
     counts = spark.sparkContext.broadcast(overlap.term_order(texts))
     chosen = [x for x in rows if x[0] % 9 == 0 or x[0] >= 260]
     got = [tuple(x) for x in overlap.overlapping_with(texts.where("id % 9 = 0 or id >= 260"), texts, counts).collect()]
@@ -248,7 +265,7 @@ def test_greedy_dedup(spark):
     scores = {(q, i): s for q, i, s in scored_rows(rows)}
     ranked = best(scores, 10**6)
     df = spark.createDataFrame(list(ranked), "query_id bigint, doc_id bigint, rank int").repartition(3)
-    got = overlap.greedy_dedup(df, overlap.text_rows(spark.createDataFrame(rows, SCHEMA), KEYS, MAYBE)).collect()
+    got = overlap.greedy_dedup(df, overlap.text_rows(frame(spark, rows), KEYS, MAYBE)).collect()
     for q in range(4):
         order = [i for _, i, _ in sorted((x for x in ranked if x[0] == q), key=lambda x: x[2])]
         assert {(x.doc_id, x.kept_by) for x in got if x.query_id == q} == set(greedy(order, by))
@@ -261,7 +278,7 @@ def test_refill(spark, size):
     by = {x[0]: x for x in rows}
     some = scored_rows(rows) + [(9, 0, 1.0), (9, 3, 1.0)]
     scored = spark.createDataFrame(some, "query_id bigint, doc_id bigint, score double")
-    texts = overlap.text_rows(spark.createDataFrame(rows, SCHEMA), KEYS, MAYBE)
+    texts = overlap.text_rows(frame(spark, rows), KEYS, MAYBE)
     store, asked = Store(spark), []
 
     def all_of(queries):
@@ -282,7 +299,7 @@ def test_refill_behind_many_copies(spark):
     base = [f"w{i}" for i in range(20)]
     other = lambda k: " ".join(["w0", *[f"y{k}z{i}" for i in range(20)]])
     for texts, want in (([" ".join(base)] * 20 + [other(k) for k in range(5)], [0, 20, 21, 22, 23]), ([" ".join(base)] * 70 + [" ".join([*base[:-1], f"x{i}"]) for i in range(70)] + [other(k) for k in range(4)], [0, 140, 141, 142, 143])):
-        d = spark.createDataFrame([(i, "en", t.split(), t, None, None) for i, t in enumerate(texts)], "doc_id bigint, lang string, terms array<string>, token_text string, page_start int, page_end int")
+        d = spark.createDataFrame([(i, "en", t.split(), None, None) for i, t in enumerate(texts)], "doc_id bigint, lang string, tokens array<string>, page_start int, page_end int")
         scored = d.select(F.lit(1).cast("bigint").alias("query_id"), "doc_id", (2.0 - F.col("doc_id") / 1000).alias("score"))
         got = overlap.refill(retrieval.top(scored, 20), lambda q: scored, overlap.text_rows(d, ["lang"]), 5, Store(spark))  # noqa: B023
         assert [(r.doc_id, r["rank"]) for r in got.orderBy("new_rank").collect()] == [(i, i + 1) for i in want]
