@@ -66,15 +66,23 @@ def page_facts(chunked: DataFrame, paged: DataFrame, status: Column) -> DataFram
     return both.groupBy("source", "chunk_id").agg(F.count(F.lit(1)).alias("n_pages"), F.bool_or(F.col("status").isin("none", "insufficient")).alias("scan_review"), records.alias("pages"))
 
 
-def page_budget(paged: DataFrame, most_pages: int = 30, most_chars: int = 100_000) -> DataFrame:
-    """(source, n_pages, text, truncated): the first pages up to a budget of characters; the page that crosses it is cut."""
+def page_budget(paged: DataFrame, most_pages: int = 30, most_chars: int = 100_000, status: Column | None = None) -> DataFrame:
+    """(source, n_pages, text, truncated): the first pages up to a budget of characters; the page that crosses it is cut.
+
+    With the ``status`` of pages also ``scanned_pages`` (none or insufficient) and ``ocr_pages``: those of the pages taken, at most ``most_pages``, in order.
+    """
     before = W.partitionBy("source").orderBy("page_number").rowsBetween(W.unboundedPreceding, -1)
     rows = paged.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
     cut = rows.where((F.col("page_number") <= most_pages) & (F.col("before") < most_chars))
     cut = cut.withColumn("part", F.substr("text", F.lit(1), F.greatest(F.lit(0), F.lit(most_chars) - F.col("before")).cast("int")))
     whole = paged.groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("all_pages"))
+    if status is not None:
+        listed = lambda *names: F.array_sort(F.collect_list(F.when(F.col("_status").isin(*names), F.col("page_number"))))
+        facts = cut.withColumn("_status", status).groupBy("source").agg(listed("none", "insufficient").alias("scanned_pages"), listed("ocr").alias("ocr_pages"))
+        whole = whole.join(facts, "source", "left")
     out = cut.groupBy("source").agg(F.count(F.lit(1)).alias("n_pages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "part"))), lambda x: x["part"]), "").alias("text"))
-    return out.join(whole, "source").select("source", "n_pages", "text", (F.length("text") < F.col("chars")).alias("truncated"))
+    more = [] if status is None else ["scanned_pages", "ocr_pages"]
+    return out.join(whole, "source").select("source", "n_pages", "text", (F.length("text") < F.col("chars")).alias("truncated"), *more)
 
 
 def joined_segments(rows: DataFrame, key: str, order: str, text: str, limit: int) -> DataFrame:
@@ -99,8 +107,8 @@ def run_starts(rows: DataFrame, by: list[str], share: float = 0.55, least: int =
     full = rows.where(F.col("line").rlike(r"(?U)\S")).withColumn("other", (letters > 0) & (devanagari >= share * letters))
     order = W.partitionBy(*by).orderBy("line_no")
     island = F.row_number().over(order) - F.row_number().over(W.partitionBy(*by, "other").orderBy("line_no"))
-    runs = full.withColumn("island", island).where("other").groupBy(*by, "island").agg(F.min("line_no").alias("start"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return runs.groupBy(*by).agg(F.min("start").alias("stop"))
+    runs = full.withColumn("island", island).where("other").groupBy(*by, "island").agg(F.min("line_no").alias("_start"), F.count(F.lit(1)).alias("_lines")).where(F.col("_lines") >= least)
+    return runs.groupBy(*by).agg(F.min("_start").alias("stop"))
 
 
 def trim_at_run(rows: DataFrame, share: float = 0.55, least: int = 3) -> DataFrame:

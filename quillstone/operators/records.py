@@ -36,14 +36,6 @@ def in_interval(rows: DataFrame, spans: DataFrame, key: str, day: str) -> DataFr
     return rows.join(spans, key).where((F.col(day) >= F.col("s")) & (F.col("e").isNull() | (F.col(day) <= F.col("e"))))
 
 
-def overlapping_ranges(rows: DataFrame, block: list[str], key: str, reach: int) -> DataFrame:
-    """(a, b): rows of a block whose [s, e] meet and whose keys differ by ``reach`` at most; keys are cut into cells of that width, so a block is no single group."""
-    cell = F.floor(F.col(key) / reach)
-    a = rows.select(*block, F.col(key).alias("a"), F.col("s").alias("s1"), F.col("e").alias("e1"), F.explode(F.array(cell, cell + 1)).alias("cell"))
-    b = rows.select(*block, F.col(key).alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"), cell.alias("cell"))
-    return a.join(b, [*block, "cell"]).where((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= reach) & (F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1"))).select("a", "b")
-
-
 def overlapping_range_counts(rows: DataFrame, block: list[str], width: int = 16) -> DataFrame:
     """(block, s1, e1, n1, s2, e2, n2): distinct ranges of a block that meet, each pair and each range with itself once, with their rows.
 
@@ -58,6 +50,16 @@ def overlapping_range_counts(rows: DataFrame, block: list[str], width: int = 16)
     return both.select(*block, "s1", "e1", "n1", "s2", "e2", "n2")
 
 
+def range_partners(rows: DataFrame, block: list[str], key: str, width: int = 16) -> DataFrame:
+    """(key, n_partners): how many other rows of its block have a range [s, e] that meets the row's, from counts of distinct ranges; no pair of rows is formed. Rows without a range have none."""
+    met = overlapping_range_counts(rows, block, width)
+    apart = (F.col("s1") != F.col("s2")) | (F.col("e1") != F.col("e2"))
+    one = met.select(*block, F.col("s1").alias("s"), F.col("e1").alias("e"), F.col("n2").alias("n"))
+    two = met.where(apart).select(*block, F.col("s2").alias("s"), F.col("e2").alias("e"), F.col("n1").alias("n"))
+    total = one.union(two).groupBy(*block, "s", "e").agg(F.sum("n").alias("n"))
+    return rows.join(total, [*block, "s", "e"], "left").select(key, F.coalesce(F.col("n") - 1, F.lit(0)).cast("long").alias("n_partners"))
+
+
 def check_quotes(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
     """(quote_id, source_known, verbatim): whether the quote stands in the cited text, white space and case aside."""
     both = quotes.join(corpus, "source_id", "left")
@@ -74,13 +76,17 @@ def with_fallback(rows: DataFrame, key: str, tiers: list[tuple[str, DataFrame]])
     return out.select(key, origin.alias("origin"), found.alias("citation"))
 
 
-def resolve_place(cases: DataFrame, states: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Cases (state, home, district) with status and contact: another state's contact or none; at home a district's by alias, or unmatched; no state: unknown."""
-    out = cases.join(F.broadcast(states.select("state", F.col("contact").alias("_s"))), "state", "left")  # directories: a row for each state or district
+def resolve_place(cases: DataFrame, states: DataFrame, aliases: DataFrame, fallbacks: list[str] = ()) -> DataFrame:
+    """Cases (state, home, district) with status, contact and ``fallbacks``: another state's contact or none; at home a district's by alias, or unmatched; no state: unknown.
+
+    The nationwide fallbacks are attached to every case, whatever its status. Directories have a row for each state or district.
+    """
+    out = cases.join(F.broadcast(states.select("state", F.col("contact").alias("_s"))), "state", "left")
     out = out.withColumn("alias", T.place_key(F.col("district"))).join(F.broadcast(aliases.select("alias", F.col("contact").alias("_d"))), "alias", "left")
     away = ~F.col("home")
     status = F.when(F.col("home").isNull(), "unknown").when(away & F.col("_s").isNotNull(), "matched").when(away, "none").when(F.col("_d").isNotNull(), "matched").otherwise("unmatched")
-    return out.withColumn("status", status).withColumn("contact", F.when(away, F.col("_s")).when(F.col("home"), F.col("_d"))).drop("_s", "_d")
+    always = F.array(*[F.lit(x) for x in fallbacks]).cast("array<string>")
+    return out.withColumn("status", status).withColumns({"contact": F.when(away, F.col("_s")).when(F.col("home"), F.col("_d")), "fallbacks": always}).drop("_s", "_d")
 
 
 def mapping_status(cases: DataFrame, key: str, mappings: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunks as C
 from ..operators import evaluation as E
+from ..sources.store import dealt_out
 from .registry import query, table
 
 SIZE = 500
@@ -13,7 +14,7 @@ PAGES_SQL = f"""pages_ as (select doc_id as source, cast(p as int) as page_numbe
 
 
 def _pages(spark, sf):
-    return C.sized_pages(table(spark, sf, "documents"), "doc_id", "text", SIZE)
+    return C.sized_pages(dealt_out(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", SIZE)
 
 
 @query("select doc_id as source, cast(len(string_split(text, chr(12))) as bigint) as n_pages from documents")
@@ -38,7 +39,7 @@ LINES_SQL = r"""l0 as (select doc_id as source, unnest(string_split(text, chr(10
 
 
 def _segments(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[\u000b\u000c\r\u001c-\u001e\u0085  ]", " ").alias("text"))
+    docs = dealt_out(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace("text", "[\u000b\u000c\r\u001c-\u001e\u0085  ]", " ").alias("text"))
     rows = C.boundaries(C.lines(C.pages(docs, "doc_id", "text")), r"^\p{Lu}\p{L}* ", "^The ", "^A ", leader=r"\u0000")
     return C.sections(rows, F.regexp_extract("line", r"^\p{L}+", 0))
 
@@ -68,12 +69,12 @@ def chunk_pages(spark, sf):
     return _chunk_facts(spark, sf, docs)
 
 
-@query("""select doc_id as source, cast(least(10, greatest(1, ceil(length(text) / 500.0))) as bigint) as n_pages, md5(substr(text, 1, 4200)) as text_md5, length(text) > 4200 as truncated
- from documents""".replace("least(10", "least(9"))
+@query(f"""with {PAGES_SQL}, s as (select source, string_agg(page_number, ',' order by page_number) as scanned from pages_ where page_number <= 9 and length(regexp_replace(text, '[\\s\\x0b]', '', 'g')) < 20 and (length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) < 5 or length(regexp_replace(text, '[\\s\\x0b]', '', 'g')) = 0) group by source)
+ select doc_id as source, cast(least(9, greatest(1, ceil(length(text) / 500.0))) as bigint) as n_pages, md5(substr(text, 1, 4200)) as text_md5, length(text) > 4200 as truncated, coalesce(scanned, '') as scanned from documents left join s on s.source = doc_id""")
 def page_budget(spark, sf):
-    """C11: the first pages within 4,200 characters."""
-    out = C.page_budget(_pages(spark, sf), 30, 4200)
-    return out.select("source", "n_pages", F.md5("text").alias("text_md5"), "truncated")
+    """C11: the first pages within 4,200 characters, and which of them need a review."""
+    out = C.page_budget(_pages(spark, sf), 30, 4200, T.page_status(F.col("text"), F.lit(False)))
+    return out.select("source", "n_pages", F.md5("text").alias("text_md5"), "truncated", F.array_join("scanned_pages", ",").alias("scanned"))
 
 
 @query("""with p as (select conv_id, turn, trim(text) as part from conversations where trim(text) <> '')

@@ -46,11 +46,12 @@ def interval_join(spark, sf):
     return R.in_interval(o, spans, "o_custkey", "day").select("o_orderkey", "o_custkey")
 
 
-@query("""select a.doc_id as a, b.doc_id as b from documents a join documents b on a.source = b.source and a.lang = b.lang and a.doc_id < b.doc_id and a.doc_id % 10 <= b.doc_id % 10 + 1 and b.doc_id % 10 <= a.doc_id % 10 + 1 and abs(a.doc_id - b.doc_id) <= 60""")
+@query("""with r as (select source, lang, doc_id % 10 as s, count(*) as n from documents group by all), t as (select a.source, a.lang, a.s, sum(b.n) as n from r a join r b on a.source = b.source and a.lang = b.lang and abs(a.s - b.s) <= 1 group by all)
+ select doc_id, cast(t.n - 1 as bigint) as n_partners from documents d join t on t.source = d.source and t.lang = d.lang and t.s = d.doc_id % 10""")
 def range_overlap(spark, sf):
-    """J3 within 60 ids (``range_overlap_counts``: all): page ranges that overlap, within a source and language."""
+    """How many other documents of its source and language have a page range that meets each document's."""
     d = table(spark, sf, "documents").select("doc_id", "source", "lang", (F.col("doc_id") % 10).alias("s"), (F.col("doc_id") % 10 + 1).alias("e"))
-    return R.overlapping_ranges(d, ["source", "lang"], "doc_id", 60)
+    return R.range_partners(d, ["source", "lang"], "doc_id")
 
 
 @query("""with r as (select source, lang, doc_id % 10 as s, doc_id % 10 + 1 as e, count(*) as n from documents group by all)
@@ -82,17 +83,17 @@ def citation_fallback(spark, sf):
 
 
 @query("""select c_custkey, case when n_name is null then 'unknown' when r_name <> 'ASIA' then case when n_nationkey % 2 = 0 then 'matched' else 'none' end when c_custkey % 5 = 0 then 'unmatched' else 'matched' end as status,
- case when n_name is not null and r_name <> 'ASIA' and n_nationkey % 2 = 0 then trim(regexp_replace(lower(n_name), '[^\\p{L}\\p{N}]+', ' ', 'g')) when r_name = 'ASIA' and c_custkey % 5 <> 0 then 'd' || (c_custkey % 5) end as contact
+ case when n_name is not null and r_name <> 'ASIA' and n_nationkey % 2 = 0 then trim(regexp_replace(lower(n_name), '[^\\p{L}\\p{N}]+', ' ', 'g')) when r_name = 'ASIA' and c_custkey % 5 <> 0 then 'd' || (c_custkey % 5) end as contact, '15100,14454' as fallbacks
  from customer left join (select * from nation where n_nationkey <> 3) on n_nationkey = c_nationkey left join region on r_regionkey = n_regionkey""")
 def location_lookup(spark, sf):
-    """A state's contact outside the home region, else a district's; unknown places apart."""
+    """A state's contact outside the home region, else a district's; unknown places apart; nationwide fallbacks for all."""
     nation, region = table(spark, sf, "nation").where("n_nationkey <> 3"), table(spark, sf, "region")
     places = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select("n_nationkey", T.place_key(F.col("n_name")).alias("state"), (F.col("r_name") == "ASIA").alias("home"))
     cases = table(spark, sf, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"), "left")  # a nation table: 25 rows
     cases = cases.withColumn("district", F.concat(F.lit("District "), (F.col("c_custkey") % 5).cast("string")))
     states = places.where("not home and n_nationkey % 2 = 0").select("state", F.col("state").alias("contact"))
     aliases = spark.createDataFrame([(f"district {k}", f"d{k}") for k in range(1, 5)], "alias string, contact string")
-    return R.resolve_place(cases, states, aliases).select("c_custkey", "status", "contact")
+    return R.resolve_place(cases, states, aliases, ["15100", "14454"]).select("c_custkey", "status", "contact", F.array_join("fallbacks", ",").alias("fallbacks"))
 
 
 @query("""with m as (select p_partkey as id, lower(p_name) as name, p_partkey % 4 as t, p_size from part where p_partkey % 5 <> 0),

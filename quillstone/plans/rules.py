@@ -118,6 +118,17 @@ def case_routes(spark, sf):
     return c.select("c_custkey", F.array_join(ask, "+").alias("questions"), R.route(F.col("c_acctbal") < 0, k % 19 == 0, ask, k % 17 != 0).alias("route"))
 
 
+@query("""with c as (select c_custkey as k, c_nationkey % 6 = 0 as j, c_acctbal < 0 as u, c_custkey % 23 = 0 as twice from customer)
+ select k as c_custkey, case when k % 17 = 0 or twice and u then 'error' when u then 'urgent' when k % 19 = 0 then 'refuse' when j then 'needs_info' else 'standard' end as route, u and k % 17 <> 0 and not twice as human_help, k % 17 <> 0 and (u and not twice or not u and k % 19 = 0) as terminal,
+  case when k % 17 = 0 then 'unconfirmed' when twice and u then 'duplicate_urgency' when u then 'urgent:harm+arrest' when k % 19 = 0 then 'disallowed_request' when j then 'missing:jurisdiction' end as reason from c""")
+def route_decisions(spark, sf):
+    """Routes with their flags and reasons; unconfirmed cases and repeated urgencies are errors."""
+    k, none = F.col("c_custkey"), F.array().cast("array<string>")
+    urgencies = F.when(F.col("c_acctbal") < 0, F.array(F.lit("harm"), F.when(k % 23 == 0, "harm").otherwise("arrest"))).otherwise(none)
+    ask = F.when(F.col("c_nationkey") % 6 == 0, F.array(F.lit("jurisdiction"))).otherwise(none)
+    return table(spark, sf, "customer").select("c_custkey", R.route_decision(urgencies, k % 19 == 0, ask, k % 17 != 0).alias("r")).select("c_custkey", "r.*")
+
+
 def _claim_gate(lines):
     rows = lines.select(F.col("l_orderkey").alias("answer_id"), F.col("l_linenumber").alias("claim_id"), F.array("l_partkey").alias("cited"), "l_returnflag")
     claims = rows.dropDuplicates(["answer_id", "claim_id"]).select("answer_id", "claim_id", "cited")

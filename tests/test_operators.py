@@ -185,6 +185,18 @@ def test_ranges_far_apart_overlap(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, source string, s int, e int")
     got = {tuple(r) for r in records.overlapping_range_counts(d, ["source"]).where("s1 <> s2").collect()}
     assert got == {("a", 1, 40, 1, 30, 50, 2)} and records.overlapping_range_counts(d, ["source"]).count() == 5
+    assert {r.doc_id: r.n_partners for r in records.range_partners(d, ["source"], "doc_id").collect()} == {0: 2, 10**6: 2, 10**6 + 1: 2, 2 * 10**6: 0, 5: 0}
+    more = spark.createDataFrame([*rows, (7, "a", None, 3), (8, "a", 9, 2)], "doc_id bigint, source string, s int, e int")
+    assert {r.doc_id: r.n_partners for r in records.range_partners(more, ["source"], "doc_id").collect()}[7] == 0
+
+
+def test_route_decisions(spark):
+    from quillstone.operators import rules
+
+    rows = [(1, ["a"], True, [], True), (2, ["a", "a"], False, [], True), (3, [], True, ["x"], True), (4, [], False, ["x", "y"], True), (5, [], False, [], True), (6, ["a"], False, [], False)]
+    df = spark.createDataFrame(rows, "id int, u array<string>, r boolean, q array<string>, c boolean")
+    got = {x.id: tuple(x.d) for x in df.select("id", rules.route_decision(F.col("u"), F.col("r"), F.col("q"), F.col("c")).alias("d")).collect()}
+    assert got == {1: ("urgent", True, True, "urgent:a"), 2: ("error", False, False, "duplicate_urgency"), 3: ("refuse", False, True, "disallowed_request"), 4: ("needs_info", False, False, "missing:x+y"), 5: ("standard", False, False, None), 6: ("error", False, False, "unconfirmed")}
 
 
 def test_all_pages_are_in_chunks(spark):
