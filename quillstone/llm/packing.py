@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .common import exact_rank
 
-EXACT = 4096  # lengths up to here have a histogram cell of their own; longer ones share cells 1/64 octave wide
-
 
 def words(text: Column) -> Column:
     """Tokens by ASCII white space, from the whole text; null and empty texts have none."""
@@ -25,39 +23,48 @@ def words(text: Column) -> Column:
 def optimal_buckets(length: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets with the least padding, by dynamic programming over cells in order of length.
 
-    A bucket of cells i..j pads its ``count`` rows to length[j]; ``total`` is what they hold. best[j] after k buckets is the
-    minimum over the last bucket's first cell.
+    A bucket of cells i..j pads its ``count`` rows to length[j]; ``total`` is what they hold. best[j] after k buckets is the minimum over the last bucket's first cell i of
+    best[i - 1] + total before i - length[j] * rows before i, and a part of j alone: a line in length[j] for each i. Slopes fall and lengths rise, so a
+    queue of the lines on the lower hull gives all minima of a round in one pass, and every length can have its own cell. Whole numbers, of any size.
     """
     m = len(length)
     if not m:
         return []
-    rows, held = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(total)])
-    best = length * rows[1:] - held[1:]
-    back = [np.zeros(m, np.int64)]
+    x = length.tolist()
+    rows, held = [0], [0]
+    for c, t in zip(count.tolist(), total.tolist(), strict=True):
+        rows.append(rows[-1] + c)
+        held.append(held[-1] + t)
+    best = [x[j] * rows[j + 1] - held[j + 1] for j in range(m)]
+    back = [[0] * m]
     for _ in range(1, min(buckets, m)):
-        new, first = np.empty_like(best), np.empty(m, np.int64)
+        hull: list[tuple[int, int, int]] = []  # slope, height, cell
+        new, first, head = [], [], 0
         for j in range(m):
-            cost = np.concatenate([[0], best[:j]]) + length[j] * (rows[j + 1] - rows[: j + 1]) - (held[j + 1] - held[: j + 1])
-            first[j] = np.argmin(cost)
-            new[j] = cost[first[j]]
+            slope, height = -rows[j], held[j] + (best[j - 1] if j else 0)
+            while len(hull) - head >= 2 and (height - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - slope):
+                hull.pop()
+            hull.append((slope, height, j))
+            while len(hull) - head >= 2 and hull[head + 1][0] * x[j] + hull[head + 1][1] <= hull[head][0] * x[j] + hull[head][1]:
+                head += 1
+            new.append(hull[head][0] * x[j] + hull[head][1] + x[j] * rows[j + 1] - held[j + 1])
+            first.append(hull[head][2])
         best = new
         back.append(first)
     bounds, j = [], m - 1
     for first in reversed(back):
-        bounds.append(int(length[j]))
-        j = int(first[j]) - 1
+        bounds.append(x[j])
+        j = first[j] - 1
         if j < 0:
             break
     return sorted(set(bounds))
 
 
 def length_histogram(df: DataFrame, length: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(greatest length, rows, sum of lengths) of each cell; under 7,000 cells at any length that fits 64 bits."""
-    x = F.col(length)
-    cell = F.when(x <= EXACT, x).otherwise((EXACT + 1 + F.floor(64 * F.log2(x / EXACT))).cast("long"))
-    cells = df.groupBy(cell.alias("cell")).agg(F.max(x).alias("length"), F.count(F.lit(1)).alias("n"), F.sum(x).alias("held"))
-    got = sorted((r["length"], r["n"], r["held"]) for r in cells.collect())
-    return tuple(np.array([r[c] for r in got], np.int64) for c in range(3))
+    """(length, rows, sum of lengths) of each length that occurs: as many numbers as the longest text has tokens at most, however many texts there are."""
+    cells = df.groupBy(F.col(length).alias("length")).agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("length")
+    size, n = (cells[c].to_numpy() for c in ("length", "n"))
+    return size, n, size * n
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 16, budget: int = 65_536, rows_per_range: int = 65_536, seed: int = 5) -> DataFrame:

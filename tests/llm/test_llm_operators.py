@@ -168,6 +168,15 @@ def test_packing(spark, docs, rows):
     pad = lambda tops: sum(c * (min(t for t in tops if t >= x) - x) for x, c in zip(lengths, count))
     best = min(pad([*c, lengths[-1]]) for c in combinations(lengths[:-1], 3))
     assert pad(packing.optimal_buckets(length, count, length * count, 4)) == best
+    for m, buckets in ((400, 5), (60, 1), (7, 9)):  # long lengths too, against the plain recurrence
+        length = np.array(sorted(r.sample(range(0, 3_000_000), m)))
+        count = np.array([r.randrange(1, 10**r.randrange(1, 7)) for _ in length])
+        got = packing.optimal_buckets(length, count, length * count, buckets)
+        cost = lambda i, j: int((count[i : j + 1] * (length[j] - length[i : j + 1])).sum())  # noqa: B023, E731
+        table = [cost(0, j) for j in range(m)]
+        for _ in range(buckets - 1):
+            table = [min([table[j], cost(0, j), *(table[i - 1] + cost(i, j) for i in range(max(1, j - 120), j + 1))]) for j in range(m)] if m <= 60 else [min([table[j], *(table[i - 1] + c for i, c in zip(range(1, j + 1), length[j] * np.cumsum(count[j:0:-1])[::-1] - np.cumsum((count * length)[j:0:-1])[::-1]))]) for j in range(m)]
+        assert len(got) <= buckets and int(sum(c * (min(t for t in got if t >= x) - x) for x, c in zip(length.tolist(), count.tolist()))) == table[-1]
     out = packing.pack(docs, buckets=4, budget=500, rows_per_range=16).toPandas()
     assert len(out) == len(rows) and out.n_tokens.sum() == sum(len((t or "").encode().split()) for _, t in rows)
     assert (out.n_tokens <= out.bucket_tokens).all() and not out.duplicated(["bucket", "batch", "place"]).any()
