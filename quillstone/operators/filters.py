@@ -109,11 +109,12 @@ def renumber(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("claim_id", F.concat(F.lit("claim-"), F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("string")))
 
 
-def grounding_runs(rows: DataFrame, case: list[str], key: str, text: str, limit: int, width: int) -> DataFrame:
+def grounding_runs(rows: DataFrame, case: list[str], key: str, text: str, limit: int, width: int, since: str | None = None) -> DataFrame:
     """(case columns, run, record) over all rows: JSON of a case and its evidence in order, excerpts bounded and marked as shortened, one for each run of ``width`` keys of a case.
 
-    Unique integer keys bound a record to ``width`` pieces of evidence; their number grows with the table.
+    With the column ``since`` (when the source came into force) each piece says whether that is proven. Unique integer keys bound a record to ``width`` pieces of evidence; their number grows with the table.
     """
-    item = F.struct(F.col(key).alias("id"), T.bounded(F.col(text), limit).alias("excerpt"), (F.length(text) > limit).alias("shortened"))
+    more = [] if since is None else [F.col(since).isNotNull().alias("commencement_proven")]
+    item = F.struct(F.col(key).alias("id"), T.bounded(F.col(text), limit).alias("excerpt"), (F.length(text) > limit).alias("shortened"), *more)
     got = rows.groupBy(*case, F.floor(F.col(key) / width).alias("run")).agg(F.sort_array(F.collect_list(item)).alias("evidence"))
     return got.select(*case, "run", F.to_json(F.struct(F.concat_ws("/", *case, F.col("run").cast("string")).alias("case_key"), "evidence")).alias("record"))

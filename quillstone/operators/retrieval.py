@@ -68,3 +68,8 @@ def expand_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     q = queries.select("query_id", F.concat(F.lit(" "), "key", F.lit(" ")).alias("padded"))
     a = aliases.select("alias", "expansion", F.concat(F.lit(" "), "alias", F.lit(" ")).alias("probe"))
     return q.join(F.broadcast(a), F.col("padded").contains(F.col("probe"))).select("query_id", "alias", "expansion")  # a reviewed list
+
+
+def alias_violations(aliases: DataFrame) -> DataFrame:
+    """(alias, n): keys that several aliases have once they are written as tokens, which is an error."""
+    return aliases.groupBy(T.alias_key(F.col("alias")).alias("alias")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

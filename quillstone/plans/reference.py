@@ -388,3 +388,67 @@ def missed_queries(spark, sf):
     ranked = table(spark, sf, "documents").select(q.alias("query_id"), "doc_id", F.row_number().over(W.partitionBy(q).orderBy(F.md5(key("doc_id").cast("string")), "doc_id")).alias("rank"), F.lit("md5").alias("system"))
     accepted = table(spark, sf, "labels").where("quality = 1").select(q.alias("query_id"), "doc_id")
     return E.missed(ranked, accepted, 1)
+
+
+@query("""with r as (select doc_id, sha256(text) as sha, strlen(text) as n from documents where doc_id % 7 <> 3), x as (select d.doc_id, r.doc_id as rid, case when d.doc_id % 13 = 2 then false else true end as ok, d.doc_id % 11 = 5 as longer, d.doc_id % 17 = 4 as unzoned from documents d left join r using (doc_id))
+ select doc_id as source_id, case when rid is null then 'missing_receipt' when not ok then 'sha256' when longer then 'byte_count' when unzoned then 'downloaded_at' else 'ok' end as reason from x""")
+def receipt_reasons(spark, sf):
+    """The first check that each document fails against its receipt."""
+    from ..sources.receipts import verify
+
+    d, k = table(spark, sf, "documents"), key("doc_id")
+    sha = F.when(k % 13 == 2, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.upper(F.sha2("text", 256)))
+    receipts = d.where("doc_id % 7 <> 3").select(
+        k.alias("source_id"), sha.alias("sha256"), (F.octet_length("text") + F.when(k % 11 == 5, 1).otherwise(0)).cast("long").alias("byte_count"), F.when(k % 17 == 4, "2024-01-01T00:00:00").otherwise("2024-01-01T00:00:00Z").alias("downloaded_at")
+    )
+    return verify(d.select(k.alias("source_id"), F.encode("text", "UTF-8").alias("content")), receipts)
+
+
+@query(f"""with {LINES} select source, cast(segment as bigint) as segment, md5(trim(text, ' ' || chr(10) || chr(9) || chr(13))) as text_md5 from g where trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''""")
+def section_texts(spark, sf):
+    """The text of each section."""
+    docs = dealt_out(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.regexp_replace("text", "[\u000b\u000c\r\u001c-\u001e\u0085\u2028\u2029]", " ").alias("text"))
+    rows = C.boundaries(C.lines(C.pages(docs, "doc_id", "text")), r"^\p{Lu}\p{L}* ", "^\u0001", "^\u0001", leader=r"\u0000")
+    return C.sections(rows, F.regexp_extract("line", r"^\p{L}+", 0)).select("source", "segment", F.md5("text").alias("text_md5"))
+
+
+@query("select source as folder, count(*) as files, cast(sum(strlen(text)) as bigint) as bytes from documents where source <> 'src0' group by source")
+def file_totals(spark, sf):
+    """Files and bytes of each folder, without an excluded one."""
+    return table(spark, sf, "documents").where("source <> 'src0'").groupBy(key("source").alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+
+
+@query("select p_name as alias, count(*) as n from part group by p_name having count(*) > 1")
+def alias_violations(spark, sf):
+    """T4: aliases that are one key, whatever their case and marks."""
+    from ..operators.retrieval import alias_violations as found
+
+    marked = F.when(key("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("  "), F.regexp_replace("p_name", " ", ", ")))
+    return found(table(spark, sf, "part").select(marked.alias("alias")))
+
+
+@query("""select doc_id, case when doc_id % 5 = 0 then 'hi' when doc_id % 5 = 1 then 'mixed' when doc_id % 5 = 2 then 'und' when doc_id % 5 = 3 then 'mixed' else 'en' end as language, cast(case when doc_id % 5 in (0, 1) then 3 else 0 end as bigint) as devanagari from documents""")
+def devanagari_script(spark, sf):
+    """Devanagari, both scripts, neither, romanised markers, and Latin."""
+    k = key("doc_id") % 5
+    text = F.when(k == 0, "हिन्दी 12").when(k == 1, "हिन्दी text").when(k == 2, "12 ?").when(k == 3, "The car and DER of").otherwise("the cat")
+    d = table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return d.select("doc_id", T.language_by_script(key("text"), ["the", "der", "les"]).alias("language"), T.script_counts(key("text"))[0].cast("long").alias("devanagari"))
+
+
+@query("""select c_custkey, sha256('{"acctbal":' || case when c_custkey % 5 = 0 then 'null' else '"' || c_mktsegment || '"' end || ',"case":' || c_custkey || ',"name":"' || c_name || '"}') as digest from customer""")
+def case_json_fingerprint(spark, sf):
+    """The digest of a case as canonical JSON: names in order, nulls kept."""
+    c = table(spark, sf, "customer").select("c_custkey", key("c_custkey").alias("case"), key("c_name").alias("name"), F.when(key("c_custkey") % 5 != 0, key("c_mktsegment")).alias("acctbal"))
+    return c.select("c_custkey", E.canonical_row(["name", "case", "acctbal"]).alias("digest"))
+
+
+@query("""with e as (select doc_id, source, lang, doc_id // 1000 as run, case when length(text) <= 300 then text when instr(substr(text, 1, 300), ' ') > 0 and 300 - instr(reverse(substr(text, 1, 300)), ' ') > 150 then rtrim(substr(text, 1, 300 - instr(reverse(substr(text, 1, 300)), ' '))) else rtrim(substr(text, 1, 300)) end as excerpt from documents)
+ select source, lang, cast(run as bigint) as run, md5(string_agg(doc_id || ':' || md5(excerpt) || ':' || case when doc_id % 3 = 0 then 'true' else 'false' end, ',' order by doc_id)) as excerpts_md5 from e group by all""")
+def grounding_excerpts(spark, sf):
+    """The excerpts of each record, and whether the commencement of each is proven."""
+    d = table(spark, sf, "documents").withColumn("since", F.when(key("doc_id") % 3 == 0, F.lit("2024-01-01").cast("date")))
+    out = P.grounding_runs(d, ["source", "lang"], "doc_id", "text", 300, 1000, "since")
+    got = F.from_json("record", "case_key string, evidence array<struct<id:bigint,excerpt:string,shortened:boolean,commencement_proven:boolean>>").getField("evidence")
+    line = F.transform(got, lambda e: F.concat_ws(":", e["id"].cast("string"), F.md5(e["excerpt"]), e["commencement_proven"].cast("string")))
+    return out.select("source", "lang", "run", F.md5(F.array_join(line, ",")).alias("excerpts_md5"))

@@ -118,6 +118,28 @@ def case_routes(spark, sf):
     return c.select("c_custkey", F.array_join(ask, "+").alias("questions"), R.route(F.col("c_acctbal") < 0, k % 19 == 0, ask, k % 17 != 0).alias("route"))
 
 
+@query("""with o as (select o_orderkey as k, cast(o_orderdate as date) - case when o_orderkey % 4 = 0 then 2200 when o_orderkey % 29 = 0 then 14000 else 0 end as day, case o_orderkey % 11 when 0 then false when 1 then null else true end as area, case o_orderkey % 13 when 0 then true when 1 then null else false end as grant_,
+  case o_orderkey % 7 when 0 then true when 1 then null else false end as owned, case when o_orderkey % 7 = 0 then case o_orderkey % 3 when 0 then true when 1 then false end when o_orderkey % 31 = 0 then true end as letting,
+  case when o_orderkey % 6 <> 5 then cast(o_totalprice / 60 as decimal(18,2)) end as rent, case when o_orderkey % 5 <> 4 then cast(o_orderdate as date) - cast(o_orderkey % 5000 as int) end as completed from orders),
+ p as (select *, case when not coalesce(owned, false) and letting is not null then 'letting_without_owner' when completed > day then 'completed_after_day' when grant_ and owned and letting then 'grant_and_letting' end as problem, day >= date '1988-12-01' as late from o),
+ x as (select *, case when day < date '1959-02-09' then '1(3)' when not area then '1(2)' when grant_ then '3(b)' when owned and not letting then '3(a)' when late and rent > 3500 then '3(c)' when late and completed >= date '1988-12-01' and day < cast(completed + to_months(120) as date) then '3(d)' end as section,
+  concat_ws('+', case when area is null then 'area' end, case when grant_ is null then 'grant' end, case when owned is null then 'owned' end, case when owned and letting is null then 'letting' end, case when late and rent is null then 'rent' end, case when late and completed is null then 'completed' end) as lacks from p)
+ select k as o_orderkey, problem, case when problem is not null then null when section is not null then 'not_applicable' when lacks <> '' then 'needs_facts' else 'applicable' end as decision, case when problem is null then section end as section, case when problem is null and section is null then lacks else '' end as missing,
+  case when problem is not null then '' when section is not null then section else '1(2)+1(3)+3(a)+3(b)' || case when late then '+3(c)+3(d)' else '' end end as cited from x""")
+def rent_applicability(spark, sf):
+    """Contradictions, ordered exclusions with their sections, missing facts, and the sections cited."""
+    k = F.col("o_orderkey")
+    flag = lambda n, zero: F.when(k % n == 0, zero).when(k % n == 1, None).otherwise(not zero)
+    ordered = F.to_date("o_orderdate")
+    day = F.date_sub(ordered, F.when(k % 4 == 0, 2200).when(k % 29 == 0, 14000).otherwise(0))
+    letting = F.when(k % 7 == 0, F.when(k % 3 == 0, True).when(k % 3 == 1, False)).when(k % 31 == 0, True)
+    got = R.rent_applicability(
+        day, flag(11, False), flag(13, True), flag(7, True), letting, F.when(k % 6 != 5, (F.col("o_totalprice") / 60).cast("decimal(18,2)")), F.when(k % 5 != 4, F.date_sub(ordered, (k % 5000).cast("int"))),
+    )
+    out = table(spark, sf, "orders").select("o_orderkey", got.alias("r")).select("o_orderkey", "r.*")
+    return out.withColumns({"missing": F.array_join("missing", "+"), "cited": F.array_join("cited", "+")})
+
+
 @query("""with c as (select c_custkey as k, c_nationkey % 6 = 0 as j, c_acctbal < 0 as u, c_custkey % 23 = 0 as twice from customer)
  select k as c_custkey, case when k % 17 = 0 or twice and u then 'error' when u then 'urgent' when k % 19 = 0 then 'refuse' when j then 'needs_info' else 'standard' end as route, u and k % 17 <> 0 and not twice as human_help, k % 17 <> 0 and (u and not twice or not u and k % 19 = 0) as terminal,
   case when k % 17 = 0 then 'unconfirmed' when twice and u then 'duplicate_urgency' when u then 'urgent:harm+arrest' when k % 19 = 0 then 'disallowed_request' when j then 'missing:jurisdiction' end as reason from c""")

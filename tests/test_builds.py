@@ -182,3 +182,28 @@ def test_run_starts_by_group(spark):
     lines = spark.createDataFrame([("s", 1, k, t) for k, t in enumerate(["नियम", "नियम", "नियम"])] + [("s", 2, k, t) for k, t in enumerate(["नियम", "x", "नियम", "नियम"])], "source string, n int, line_no int, line string")
     assert [tuple(x) for x in chunks.run_starts(lines, ["source", "n"]).collect()] == [("s", 1, 0)]
     assert gazette.LOOK_AHEAD == 4
+
+
+def test_rent_applicability(spark):
+    """The boundary days, the limit of the rent, unknown facts, and facts that contradict each other."""
+    from decimal import Decimal
+
+    from quillstone.operators import rules
+
+    day = dt.date
+    rows = [
+        (day(1959, 2, 8), True, False, False, None, None, None, (None, "not_applicable", "1(3)", [])), (day(1959, 2, 9), True, False, False, None, None, None, (None, "applicable", None, [])),
+        (day(1988, 11, 30), True, False, False, None, Decimal("9000"), None, (None, "applicable", None, [])), (day(1988, 12, 1), True, False, False, None, Decimal("3500"), day(1980, 1, 1), (None, "applicable", None, [])),
+        (day(1988, 12, 1), True, False, False, None, Decimal("3500.01"), None, (None, "not_applicable", "3(c)", [])), (day(1998, 12, 1), True, False, False, None, Decimal("1"), day(1988, 12, 1), (None, "applicable", None, [])),
+        (day(1998, 11, 30), True, False, False, None, Decimal("1"), day(1988, 12, 1), (None, "not_applicable", "3(d)", [])), (day(1998, 11, 30), True, False, False, None, Decimal("1"), day(1988, 11, 30), (None, "applicable", None, [])),
+        (day(2000, 1, 1), None, None, True, None, None, None, (None, "needs_facts", None, ["area", "grant", "letting", "rent", "completed"])), (day(2000, 1, 1), False, True, True, False, None, None, (None, "not_applicable", "1(2)", [])),
+        (day(2000, 1, 1), True, True, True, False, None, None, (None, "not_applicable", "3(b)", [])), (day(2000, 1, 1), True, False, True, False, None, None, (None, "not_applicable", "3(a)", [])),
+        (day(2000, 1, 1), True, False, None, True, None, None, ("letting_without_owner", None, None, [])), (day(2000, 1, 1), True, False, False, None, None, day(2000, 1, 2), ("completed_after_day", None, None, [])),
+        (day(2000, 1, 1), True, True, True, True, None, None, ("grant_and_letting", None, None, [])), (None, True, False, False, None, None, None, ("no_day", None, None, [])),
+    ]
+    names = ("day", "area", "grant", "owned", "letting", "rent", "completed")
+    df = spark.createDataFrame([(k, *r[:7]) for k, r in enumerate(rows)], "id int, day date, area boolean, grant boolean, owned boolean, letting boolean, rent decimal(18,2), completed date")
+    got = {x.id: x.r for x in df.select("id", rules.rent_applicability(*[F.col(c) for c in names]).alias("r")).collect()}
+    for k, r in enumerate(rows):
+        assert (got[k].problem, got[k].decision, got[k].section, got[k].missing) == r[7], (k, got[k])
+    assert got[1].cited == ["1(2)", "1(3)", "3(a)", "3(b)"] and got[3].cited == ["1(2)", "1(3)", "3(a)", "3(b)", "3(c)", "3(d)"] and got[0].cited == ["1(3)"] and got[12].cited == []
