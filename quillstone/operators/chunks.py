@@ -58,12 +58,25 @@ def sections(rows: DataFrame, heading: Column) -> DataFrame:
     return seg.select("source", "segment", "heading", "text", "page_start", "page_end", F.concat(F.col("source").cast("string"), F.lit(":section-"), F.col("slug"), number).alias("chunk_id"))
 
 
+REVIEW = ("none", "insufficient")
+
+
 def page_facts(chunked: DataFrame, paged: DataFrame, status: Column) -> DataFrame:
-    """Chunks with n_pages, ``scan_review`` (any page none or insufficient) and ordered page records, over the pages they span."""
+    """Chunks with n_pages, ``ocr_used`` and ``scan_review`` (any page none or insufficient), and ordered page records, over the pages they span."""
     p = paged.select("source", "page_number", status.alias("status"))
     both = chunked.join(p, (chunked["source"] == p["source"]) & F.col("page_number").between(F.col("page_start"), F.col("page_end"))).drop(p["source"])
     records = F.array_sort(F.collect_list(F.struct("page_number", "status")))
-    return both.groupBy("source", "chunk_id").agg(F.count(F.lit(1)).alias("n_pages"), F.bool_or(F.col("status").isin("none", "insufficient")).alias("scan_review"), records.alias("pages"))
+    return both.groupBy("source", "chunk_id").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.bool_or(F.col("status") == "ocr").alias("ocr_used"), F.bool_or(F.col("status").isin(*REVIEW)).alias("scan_review"), records.alias("pages")
+    )
+
+
+def document_facts(paged: DataFrame, status: Column) -> DataFrame:
+    """(source, document_ocr_used, ocr_pages, scan_review_required, scan_review_pages): lists of a source's page numbers in order."""
+    p = paged.select("source", "page_number", status.alias("status"))
+    listed = lambda *names: F.array_sort(F.collect_list(F.when(F.col("status").isin(*names), F.col("page_number"))))
+    out = p.groupBy("source").agg(listed("ocr").alias("ocr_pages"), listed(*REVIEW).alias("scan_review_pages"))
+    return out.select("source", (F.size("ocr_pages") > 0).alias("document_ocr_used"), "ocr_pages", (F.size("scan_review_pages") > 0).alias("scan_review_required"), "scan_review_pages")
 
 
 def page_budget(paged: DataFrame, most_pages: int = 30, most_chars: int = 100_000, status: Column | None = None) -> DataFrame:

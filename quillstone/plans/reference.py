@@ -452,3 +452,19 @@ def grounding_excerpts(spark, sf):
     got = F.from_json("record", "case_key string, evidence array<struct<id:bigint,excerpt:string,shortened:boolean,commencement_proven:boolean>>").getField("evidence")
     line = F.transform(got, lambda e: F.concat_ws(":", e["id"].cast("string"), F.md5(e["excerpt"]), e["commencement_proven"].cast("string")))
     return out.select("source", "lang", "run", F.md5(F.array_join(line, ",")).alias("excerpts_md5"))
+
+
+@query(f"""with {PAGES_SQL}, s as (select source, page_number, case when (source + page_number) % 4 = 0 then 'ocr' when (source + page_number) % 7 = 0 then 'none' else 'digital' end as status from pages_),
+ d as (select source, string_agg(page_number, ',' order by page_number) filter (status = 'ocr') as ocr, string_agg(page_number, ',' order by page_number) filter (status = 'none') as review from s group by source),
+ c as (select source, (page_number - 1) // 3 as chunk, bool_or(status = 'ocr') as ocr_used, bool_or(status = 'none') as scan_review, string_agg(page_number || status, ',' order by page_number) as pages from s group by all)
+ select c.source, cast(chunk as int) as chunk, ocr_used, scan_review, pages, ocr is not null as document_ocr_used, coalesce(ocr, '') as ocr_pages, coalesce(review, '') as scan_review_pages from c join d on d.source = c.source""")
+def chunk_facts(spark, sf):
+    """Page facts of each chunk of three pages, and of its whole document."""
+    pages = _pages(spark, sf).select("source", "page_number")
+    status = F.when((key("source") + key("page_number")) % 4 == 0, "ocr").when((key("source") + key("page_number")) % 7 == 0, "none").otherwise("digital")
+    chunk = F.floor((key("page_number") - 1) / 3).cast("int")
+    spans = pages.select("source", chunk.alias("chunk")).distinct().select("source", key("chunk").cast("string").alias("chunk_id"), (key("chunk") * 3 + 1).alias("page_start"), (key("chunk") * 3 + 3).alias("page_end"))
+    facts, whole = C.page_facts(spans, pages, status), C.document_facts(pages, status)
+    listed = F.array_join(F.transform("pages", lambda p: F.concat(p["page_number"].cast("string"), p["status"])), ",")
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return facts.join(whole, "source").select("source", key("chunk_id").cast("int").alias("chunk"), "ocr_used", "scan_review", listed.alias("pages"), "document_ocr_used", joined("ocr_pages"), joined("scan_review_pages"))
