@@ -207,3 +207,11 @@ def test_rent_applicability(spark):
     for k, r in enumerate(rows):
         assert (got[k].problem, got[k].decision, got[k].section, got[k].missing) == r[7], (k, got[k])
     assert got[1].cited == ["1(2)", "1(3)", "3(a)", "3(b)"] and got[3].cited == ["1(2)", "1(3)", "3(a)", "3(b)", "3(c)", "3(d)"] and got[0].cited == ["1(3)"] and got[12].cited == []
+
+
+def test_fusion_has_both_channels(spark):
+    """Most fused rows at this size come from the text and from the vector, so ranks of both are added."""
+    rows = QUERIES["hybrid_rrf"](spark, "/root/testdata/sf0.01").collect()
+    both = [x for x in rows if x.channels == 2]
+    assert len(both) > len(rows) / 2
+    assert all(abs(x.score - (1 / (60 + x.bm25_rank) + 1 / (60 + x.vector_rank))) < 1e-8 for x in both)
