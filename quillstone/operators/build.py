@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.corpus import remove_sources, write_chunks
 from . import filters as P
+from .retrieval import checked_broadcast
 
 #: Statuses of pages whose text a reviewer must look at, and that hold none.
 REVIEW, EMPTY = ("none", "insufficient"), "none"
@@ -52,6 +53,15 @@ def build(manifest: DataFrame, checks: DataFrame, pages: DataFrame, chunks: Data
     return report
 
 
+def with_source_metadata(chunks: DataFrame, manifest: DataFrame, receipts: DataFrame) -> DataFrame:
+    """``chunks`` (source_id, ...) with the facts of their source: those of the manifest, of its receipt, and ``audit_status``, which is pending for all.
+
+    A chunk of a source without a receipt has null receipt facts. Manifest and receipts have a row a source; the larger side is never moved if a count says that they are few.
+    """
+    facts = manifest.join(receipts, "source_id", "left").withColumn("audit_status", F.lit("pending"))
+    return chunks.join(checked_broadcast(facts), "source_id")
+
+
 def failing_filter(doc: dict[str, Column], wanted: dict[str, Column], on: Column, undated: Column, approved: Column) -> Column:
     """The first filter that a row fails, in this order: jurisdiction, language, status, act, document_type, profile, date; null if it passes all.
 

@@ -468,3 +468,26 @@ def chunk_facts(spark, sf):
     listed = F.array_join(F.transform("pages", lambda p: F.concat(p["page_number"].cast("string"), p["status"])), ",")
     joined = lambda c: F.array_join(c, ",").alias(c)
     return facts.join(whole, "source").select("source", key("chunk_id").cast("int").alias("chunk"), "ocr_used", "scan_review", listed.alias("pages"), "document_ocr_used", joined("ocr_pages"), joined("scan_review_pages"))
+
+
+@query("""with m as (select source, 'Act ' || source as title, case when source in ('src3', 'src4') then 'unknown' else 'in_force' end as status, cast(substr(source, 4) as int) % 5 + 1 as priority from documents group by source),
+ r as (select source, sha256('file of ' || source) as sha, case when source <> 'src5' then '2024-01-01T00:00:00Z' end as downloaded_at from m where source <> 'src6')
+ select d.doc_id, title, status, cast(priority as int) as priority, sha as sha256, downloaded_at, 'pending' as audit_status from documents d join m on m.source = d.source left join r on r.source = d.source""")
+def chunk_metadata(spark, sf):
+    """Manifest and receipt facts on each chunk."""
+    d = table(spark, sf, "documents").select("doc_id", key("source").alias("source_id"))
+    ids = d.select("source_id").distinct()
+    manifest = ids.select("source_id", F.concat(F.lit("Act "), "source_id").alias("title"), F.when(key("source_id").isin("src3", "src4"), "unknown").otherwise("in_force").alias("status"), (F.substring("source_id", 4, 9).cast("int") % 5 + 1).alias("priority"))
+    receipts = ids.where("source_id <> 'src6'").select("source_id", F.sha2(F.concat(F.lit("file of "), "source_id"), 256).alias("sha256"), F.when(key("source_id") != "src5", "2024-01-01T00:00:00Z").alias("downloaded_at"))
+    return B.with_source_metadata(d, manifest, receipts).drop("source_id")
+
+
+@query("select item_id as id, md5(text) as query_md5, [item_id % 7, item_id % 11] as accepted from benchmark".replace("[item_id % 7, item_id % 11]", "(item_id % 7) || ',' || (item_id % 11)"))
+def nested_queries(spark, sf):
+    """Query files, each ``{queries: [...]}``, written and read as rows."""
+    store = Store(spark)
+    item = F.struct(key("item_id").alias("id"), key("text").alias("query"), F.array((key("item_id") % 7).cast("string"), (key("item_id") % 11).cast("string")).alias("also_acceptable"))
+    files = table(spark, sf, "benchmark").groupBy((key("item_id") % 50).alias("file")).agg(F.to_json(F.struct(F.collect_list(item).alias("queries"))).alias("value"))
+    files.repartition("file").write.partitionBy("file").text(f"{store.path}/queries")
+    back = S.read_nested(spark, f"{store.path}/queries", "queries", "id:bigint,query:string,also_acceptable:array<string>")
+    return back.select("id", F.md5("query").alias("query_md5"), F.array_join("also_acceptable", ",").alias("accepted"))
