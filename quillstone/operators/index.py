@@ -2,7 +2,7 @@
 
 ``blocks`` has a row for up to 128 postings of a term, sorted by term and document over range partitions (a frequent term fills many of them), with the
 largest BM25 part of the block; ``terms`` has the frequencies and the largest part of each term. Readers take the terms they need: files are sorted, so row groups of
-other terms are skipped.
+other terms are skipped. ``rows`` has the postings in order of documents, for what is asked of documents that are known.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -27,6 +27,7 @@ MARGIN = 1e-5
 
 
 class Index(NamedTuple):
+    rows: DataFrame
     blocks: DataFrame
     terms: DataFrame
     n: int
@@ -99,6 +100,12 @@ def _packed(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column("term").take(pa.array(cuts)), pa.array(best), *packed], ["term", "best", "docs", "tfs", "dls"])
 
 
+def _part(tf: Column, dl: Column, avgdl: float, k1: float, b: float) -> Column:
+    """What a posting adds to a score for each unit of idf."""
+    tf = tf.cast("double")
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
 def build_index(docs: DataFrame, store: Store, k1: float = 1.5, b: float = 0.75, terms: DataFrame | None = None) -> Index:
     """The index of (doc_id, tokens), of all terms or of those in ``terms`` (term) only; statistics come from all documents either way.
 
@@ -117,22 +124,20 @@ def build_index(docs: DataFrame, store: Store, k1: float = 1.5, b: float = 0.75,
         rows = rows.join(asked, "term", "left_semi")
     avgdl = words / n if words else 1.0
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tf = F.col("tf").cast("double")
-    parts = rows.withColumn("part", tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl)))
+    parts = rows.withColumn("part", _part(F.col("tf"), F.col("dl"), avgdl, k1, b))
     order = ["term", "doc_id"]
     ranges = parts.select("term", "doc_id", "dl", "tf", "part").repartitionByRange(*order).sortWithinPartitions(*order)
     blocks = store.save(ranges.mapInArrow(_blocks, f"term string, best double, docs array<{kind}>, tfs array<int>, dls array<bigint>"), "blocks")
     total = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
     terms = blocks.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.sum(total).alias("cf"), F.max("best").alias("best"))
-    return Index(blocks, store.save(terms, "terms"), n, avgdl, k1, b)
+    return Index(rows, blocks, store.save(terms, "terms"), n, avgdl, k1, b)
 
 
 def _postings(index: Index, wanted: DataFrame) -> DataFrame:
     """(doc_id, part, and the columns of ``wanted``) of the postings of the terms of ``wanted``: blocks are joined before they are opened."""
     blocks = index.blocks.join(checked_broadcast(wanted), "term")
     rows = blocks.select("term", *[c for c in wanted.columns if c != "term"], F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p"))
-    tf = F.col("p.tfs").cast("double")
-    part = tf * (index.k1 + 1) / (tf + index.k1 * (1 - index.b + index.b * F.col("p.dls") / index.avgdl))
+    part = _part(F.col("p.tfs"), F.col("p.dls"), index.avgdl, index.k1, index.b)
     return rows.select(F.col("p.docs").alias("doc_id"), part.alias("part"), "term", *[c for c in wanted.columns if c != "term"])
 
 
@@ -169,8 +174,8 @@ def search(queries: DataFrame, index: Index, k: int, store: Store) -> DataFrame:
     found = _summed(index, terms.where("not late")).join(checked_broadcast(store.save(rest)), "query_id")
     found = store.save(found.where(F.col("bound").isNull() | (F.col("s") + F.col("rest") >= F.col("bound"))).select("query_id", "doc_id", "s"))
     late = terms.where("late").select("query_id", "term", "w")
-    more = _postings(index, late.select("term").distinct()).join(checked_broadcast(found.select("query_id", "doc_id")), "doc_id").join(checked_broadcast(late), ["query_id", "term"])
-    sums = found.union(more.select("query_id", "doc_id", F.col("w") * F.col("part"))).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
+    more = index.rows.join(checked_broadcast(found.select("query_id", "doc_id")), "doc_id").join(checked_broadcast(late), ["query_id", "term"])
+    sums = found.union(more.select("query_id", "doc_id", F.col("w") * _part(F.col("tf"), F.col("dl"), index.avgdl, index.k1, index.b))).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
     return top(sums, k)
 
 

@@ -106,14 +106,17 @@ def test_all_scores(spark, indexed):
     assert got == pytest.approx(bm25(docs, QUERIES), abs=2e-6)
 
 
-def test_frequent_terms_are_read_late(spark, indexed):
-    """A term that can't lift a document into the best by itself brings no row of its own."""
+def test_frequent_terms_are_read_late(spark, indexed, monkeypatch):
+    """A term that can't lift a document into the best by itself brings no document of its own: its list is not opened."""
     _, found, store = indexed
+    opened = []
+    monkeypatch.setattr(index, "_postings", lambda i, wanted, real=index._postings: opened.append({r.term for r in wanted.select("term").collect()}) or real(i, wanted))
     terms = spark.createDataFrame([(1, "w55"), (1, "w0")], "query_id bigint, term string")
+    monkeypatch.setattr(index, "SEED", 1)
     weighted = {r.term: r.most for r in index._weighted(terms, found).collect()}
     assert weighted["w0"] < weighted["w55"]
-    plan = index.search(terms, found, 1, store)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Generate explode" in plan and "CartesianProduct" not in plan
+    index.search(terms, found, 1, store)
+    assert opened == [{"w55"}, {"w55"}]
 
 
 def test_empty_index(spark):
