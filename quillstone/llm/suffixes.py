@@ -287,7 +287,10 @@ FOUND = "h bigint, sid bigint, first_id bigint, spans array<struct<lo:int,hi:int
 
 @tidy
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, sid, first_id, n, passage), groups of h together, to FOUND. Groups are gathered to about BATCH bytes before they are sorted."""
+    """(h, sid, first_id, n, passage), groups of h together, to FOUND. Groups are gathered to about BATCH bytes before they are sorted.
+
+    A passage that is alone in its group has no string of another: it is passed on if it has copies, and never unpacked.
+    """
     spans = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
     def flush(rows):
@@ -297,6 +300,12 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     rows, held, last = [], 0, None
     for batch in batches:
+        h, n = (batch.column(c).to_numpy() for c in (0, 3))
+        alone = np.zeros(len(h), bool)
+        alone[1:-1] = (h[1:-1] != h[:-2]) & (h[1:-1] != h[2:])  # the first and last row may go on in another batch
+        lone = batch.filter(pa.array(alone & (n > 1)))
+        yield pa.RecordBatch.from_arrays([*lone.columns[:3], pa.array([[]] * lone.num_rows, spans)], ["h", "sid", "first_id", "spans"])
+        batch = batch.filter(pa.array(~alone))
         for row in zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True):
             if row[0] != last and held >= BATCH:
                 yield flush(rows)
