@@ -24,7 +24,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 SPACE, STOP = 32, 10
 #: A-Z in small letters, tabs as blanks, and everything that ends a piece as a line feed.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else SPACE if c == 9 else STOP if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
-PAIRS = 2_000_000
+#: So many pairs are counted together in a task.
+PAIRS = 1_000_000
 PACKED = 1 << 31
 
 
