@@ -159,7 +159,7 @@ def search(queries: DataFrame, index: Index, k: int, store: Store) -> DataFrame:
 
     The rarest terms of a query are scored first; the k-th best of these sums is a bound that the result reaches. Terms whose largest parts together stay below it
     find nothing on their own: their postings, most often the long ones, are read for documents that the other terms have found, and only for
-    those that can still reach the bound.
+    those that can still reach the bound, which the k-th best of these sums raises once more.
     """
     terms = store.save(_weighted(queries, index))
     rare = W.partitionBy("query_id").orderBy("df", "term")
@@ -172,9 +172,12 @@ def search(queries: DataFrame, index: Index, k: int, store: Store) -> DataFrame:
     terms = store.save(terms.withColumn("late", F.coalesce(F.col("upto") < F.col("bound"), F.lit(False))))
     rest = terms.groupBy("query_id").agg(F.first("bound").alias("bound"), F.sum(F.when(F.col("late"), F.col("most")).otherwise(0.0)).alias("rest"))
     found = _summed(index, terms.where("not late")).join(checked_broadcast(store.save(rest)), "query_id")
-    found = store.save(found.where(F.col("bound").isNull() | (F.col("s") + F.col("rest") >= F.col("bound"))).select("query_id", "doc_id", "s"))
+    found = store.save(found.where(F.col("bound").isNull() | (F.col("s") + F.col("rest") >= F.col("bound"))).select("query_id", "doc_id", "s", "rest"))
+    higher = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).where(F.col("place") == k).select("query_id", (F.col("s") - MARGIN).alias("higher"))
+    found = found.join(checked_broadcast(store.save(higher)), "query_id", "left").where(F.col("higher").isNull() | (F.col("s") + F.col("rest") >= F.col("higher")))
+    found = store.save(found.select("query_id", "doc_id", "s"))
     late = terms.where("late").select("query_id", "term", "w")
-    more = index.rows.join(checked_broadcast(found.select("query_id", "doc_id")), "doc_id").join(checked_broadcast(late), ["query_id", "term"])
+    more = index.rows.join(found.select("query_id", "doc_id").join(checked_broadcast(late), "query_id"), ["doc_id", "term"])
     sums = found.union(more.select("query_id", "doc_id", F.col("w") * _part(F.col("tf"), F.col("dl"), index.avgdl, index.k1, index.b))).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
     return top(sums, k)
 
