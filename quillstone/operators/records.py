@@ -60,6 +60,23 @@ def range_partners(rows: DataFrame, block: list[str], key: str, width: int = 16)
     return rows.join(total, [*block, "s", "e"], "left").select(key, F.coalesce(F.col("n") - 1, F.lit(0)).cast("long").alias("n_partners"))
 
 
+def range_pairs(rows: DataFrame, block: list[str], key: str, width: int = 16) -> DataFrame:
+    """(key, class_id, partner_id, n_partners): for each row, each class of rows of its block whose range meets the row's, without the row itself.
+
+    A class is the rows of a block with one range, named by its least key, so ``class_id`` is the membership of a row and (class_id, partner_id) the pairs
+    between representatives: joined with the membership on ``partner_id`` they give all pairs of rows.
+    """
+    met = overlapping_range_counts(rows, block, width)
+    apart = (F.col("s1") != F.col("s2")) | (F.col("e1") != F.col("e2"))
+    side = lambda a, b: [*block, F.col(f"s{a}").alias("s"), F.col(f"e{a}").alias("e"), F.col(f"s{b}").alias("ps"), F.col(f"e{b}").alias("pe"), F.col(f"n{b}").alias("n")]
+    both = met.select(*side(1, 2)).union(met.where(apart).select(*side(2, 1)))
+    least = rows.groupBy(*block, "s", "e").agg(F.min(key).alias("class_id"))
+    named = both.join(least, [*block, "s", "e"]).join(least.select(*block, F.col("s").alias("ps"), F.col("e").alias("pe"), F.col("class_id").alias("partner_id")), [*block, "ps", "pe"])
+    own = F.when(F.col("class_id") == F.col("partner_id"), F.col("n") - 1).otherwise(F.col("n"))
+    pairs = named.select(*block, "s", "e", "class_id", "partner_id", own.alias("n_partners"))
+    return rows.join(pairs, [*block, "s", "e"]).where("n_partners > 0").select(key, "class_id", "partner_id", "n_partners")
+
+
 def check_quotes(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
     """(quote_id, source_known, verbatim): whether the quote stands in the cited text, white space and case aside."""
     both = quotes.join(corpus, "source_id", "left")

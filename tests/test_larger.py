@@ -3,7 +3,7 @@
 import datetime as dt
 import time
 
-from quillstone.operators import mappings, rules
+from quillstone.operators import mappings, records, rules
 
 MAPS = "mapping_id string, source_provisions array<struct<code string, section string>>, target_provisions array<struct<code string, section string>>, offence_names array<string>, aliases array<string>, description string, effective_from date, review_status string"
 
@@ -37,3 +37,13 @@ def test_disallowed_requests_read_a_long_text_once(spark):
 def test_urgency_looks_behind_its_hits_only():
     pattern = rules.actionable("threat", 45)
     assert pattern.index("threat") < pattern.index("never")
+
+
+def test_range_pairs_give_every_pair_of_rows(spark):
+    rows = [(k * 1000, "ab"[k % 2], k % 4, k % 4 + k % 3) for k in range(30)] + [(99_999, "c", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, s int, e int")
+    got = records.range_pairs(df, ["source"], "doc_id").collect()
+    member = {x.doc_id: x.class_id for x in got}
+    pairs = {(x.doc_id, d) for x in got for d, c in member.items() if c == x.partner_id and d != x.doc_id}
+    assert pairs == {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]}
+    assert len(pairs) == sum(x.n_partners for x in got)
