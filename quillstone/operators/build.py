@@ -90,8 +90,8 @@ def dedup_events(removed: DataFrame) -> DataFrame:
 
 
 def trace_summary(queries: DataFrame, candidates: DataFrame, excluded: DataFrame, dropped: DataFrame, limit: int) -> DataFrame:
-    """(query_id, candidates, excluded, deduplicated, underfilled) of each query, zeros too: underfilled queries keep fewer than ``limit`` candidates."""
-    count = lambda rows, name: rows.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    """(query_id, candidates, excluded, deduplicated, underfilled) of each query, zeros too: underfilled queries keep fewer than ``limit`` candidates. Rows with a column ``n`` count for so many."""
+    count = lambda rows, name: rows.groupBy("query_id").agg((F.sum("n") if "n" in rows.columns else F.count(F.lit(1))).alias(name))
     out = queries.select("query_id").distinct()
     for rows, name in ((candidates, "candidates"), (excluded, "excluded"), (dropped, "deduplicated")):
         out = out.join(count(rows, name), "query_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))

@@ -3,7 +3,8 @@
 import datetime as dt
 import time
 
-from quillstone.operators import mappings, records, rules
+from quillstone.operators import index, mappings, records, rules, scores
+from quillstone.sources.store import Store
 
 MAPS = "mapping_id string, source_provisions array<struct<code string, section string>>, target_provisions array<struct<code string, section string>>, offence_names array<string>, aliases array<string>, description string, effective_from date, review_status string"
 
@@ -47,3 +48,24 @@ def test_range_pairs_give_every_pair_of_rows(spark):
     pairs = {(x.doc_id, d) for x in got for d, c in member.items() if c == x.partner_id and d != x.doc_id}
     assert pairs == {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]}
     assert len(pairs) == sum(x.n_partners for x in got)
+
+
+def test_block_scores_agree_with_the_index(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scores, "SLICE", 4096)  # many slices of documents
+    monkeypatch.setattr(scores, "DENSE", 3)
+    words = ["a", "b", "c", "dd", "e", "ff"]
+    docs = spark.createDataFrame([(i, [words[(i * k) % 6] for k in range(i % 7)], [True, False, None][i % 3]) for i in range(300)], "doc_id long, tokens array<string>, extra boolean")
+    queries = spark.createDataFrame([(q, words[(q + k) % 6]) for q in range(40) for k in range(q % 4)] + [(99, "unknown")], "query_id long, term string")
+    store = Store(spark)
+    every = [tuple(x) for x in index.score_all(queries, index.build_index(docs.drop("extra"), store)).where("score > 0").collect()]
+    asked = scores.asked(docs, queries, store)
+    got = {(x.query_id, x.rank): (x.doc_id, x.score) for x in scores.best(asked, 5).collect()}
+    want = {}
+    for q in {x[0] for x in every}:
+        for r, x in enumerate(sorted((x for x in every if x[0] == q), key=lambda x: (-x[2], x[1]))[:5]):
+            want[q, r + 1] = x[1:]
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in got)
+    counted = {x.query_id: (x.scored, x.excluded, x.kept) for x in scores.counts(asked).collect()}
+    assert counted == {q: tuple(sum(x[0] == q and (m is None or x[1] % 3 == m) for x in every) for m in (None, 0, 1)) for q in {x[0] for x in every}}
+    plan = scores.best(asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan  # no row for a pair of query and document
