@@ -69,3 +69,11 @@ def test_block_scores_agree_with_the_index(spark, monkeypatch, tmp_path):
     assert counted == {q: tuple(sum(x[0] == q and (m is None or x[1] % 3 == m) for x in every) for m in (None, 0, 1)) for q in {x[0] for x in every}}
     plan = scores.best(asked, 5)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan  # no row for a pair of query and document
+
+
+def test_frequencies_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(index, "COUNTED", 7)
+    docs = [(i, [f"t{(i * k) % 5}" for k in range(i % 9)]) for i in range(200)] + [(200, None)]
+    got = {x.term: (x.df, x.cf) for x in index.frequencies(spark.createDataFrame(docs, "doc_id long, tokens array<string>"), Store(spark)).collect()}
+    every = [t for _, ts in docs for t in ts or []]
+    assert got == {t: (sum(t in (ts or []) for _, ts in docs), every.count(t)) for t in set(every)}
