@@ -260,6 +260,21 @@ def test_jaccard(spark, docs, rows):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), want[i]) for i, s in sets.items()}
 
 
+def test_jaccard_puts_aside_what_shares_too_little(spark):
+    """Only sets of which three quarters stand in other texts may link: a common passage alone sends no token of a text on, and exact copies and pieces change nothing."""
+    r = random.Random(8)
+    words = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    common, base = words(30), words(100)
+    rows = [(k, f"{words(60)} {common}") for k in range(300)] + [(1000 + k, f"{base} {words(3)}") for k in range(40)] + [(2000, ""), (2001, None), (2002, "two words"), (None, f"{base} {words(2)}"), (3000, words(50)), (3001, common)]
+    docs = spark.createDataFrame(rows, "id bigint, x string").select("id", F.col("x").cast("binary").alias("text")).withColumn("t", F.xxhash64("text")).select("id", "t", "text")
+    for parts in (1, 9):
+        got = jaccard.judged(docs.repartition(parts)).collect()
+        assert len(got) == len(rows) and {r.id for r in got if r.may} == {None, 3001, *range(1000, 1040)}
+        assert all(r.n == (0 if not r.t or r.id in (2000, 2001) else 1 if r.id == 2002 else r.n) for r in got)
+    found = {r.id: r.component_id for r in jaccard.near_duplicates(docs.repartition(5), "id", "text").collect()}
+    assert all(found[k] == 1000 for k in (*range(1000, 1040), None)) and found[3001] == 3001 and found[5] == 5
+
+
 def test_jaccard_sketch_is_a_lower_bound():
     r = np.random.default_rng(1)
     for n in (3, 100, 5000):
