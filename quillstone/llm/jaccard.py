@@ -461,7 +461,7 @@ def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text"
     collapsed to groups (equal prefix and size). Groups that share a prefix shingle are paired with one pivot, the least by one of eight random orders; group pairs pass the size and position filters, are expanded to
     classes, and pass the parity sketch (all three filters are exact). In a turn the nearest pivot of each class, of those that
     its group shares most tokens with, is verified on whole sets and joins components. Turns go on until token rows have few candidates each, or three are done; then all pairs of groups across components
-    are filtered, expanded and verified. Pairs inside a component change nothing, so thousands of near copies cost about one pair
+    are filtered (those of one class each by their sketches too, where tokens meet, so that pairs that can't link become no rows), expanded and verified. Pairs inside a component change nothing, so thousands of near copies cost about one pair
     each, and no link between components is lost. Links inside a component are not listed: this is a join into classes.
 
     Sets are compared by 64-bit hashes of shingles, and equal sets found by a 64-bit hash of the set. Null and empty
@@ -541,11 +541,12 @@ def near_duplicate_rows(docs: DataFrame, key: str = "doc_id", text: str = "text"
         tried = pairs if tried is None else tried.union(pairs)
         turn += 1
 
-    at = left.join(small(heads.select("grp", "n", "lo", "hi"), n_busy), "grp")
+    sketches = members.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), *[F.first(c).alias(c) for c in SKETCH]).where("c = 1").drop("c")  # a group of several classes has none
+    at = left.join(small(heads.select("grp", "n", "lo", "hi"), n_busy), "grp").join(sketches, "grp", "left")
     end = lambda rows, t, *by: rows.select(*by, *[F.col(c).alias(c + t) for c in rows.columns if c not in by])
     bound = 1 + F.least(F.col("n1") - F.col("pos1") - 1, F.col("n2") - F.col("pos2") - 1)
     apart = (F.col("grp1") < F.col("grp2")) & ~((F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2")))
-    groups = end(at, "1", "token").join(end(at, "2", "token"), "token").where(apart & _linked(F.col("n1"), F.col("n2"), bound)).select("grp1", "grp2").distinct()
+    groups = end(at, "1", "token").join(end(at, "2", "token"), "token").where(apart & _linked(F.col("n1"), F.col("n2"), bound) & F.coalesce(_may_link(), F.lit(True))).select("grp1", "grp2").distinct()
     one, two = end(comps.select("grp", "key", "comp"), "1"), end(comps.select("grp", "key", "comp"), "2")
     across = groups.join(small(one, n_members), "grp1").join(small(two, n_members), "grp2")
     within = comps.join(small(heads.where("lo < hi").select("grp"), n_busy), "grp", "left_semi").select("grp", "key", "comp")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -275,6 +276,38 @@ def test_jaccard_puts_aside_what_shares_too_little(spark):
     assert all(found[k] == 1000 for k in (*range(1000, 1040), None)) and found[3001] == 3001 and found[5] == 5
 
 
+def joined_rows(spark, what):
+    """Rows that joins made so far whose plan text holds ``what``, by Spark's own metrics."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    of = lambda seq: (seq.apply(k) for k in range(seq.size()))
+    for run in of(store.executionsList()):
+        values = store.executionMetrics(run.executionId())
+        for node in of(store.planGraph(run.executionId()).allNodes().toSeq()):
+            if "Join" in node.name() and what in re.sub(r"#\d+L?", "", node.desc()):
+                found = (m for m in of(node.metrics().toSeq()) if m.name() == "number of output rows")
+                total += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in found if values.contains(m.accumulatorId()))
+    return total
+
+
+def test_jaccard_makes_no_rows_of_pairs_that_cannot_link(spark):
+    """Two large components whose texts share rare shingles: sketches turn their pairs down where tokens meet, and only ends of groups become rows."""
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    base, block, kinds, rows = words(104), words(4), words(3), []
+    for k in range(360):
+        t = list(base)
+        t[10], t[90] = kinds[k % 3], *words(1)
+        if k >= 180:
+            t[30:50:5] = block
+        rows.append((k, " ".join(t)))
+    before = joined_rows(spark, "[a], [a], Inner")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5)).collect()}
+    assert got == {k: 0 if k < 180 else 180 for k in range(360)}
+    made = joined_rows(spark, "[a], [a], Inner") - before
+    assert 0 < made < 6000  # 3 * 60 * 60 pairs of the two components share a kind's shingles
+
+
 def test_jaccard_sketch_is_a_lower_bound():
     r = np.random.default_rng(1)
     for n in (3, 100, 5000):
