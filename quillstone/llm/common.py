@@ -90,11 +90,11 @@ class Scratch:
     table is written. ``drop`` removes tables that no later step reads, ``keep_only`` all but those that the returned DataFrame reads.
     """
 
-    #: Held while a table is written: shuffle files go at the end of the step, and Python gets batches of bounded size.
+    #: Held while a table is written: shuffle files go at the end of the step, and Python gets batches of bounded size (both sides hold some copies of one).
     HELD = {
         "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
-        "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     }
 
     def __init__(self, spark: SparkSession):

@@ -12,12 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, runs
+from .common import Scratch, give_back, runs, tidy
 
 ALPHABET, START, DECAY, CUT = 64, 63, 0.5, 24
 #: Bounds of training: labelled rows, landmarks of either class, words of either class, rounds of hard words.
 SAMPLE, LANDMARKS, POSITIVE, NEGATIVE, ROUNDS = 4000, (160, 64), 600, 4000, 2
-KNOWN_WORDS = 300_000  # word margins that a task remembers
+KNOWN_WORDS, CHARS = 150_000, 1_000_000  # word margins that a task remembers, and characters of texts that it splits at once
 FLOOR = -1.5  # margin of what holds no word
 LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -78,7 +78,7 @@ def self_kernel(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_length(coded: list[bytes], most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_length(coded: list[bytes], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, rows) of equally long strings of three symbols or more, in chunks of bounded size."""
     lengths: dict[int, list[int]] = {}
     for at, b in enumerate(coded):
@@ -211,7 +211,7 @@ def _features(margins: np.ndarray) -> tuple[float, float, float]:
 
 def _document_features(cache: Margins, texts: pd.Series) -> np.ndarray:
     out, texts = np.empty((len(texts), 3)), texts.tolist()
-    for begin, end in runs(texts):
+    for begin, end in runs(texts, CHARS):
         part = [t.split() if t else [] for t in texts[begin:end]]
         cache.learn(part)
         for j, words in enumerate(part):
@@ -260,12 +260,13 @@ def _train_words(counts: pd.DataFrame, hard: pd.DataFrame | None, n1: int, n0: i
 def _highest(model: Model):
     """The two highest words of each text, if they come near the margin."""
 
+    @tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Margins(model)
         for f in frames:
             out = []
             texts = f.text.tolist()
-            for begin, end in runs(texts):
+            for begin, end in runs(texts, CHARS):
                 split = [sorted(set(t.lower().split())) if t else [] for t in texts[begin:end]]
                 cache.learn(split)
                 for words in split:
@@ -289,6 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id")  # at most ``sample`` rows
     rows = scratch.save(rows.repartition(8, "id"))
 
+    @tidy
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found: dict[str, list[int]] = {}
@@ -315,6 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
         hard = more if hard is None else pd.concat([hard, more]).groupby("word", as_index=False).hits.sum()
     model = Model(*_train_words(table, hard, n1, n0), np.zeros(4))
 
+    @tidy
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Margins(model)
         for f in frames:

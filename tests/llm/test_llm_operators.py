@@ -358,6 +358,22 @@ def test_toxicity_held_out(spark):
     assert got[1002] > 0.3 > got[1000] == got[1001]
 
 
+def test_toxicity_holds_few_words_at_once():
+    """Many distinct words: what a task holds is bounded well below them."""
+    import tracemalloc
+
+    import pandas as pd
+
+    r = random.Random(3)
+    texts = pd.Series([" ".join("".join(r.choices("abcdefghij", k=8)) for _ in range(10_000)) for _ in range(50)])
+    cache = toxicity.Margins(toxicity.Model(np.zeros(toxicity.ALPHABET**3, np.float32), -1.0, np.zeros(4)))
+    tracemalloc.start()
+    toxicity._document_features(cache, texts)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 75, peak
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], DOCS)
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id bigint, toxic int"), F.lit(True))
