@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, slices, small, tidy
+from .common import Scratch, byte_runs, slices, small, tidy
 
 LENGTH, GRAM = 50, 16  # bytes of a repeated string, and of the gram that anchors it
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -19,6 +20,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 HOT, WIDTHS = 4096, (7, 1)  # distinct passages of one anchor from which they are split by context, and places of the anchor in a string that a split keeps together
 BATCH = 1 << 17  # bytes of passages that are sorted together
+RUN = 1 << 16  # bytes of texts that are hashed together
+PASSAGE = ["id", "k", "h", "start", "passage"]
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -101,34 +104,48 @@ def suffix_array(text: list[int]) -> list[int]:
     return [i - 1 for i in order]
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each 50-byte window its anchor is the gram with the least hash, the leftmost if several. (hash, packed) of the anchors.
+def anchors(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each 50-byte window of the texts between ``bounds`` its anchor is the gram with the least hash, the leftmost if several.
 
-    ``packed`` is position << 12 | steps from the first window << 6 | steps from the last window that it anchors.
+    (text, hash, packed) of the anchors, in order. ``packed`` is position in the text << 12 | steps from the first window << 6 | steps from
+    the last window that it anchors. The texts are hashed in one go; windows that reach into the next text are left out.
     """
-    n = len(text)
+    n = len(raw)
     if n < LENGTH:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    raw = np.frombuffer(text, np.uint8)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     word = np.lib.stride_tricks.as_strided(raw[:8].view(np.uint64), (n - 7,), (1,))
     m = n - GRAM + 1
     h = word[:m] * MIX
-    h ^= word[8 : 8 + m] * MIX2 >> np.uint64(29) ^ word[8 : 8 + m] << np.uint64(17)
-    h ^= h >> np.uint64(32)
+    part = word[8 : 8 + m] * MIX2
+    part >>= np.uint64(29)
+    h ^= part
+    np.left_shift(word[8 : 8 + m], np.uint64(17), out=part)
+    h ^= part
+    np.right_shift(h, np.uint64(32), out=part)
+    h ^= part
     h *= MIX2
-    h ^= h >> np.uint64(29)
-    low = h & ~np.uint64(0xFFFFFFFF) | np.arange(m, dtype=np.uint64)
-    width = 1
+    np.right_shift(h, np.uint64(29), out=part)
+    h ^= part
+    np.bitwise_and(h, np.uint64(0xFFFFFFFF00000000), out=part)
+    part |= np.arange(m, dtype=np.uint64)
+    low, width = part, 1
     while 2 * width <= SPAN:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     if width < SPAN:
         low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :])
-    best = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    change = np.flatnonzero(np.diff(best))
-    first, last = np.concatenate([[0], change + 1]), np.concatenate([change, [len(best) - 1]])
+    at = np.ones(len(low), bool)
+    for end in bounds[1:-1].tolist():
+        at[max(0, end - LENGTH + 1) : end] = False
+    at = np.flatnonzero(at)
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    best = (low[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero(best[1:] != best[:-1]) + 1])
+    last = np.concatenate([first[1:], [len(best)]]) - 1
     p = best[first]
-    return h[p], p << 12 | p - first << 6 | p - last
+    text = np.searchsorted(bounds, p, "right") - 1
+    return text, h[p], p - bounds[text] << 12 | p - at[first] << 6 | p - at[last]
 
 
 @tidy
@@ -141,25 +158,30 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows(h, k, p):
         h, k, p = (np.concatenate(x) for x in (h, k, p))
-        order = np.lexsort((k, h))
+        # in order of the upper bits of h, then of text: where the lower bits differ, an anchor's rows may make up several groups, and fewer go out as known
+        index = np.uint64((1 << len(h).bit_length()) - 1)
+        order = (np.sort(h & ~index | np.arange(len(h), dtype=np.uint64)) & index).astype(np.int64)
         hs, ks = h[order], k[order]
         first = np.concatenate([[True], hs[1:] != hs[:-1]])
         other = np.concatenate([[False], (hs[1:] == hs[:-1]) & (ks[1:] != ks[:-1])])
-        group = np.cumsum(first) - 1
-        shared = np.bincount(group, weights=other)[group] > 0
-        seen = np.cumsum(other) - (np.cumsum(other) - other)[np.flatnonzero(first)][group]  # other texts of the anchor so far
+        begin = np.flatnonzero(first)
+        before = np.cumsum(other)
+        size = np.diff(begin, append=len(h))
+        before -= np.repeat(before[begin], size)  # other texts of the anchor so far
+        shared = np.repeat(np.logical_or.reduceat(other, begin), size)
         free = np.zeros(len(h), bool)
-        free[order] = shared & ~first & ~(other & (seen == 1))
+        free[order] = shared & ~first & ~(other & (before == 1))
         spread = np.where(free, k.view(np.uint64) * MIX, h).view(np.int64)  # rows stay in order of text, which compresses
         return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(k), pa.array(p), pa.array(h.view(np.int64), mask=~free)], ["h", "k", "p", "known"])
 
     for batch in batches:
         hs, ks, ps, held = [], [], [], 0
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            h, p = anchors(t)
+        keys = batch.column(0).to_numpy()
+        for row, raw, bounds in byte_runs(batch.column(1), RUN):
+            text, h, p = anchors(raw, bounds)
             if len(h):
                 hs.append(h)
-                ks.append(np.full(len(h), k, np.int64))
+                ks.append(keys[row + text])
                 ps.append(p)
                 held += len(h)
             if held > 2_000_000:
@@ -171,26 +193,28 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @tidy
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, k, text, marks of (h, p)) to (id, k, h, start, passage): the bytes of all windows of an anchor."""
+    """(id, k, text, marks of (h, p)) to (id, k, h, start, passage): the bytes of all windows of an anchor, about 16 MB of them at a time."""
     for batch in slices(batches, 128):
-        out: tuple[list, ...] = ([], [], [], [], [])
-        held = 0
-        for i, k, t, marks in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
-            for x in marks:
-                p = x["p"] >> 12
-                a, b = p - (x["p"] >> 6 & 63), p - (x["p"] & 63) + LENGTH
-                for to, v in zip(out, (i, k, x["h"], a, t[a:b]), strict=True):
-                    to.append(v)
-                held += b - a
-            if held > 1 << 24:
-                yield _batch(out)
-                out, held = ([], [], [], [], []), 0
-        yield _batch(out)
+        marks = batch.column(3)
+        row = np.repeat(np.arange(batch.num_rows), marks.value_lengths().to_numpy())
+        h, packed = (x.to_numpy() for x in marks.flatten().flatten())
+        p = packed >> 12
+        start, end = p - (packed >> 6 & 63), p - (packed & 63) + LENGTH
+        size = np.cumsum(end - start)
+        for _, raw, bounds in byte_runs(batch.column(2), 1 << 62):
+            text, begin, k = raw.tobytes(), bounds[row], 0
+            while k < len(row):
+                to = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + (1 << 24), "right")))
+                x = slice(k, to)
+                out = [text[a:b] for a, b in zip((begin[x] + start[x]).tolist(), (begin[x] + end[x]).tolist(), strict=True)]
+                at = pa.array(row[x])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h[x]), pa.array(start[x]), pa.array(out, pa.binary())], PASSAGE)
+                k = to
 
 
 def _batch(out) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["id", "k", "h", "start", "passage"])
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], PASSAGE)
 
 
 def _window_hashes(raw: np.ndarray) -> np.ndarray:
@@ -201,31 +225,20 @@ def _window_hashes(raw: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def _runs(starts: np.ndarray) -> list[dict]:
-    """Byte ranges that windows at ``starts`` (in order) cover."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > LENGTH)
-    return [{"lo": int(a), "hi": int(b) + LENGTH} for a, b in zip(starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])], strict=True)]
-
-
-def earlier_strings(group: list[int], ids: list[int], passages: list[bytes]) -> list[list[dict]]:
-    """For each distinct passage, the ranges covered by 50-byte strings that a passage with a smaller id has too.
+def earlier_strings(group: np.ndarray, ids: np.ndarray, raw: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, lo, hi), in order: the ranges covered by 50-byte strings that a passage of the same group with a smaller id has too.
 
-    First, windows whose hash occurs once in their group are put aside: they can't recur. Each passage is
-    cut to what is left, equal cuts are merged, and a group with one cut needs no order. All others
+    The passages are distinct in their group and lie in ``raw`` between ``offset``. First, windows whose hash occurs once in their group are
+    put aside: they can't recur. Each passage is cut to what is left, equal cuts are merged, and a group with one cut needs no order. All others
     are joined, sorted by ``suffix_array``, and neighbours with 50 equal bytes make up one class, with its least id.
     """
-    sizes = np.array([len(x) for x in passages])
-    offset = np.concatenate([[0], np.cumsum(sizes)])
-    raw = np.frombuffer(b"".join(passages), np.uint8)
-    out: list[list[dict]] = [[] for _ in passages]
-    owner = np.repeat(np.arange(len(passages)), np.maximum(sizes - LENGTH + 1, 0))
-    where = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(np.maximum(sizes - LENGTH + 1, 0))])[:-1], np.maximum(sizes - LENGTH + 1, 0)) + offset[owner]
+    none = np.empty(0, np.int64)
+    windows = np.maximum(np.diff(offset) - LENGTH + 1, 0)
+    owner = np.repeat(np.arange(len(windows)), windows)
     if not len(owner):
-        return out
-    label = np.array(group, np.int64).view(np.uint64)
-    h = _window_hashes(raw)[where] + label[owner] * MIX2
+        return none, none, none
+    where = np.arange(len(owner)) + np.repeat(offset[:-1] - np.cumsum(windows) + windows, windows)
+    h = _window_hashes(raw)[where] + np.repeat(group.view(np.uint64) * MIX2, windows)
     order = np.argsort(h)
     same = h[order][1:] == h[order][:-1]
     again = np.zeros(len(h), bool)
@@ -233,53 +246,58 @@ def earlier_strings(group: list[int], ids: list[int], passages: list[bytes]) ->
     again[order[:-1][same]] = True
     hit = np.flatnonzero(again)
     if not len(hit):
-        return out
-    who, first = np.unique(owner[hit], return_index=True)
+        return none, none, none
+    first = np.concatenate([[0], np.flatnonzero(np.diff(owner[hit])) + 1])
     last = np.concatenate([first[1:], [len(hit)]]) - 1
+    who, begin, end = owner[hit[first]], where[hit[first]], where[hit[last]] + LENGTH
+    data, id_of = raw.tobytes(), ids[who].tolist()
     cuts: dict[tuple[int, bytes], list[int]] = {}
-    begin = {}
-    for j, a, b in zip(who.tolist(), where[hit[first]].tolist(), where[hit[last]].tolist(), strict=True):
-        begin[j] = a - int(offset[j])
-        cuts.setdefault((group[j], raw[a : b + LENGTH].tobytes()), []).append(j)
+    for j, (g, a, b) in enumerate(zip(group[who].tolist(), begin.tolist(), end.tolist(), strict=True)):
+        cuts.setdefault((g, data[a:b]), []).append(j)
     several: dict[int, int] = {}
     for g, _ in cuts:
         several[g] = several.get(g, 0) + 1
+    out: list[tuple[int, int, int]] = []  # j, and the range in its cut
     joined: list[tuple[bytes, list[int], int]] = []
     for (g, cut), js in cuts.items():
-        least = min(ids[j] for j in js)
-        for j in js:
-            if ids[j] > least:
-                out[j] = [{"lo": begin[j], "hi": begin[j] + len(cut)}]
+        least = min(id_of[j] for j in js)
+        out += [(j, 0, len(cut)) for j in js if id_of[j] > least]
         if several[g] > 1:
-            joined.append((cut, [j for j in js if ids[j] == least], least))
+            joined.append((cut, [j for j in js if id_of[j] == least], least))
     if joined:
-        text: list[int] = []
-        starts, owners, least_of = [], [], []
-        for q, (cut, _, least) in enumerate(joined):
-            windows = len(cut) - LENGTH + 1
-            starts.append(np.arange(len(text), len(text) + windows))
-            owners.append(np.full(windows, q))
-            least_of.append(np.full(windows, least, np.int64))
-            text += [c + 1 for c in cut]
-            text.append(0)
-        window_at, window_of, window_id = (np.concatenate(x) for x in (starts, owners, least_of))
-        index = np.full(len(text), -1)
+        sizes = np.array([len(cut) for cut, _, _ in joined])
+        base = np.cumsum(sizes + 1) - sizes - 1
+        symbols = np.zeros(len(sizes) + sizes.sum(), np.int16)
+        inside = np.ones(len(symbols), bool)
+        inside[base + sizes] = False
+        symbols[inside] = np.frombuffer(b"".join(cut for cut, _, _ in joined), np.uint8).astype(np.int16) + 1
+        windows = sizes - LENGTH + 1
+        window_of = np.repeat(np.arange(len(sizes)), windows)
+        window_at = np.arange(len(window_of)) + np.repeat(base - np.cumsum(windows) + windows, windows)
+        window_id = np.repeat(np.array([least for _, _, least in joined], np.int64), windows)
+        index = np.full(len(symbols), -1)
         index[window_at] = np.arange(len(window_at))
-        ranked = index[np.array(suffix_array(text))]
+        ranked = index[np.array(suffix_array(symbols.tolist()))]
         ranked = ranked[ranked >= 0]
-        symbols = np.array(text, np.int16)
         rows = np.lib.stride_tricks.sliding_window_view(symbols, LENGTH)[window_at[ranked]]
         new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])
         least = np.minimum.reduceat(window_id[ranked], np.flatnonzero(new))[np.cumsum(new) - 1]
         covered = np.zeros(len(window_at), bool)
         covered[ranked] = least < window_id[ranked]
-        base = np.array([s[0] for s in starts])
         at = np.flatnonzero(covered)
-        for q in np.unique(window_of[at]).tolist():
-            spans = _runs(window_at[at[window_of[at] == q]] - base[q])
-            for j in joined[q][1]:
-                out[j] = [{"lo": begin[j] + s["lo"], "hi": begin[j] + s["hi"]} for s in spans]
-    return out
+        if len(at):
+            q, lo = window_of[at], window_at[at]
+            ends = np.flatnonzero(np.append((lo[1:] - lo[:-1] > LENGTH) | (q[1:] != q[:-1]), True))
+            starts = np.append(0, ends[:-1] + 1)
+            q, lo, hi = q[starts], lo[starts], lo[ends] + LENGTH
+            for x, a, b in zip(q.tolist(), (lo - base[q]).tolist(), (hi - base[q]).tolist(), strict=True):
+                out += [(j, a, b) for j in joined[x][1]]
+    if not out:
+        return none, none, none
+    j, lo, hi = np.array(out, np.int64).T
+    order = np.lexsort((lo, j))
+    shift = begin[j] - offset[who[j]]
+    return who[j][order], (lo + shift)[order], (hi + shift)[order]
 
 
 FOUND = "h bigint, sid bigint, first_id bigint, spans array<struct<lo:int,hi:int>>"
@@ -291,30 +309,36 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     A passage that is alone in its group has no string of another: it is passed on if it has copies, and never unpacked.
     """
+    names = ["h", "sid", "first_id", "spans"]
     spans = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
-    def flush(rows):
-        found = earlier_strings([r[0] for r in rows], [r[2] for r in rows], [r[4] for r in rows])
-        kept = [(r[0], r[1], r[2], s) for r, s in zip(rows, found, strict=True) if s or r[3] > 1]
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), spans))], ["h", "sid", "first_id", "spans"])
+    def flush(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, first_id, n = (batch.column(c).to_numpy() for c in (0, 2, 3))
+        row, lo, hi = earlier_strings(h, first_id, *next(byte_runs(batch.column(4), 1 << 62))[1:])
+        size = np.bincount(row, minlength=len(h))
+        kept = (n > 1) | (size > 0)
+        to = np.append(0, np.cumsum(size[kept])).astype(np.int32)
+        found = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (lo, hi)], ["lo", "hi"])
+        return pa.RecordBatch.from_arrays([*batch.filter(pa.array(kept)).columns[:3], pa.ListArray.from_arrays(pa.array(to), found)], names)
 
-    rows, held, last = [], 0, None
+    rest = None
     for batch in batches:
         h, n = (batch.column(c).to_numpy() for c in (0, 3))
         alone = np.zeros(len(h), bool)
         alone[1:-1] = (h[1:-1] != h[:-2]) & (h[1:-1] != h[2:])  # the first and last row may go on in another batch
         lone = batch.filter(pa.array(alone & (n > 1)))
-        yield pa.RecordBatch.from_arrays([*lone.columns[:3], pa.array([[]] * lone.num_rows, spans)], ["h", "sid", "first_id", "spans"])
+        yield pa.RecordBatch.from_arrays([*lone.columns[:3], pa.array([[]] * lone.num_rows, spans)], names)
         batch = batch.filter(pa.array(~alone))
-        for row in zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True):
-            if row[0] != last and held >= BATCH:
-                yield flush(rows)
-                rows, held = [], 0
-            rows.append(row)
-            held += len(row[4])
-            last = row[0]
-    if rows:
-        yield flush(rows)
+        batch = pa.concat_batches([rest, batch]) if rest is not None else batch
+        h, held = batch.column(0).to_numpy(), np.append(0, np.cumsum(pc.binary_length(batch.column(4)).to_numpy()))
+        begin = 0
+        for end in (np.flatnonzero(h[1:] != h[:-1]) + 1).tolist():
+            if held[end] - held[begin] >= BATCH:
+                yield flush(batch.slice(begin, end - begin))
+                begin = end
+        rest = batch.slice(begin)
+    if rest is not None and rest.num_rows:
+        yield flush(rest)
 
 
 def _split(width: int):
@@ -328,7 +352,7 @@ def _split(width: int):
         for batch in slices(batches, 256):
             out: tuple[list, ...] = ([], [], [], [], [])
             for i, k, h, t in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
-                at = int(anchors(t)[1][0]) >> 12
+                at = int(anchors(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[2][0]) >> 12
                 for low in range(0, SPAN, width):
                     a, b = max(0, at - min(low + width, SPAN) + 1), min(len(t) - LENGTH, at - low)
                     if a <= b:
@@ -341,33 +365,39 @@ def _split(width: int):
     return run
 
 
-def _kept(text: bytes, spans: list[dict] | None) -> tuple[bytes, list[list[int]]]:
-    """What spans (lo, hi) leave of a text, and their union as maximal runs."""
-    runs: list[list[int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans or ()):
-        if runs and lo <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], hi)
-        else:
-            runs.append([lo, hi])
-    parts, at = [], 0
-    for lo, hi in runs:
-        parts.append(text[at:lo])
-        at = hi
-    return b"".join([*parts, text[at:]]), runs
+def _left(texts: pa.Array, spans: pa.Array) -> Iterator[tuple[pa.ListArray, pa.Array]]:
+    """What spans (lo, hi) leave of texts, some texts at a time: the union of the spans as maximal runs (start, end), and the other bytes."""
+    for k, raw, bounds in byte_runs(texts):
+        own = spans.slice(k, len(bounds) - 1)
+        row = np.repeat(np.arange(len(own)), pc.fill_null(own.value_lengths(), 0).to_numpy())
+        shift = bounds[row] + row  # texts stand one byte apart, so that no run goes from one to the next
+        lo, hi = (x.to_numpy().astype(np.int64) + shift for x in own.flatten().flatten())
+        order = np.argsort(lo)
+        lo, hi, row = lo[order], np.maximum.accumulate(hi[order]), row[order]
+        first = np.ones(len(lo), bool)
+        first[1:] = lo[1:] > hi[:-1]
+        at = np.flatnonzero(first)
+        row, lo, hi = row[at], lo[at], hi[np.append(at[1:], len(hi)) - 1] if len(at) else hi
+        to = np.append(0, np.cumsum(np.bincount(row, minlength=len(own)))).astype(np.int32)
+        runs = pa.ListArray.from_arrays(pa.array(to), pa.StructArray.from_arrays([pa.array(x - bounds[row] - row) for x in (lo, hi)], ["start", "end"]))
+        step = np.zeros(len(raw) + 1, np.int8)
+        np.add.at(step, lo - row, -1)
+        np.add.at(step, hi - row, 1)
+        stays = np.cumsum(step[:-1], dtype=np.int8) == 0
+        gone = np.append(0, np.cumsum(np.bincount(row, weights=hi - lo, minlength=len(own)))).astype(np.int64)
+        kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(bounds - gone), pa.py_buffer(raw[stays])])
+        yield runs, kept.cast(pa.binary())
 
 
 @tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, spans of (lo, hi)) to (id, n_bytes, spans as maximal runs, kept bytes)."""
-    runs_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for batch in slices(batches):
-        kept, all_runs, sizes = [], [], []
-        for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            left, runs = _kept(t, spans)
-            kept.append(left)
-            all_runs.append([{"start": a, "end": b} for a, b in runs])
-            sizes.append(len(t))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(all_runs, runs_type), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
+    for batch in batches:
+        at = 0
+        for runs, kept in _left(batch.column(1), batch.column(2)):
+            part = batch.slice(at, len(kept))
+            yield pa.RecordBatch.from_arrays([part.column(0), pc.binary_length(part.column(1)).cast(pa.int64()), runs, kept], ["id", "n_bytes", "spans", "kept"])
+            at += len(kept)
 
 
 def _found_spans(found: DataFrame, scratch: Scratch, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
@@ -470,7 +500,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     @F.arrow_udf("string")
     def left(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([_kept(t.as_py(), s.as_py())[0].decode("utf-8", "ignore") if t.is_valid else None for t, s in zip(texts, spans, strict=True)], pa.string())
+        return pa.array([t.decode("utf-8", "ignore") for _, kept in _left(texts, spans) for t in kept.to_pylist()], pa.string())
 
     texts = docs.select(texts_id(key), texts_bytes(text))
     spans, row_key = repeated_spans(texts.where("id is not null"), Scratch(docs.sparkSession))

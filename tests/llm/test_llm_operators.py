@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,40 @@ def test_suffix_array():
         assert suffixes.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_repeats_work_on_many_texts_at_once(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice("ab") for _ in range(r.choice([0, 3, 49, 50, 51, 90, 300]))).encode() for _ in range(200)]
+    calls, own = [], suffixes.anchors
+    monkeypatch.setattr(suffixes, "anchors", lambda raw, bounds: calls.append(1) or own(raw, bounds))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts, pa.binary())], ["k", "text"])
+    got = pa.Table.from_batches(suffixes._anchor_rows(iter([batch]))).to_pylist()
+    assert len(calls) < 5  # not one for each text
+    windows = {k: [(x["p"] >> 12) + d for x in got if x["k"] == k for d in range(-(x["p"] >> 6 & 63), -(x["p"] & 63) + 1)] for k in range(200)}
+    assert windows == {k: list(range(max(0, len(t) - 49))) for k, t in enumerate(texts)}  # each window has one anchor
+    by_window = {}
+    for x in got:
+        h, p = x["h"] if x["known"] is None else x["known"], x["p"] >> 12
+        for at in range(p - (x["p"] >> 6 & 63), p - (x["p"] & 63) + 1):
+            by_window.setdefault(texts[x["k"]][at : at + 50], set()).add((h, p - at))
+    assert all(len(v) == 1 for v in by_window.values())  # equal windows have equal anchors, at the same place
+
+    marks = [[{"h": x["h"], "p": x["p"]} for x in got if x["k"] == k] for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns, pa.array(marks, pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int64())])))], ["id", "k", "text", "marks"])
+    for x in pa.Table.from_batches(suffixes._passages(iter([batch.slice(3)]))).to_pylist():
+        assert x["id"] == x["k"] >= 3 and x["passage"] == texts[x["k"]][x["start"] : x["start"] + len(x["passage"])] and len(x["passage"]) >= 50
+
+    spans = [None if r.random() < 0.2 else [{"lo": a, "hi": r.randint(a + 1, len(t))} for a in [r.randrange(len(t)) for _ in range(r.randint(0, 4))]] if t else [] for t in texts]
+    spans[7], texts[7], texts[8], spans[8] = [{"lo": 3, "hi": 6}, {"lo": 0, "hi": 3}], b"xxxxxx", b"yyyy", [{"lo": 0, "hi": 2}]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], ["id", "text", "spans"])
+    got = pa.Table.from_batches(suffixes._cut(iter([batch.slice(0, 8), batch.slice(8)]))).to_pylist()
+    for x, t, own in zip(got, texts, spans, strict=True):
+        gone = bytearray(len(t))
+        for y in own or ():
+            gone[y["lo"] : y["hi"]] = b"\1" * (y["hi"] - y["lo"])
+        assert (x["n_bytes"], x["kept"]) == (len(t), bytes(c for c, m in zip(t, gone) if not m))
+        assert [(y["start"], y["end"]) for y in x["spans"]] == [m.span() for m in re.finditer(b"\1+", bytes(gone))]
+
+
 def kept_by_brute_force(rows):
     first = {}
     for i, t in rows:
