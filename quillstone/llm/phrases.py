@@ -26,6 +26,8 @@ SPACE, STOP = 32, 10
 FOLD = bytes(c + 32 if 65 <= c <= 90 else SPACE if c == 9 else STOP if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 #: So many pairs are counted together in a task.
 PAIRS = 1_000_000
+#: Places of a block that a join takes apart.
+SPAN = 1 << 16
 PACKED = 1 << 31
 
 
@@ -154,29 +156,46 @@ def _name_pairs(known):
 
 
 def _pair_rows(batches):
-    """(block, position, x, y), for a join."""
+    """(block, position, x, y), for a join. A block has the runs that begin in ``SPAN`` places."""
     part, k = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         g, at = _pairs(batch)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part + k)), pa.array(at), pa.array(g[at]), pa.array(g[at + 1])], ["block", "pos", "x", "y"])
-            k += 1
+            begins = np.r_[0, np.flatnonzero(g == 0) + 1]
+            span = begins[np.searchsorted(begins, at, "right") - 1] // SPAN
+            yield pa.RecordBatch.from_arrays([pa.array(part + k + span), pa.array(at), pa.array(g[at]), pa.array(g[at + 1])], ["block", "pos", "x", "y"])
+            k += int(span[-1]) + 1
 
 
 def _regrouped(batches):
-    """Blocks again, from the sorted positions and numbers that a join has found for each."""
+    """Blocks again, from numbers in order of block and position. The run that a batch ends in is held until it ends."""
+    held, last = [], (-1, -1)
     for batch in batches:
-        for row in range(batch.num_rows):
-            found = batch.column(0)[row].values
-            pos, number = (found.field(k).to_numpy() for k in (0, 1))
-            follows = np.r_[pos[1:] == pos[:-1] + 1, False]
-            if (block := _block(number, follows)) is not None:
-                yield block
+        if not batch.num_rows:
+            continue
+        block, pos, number = (c.to_numpy() for c in batch.columns)
+        goes_on = (block == np.r_[last[0], block[:-1]]) & (pos == np.r_[last[1], pos[:-1]] + 1)
+        last = block[-1], pos[-1]
+        begins = np.flatnonzero(~goes_on)
+        cut = begins[-1] if len(begins) else len(block)
+        held.append((number[:cut], goes_on[:cut]))
+        if len(begins):
+            yield from _held(held)
+            held = [(number[cut:], goes_on[cut:])]
+    yield from _held(held)
+
+
+def _held(parts):
+    if parts:
+        number, goes_on = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if len(number) and (block := _block(number, np.r_[goes_on[1:], False])) is not None:
+            yield block
 
 
 def _joined(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
-    named = rows.join(groups.select(*key, "id"), key).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("found"))
-    return named.select("found").mapInArrow(tidy(_regrouped), "g array<bigint>")
+    """Blocks of what ``rows`` has of ``groups``: sorted by Spark, which spills, so that no task holds a whole block."""
+    named = rows.join(groups.select(*key, "id"), key).select("block", "pos", "id")
+    return named.repartition("block").sortWithinPartitions("block", "pos").mapInArrow(tidy(_regrouped), "g array<bigint>")
 
 
 def _numbered(groups: DataFrame, scratch: Scratch) -> DataFrame:

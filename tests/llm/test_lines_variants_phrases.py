@@ -201,3 +201,17 @@ def test_phrase_numbers_beyond_32_bits():
     g = np.array([5, 2**40, 5, 2**40, 7, 0, 2**40, 7, 0], np.int64)
     got = next(phrases._count_pairs([pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, 9], pa.array(g))], ["g"])])).to_pylist()
     assert {(x["x"], x["y"]): x["n"] for x in got} == {(5, 2**40): 2, (2**40, 5): 1, (2**40, 7): 2}
+
+
+def test_joined_blocks_are_streamed(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(phrases, "SPAN", 4, raising=False)
+    plans, save = [], common.Scratch.save
+    monkeypatch.setattr(common.Scratch, "save", lambda self, df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or save(self, df))
+    r = random.Random(8)
+    words = " ".join(r.choice("abc") for _ in range(9000))  # a run over several batches of a join
+    rows = [("en", words), ("en", words[:501] + ". " + words[:99]), ("de", "a b c. a b, a"), (None, "a b")]
+    got = phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), least=3, longest=4, top=50)
+    assert sorted(map(tuple, got.collect())) == sorted(phrases_by_brute_force(rows, 3, 4, 50))
+    relations = [plan for columns, plan in plans if columns == ["g"]]
+    assert len(relations) >= 2 and not any("collect_list" in x for x in relations)  # no task holds a block as rows of one group
