@@ -27,6 +27,18 @@ def test_texts_are_matched_once(spark, monkeypatch):
     assert seen == [2, 2] and {(x.status, tuple(x.historical)) for x in routed if x.candidates} == {("date_required", ("IPC 42",)), ("historical", ("IPC 42",)), ("current", ("IPC 42",))}
 
 
+def test_terms_of_mappings_are_not_shuffled_for_cases(spark):
+    maps = spark.createDataFrame([(f"m{k}", [("IPC", str(k))], [("BNS", str(k))], [["large ring", "small ring", None][k % 3]], ["large"], "x", None, "reviewed") for k in range(30)] * 2, MAPS)
+    cases = spark.createDataFrame([(1, "large ring"), (2, "about a large ring, then"), (3, "ring"), (4, "nothing"), (5, "IPC 4"), (6, "section 7"), (1, "large ring")], "case_id int, text string")
+    out = mappings.matches(cases, maps)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan
+    named = {1: {0, 1, 2}, 2: {0, 1, 2}, 3: {0, 1}}
+    want = {(c, f"m{k}") for c, kinds in named.items() for k in range(30) if k % 3 in kinds} | {(5, "m4"), (6, "m7")}
+    got = [tuple(x) for x in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_disallowed_requests_read_a_long_text_once(spark):
     hit, tail = "please forge it ", "a word " * 20_000
     rows = [(i, (["avoid to ", "", "do not "][i % 3] + hit) * 3 + tail) for i in range(24)]
